@@ -1,0 +1,38 @@
+"""Connected components of a distributed edge list by alternating large and small stars."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from laminar.llm.common import written
+
+ROUNDS = 60
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """node, component: the smallest node reachable, for every node that has an edge.
+
+    Each half round is a grouped minimum and a join on the node, both safe for hubs: the minimum is taken map-side and AQE
+    splits a hub's edges in the join. Rounds grow with the logarithm of the largest component; each is written to
+    the shared folder, so a lost executor costs no earlier round. Null ends are dropped, self loops name their node."""
+    pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL").distinct()
+    pairs = written(pairs, "edges")
+    nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    stars = pairs.where("u <> v")
+    for _ in range(ROUNDS):
+        both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        found = written(small, "stars")
+        # Stars: every node on the left once, and no centre on the left.
+        centres = found.select(F.col("v").alias("u")).distinct()
+        open_ends = found.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u").unionByName(found.select("u").distinct().join(centres, "u", "left_semi"))
+        stars = found
+        if open_ends.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
+    return nodes.join(stars.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from laminar.llm import tokens
+from laminar.llm import decontam, jaccard, langid, lines, mixing, quality, substring, tokens
 from laminar.llm.common import scratch_path, table
 
 QUERIES: dict = {}
@@ -38,3 +39,47 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-ids")
     tokens.write_orc(table(spark, sf_dir, "documents"), path, vocabulary())
     return tokens.read_orc(spark, path)
+
+
+@query("op2_mix_by_raking", mixing.ORACLE)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.drawn(table(spark, sf_dir, "documents"))
+    parts = [F.coalesce(c, F.lit("")).alias(c) for c in ("source", "lang")]
+    numbers = [F.round(f"mix_{c}", 6).alias(c) for c in ("weight", "probability", "repeats")]
+    return found.select("doc_id", *parts, F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), *numbers, F.col("mix_kept").alias("kept"))
+
+
+@query("op5_quality_cotraining")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.scored(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op6_language_id")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.judged(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("id_lang").alias("language"), F.col("id_posterior").alias("posterior"), F.col("id_grams").alias("n_grams"), F.col("id_accepted").alias("kept"))
+
+
+@query("op7_decontaminate")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    listed = F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), listed, (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op9_line_dedup", lines.ORACLE)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op1_substring_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op10_ngram_jaccard")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked(table(spark, sf_dir, "documents"))
