@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laminar.llm import decontam, jaccard, langid, lines, mixing, quality, substring, tokens
+from laminar.llm import caps, decontam, jaccard, langid, lines, mixing, quality, substring, tokens
 from laminar.llm.common import scratch_path, table
 
 QUERIES: dict = {}
@@ -83,3 +83,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_ngram_jaccard")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(table(spark, sf_dir, "documents"))
+
+
+@query("op4_embedding_near_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.linked(table(spark, sf_dir, "embeddings"))
