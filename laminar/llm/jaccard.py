@@ -1,7 +1,9 @@
 """N-gram Jaccard join of documents by signature trees.
 
 Sets of equal shingles are one set. The root of the forest deals sets to families by keys that any linked pair must
-share: shingles are dealt to parts by hash, and two sets that differ in at most D shingles agree on one of D + 1 parts.
+share: shingles are dealt to parts by hash, and two sets that differ in at most D shingles agree on one of D + 1 parts. Below
+EXACT, where parts would become as many as shingles, the root deals by bands of minima instead, which miss a pair at the
+threshold with a probability of MISSED at most.
 Families are split into leaves by size range and hash. A unit is a pair of leaves; in it, a tree over each leaf holds
 OR-combined shingle bitmaps and size ranges, a dual traversal drops node pairs whose largest possible overlap is
 too small, and what is left is compared shingle by shingle unless it is connected already.
@@ -13,6 +15,9 @@ a null component only where it links with no other. Other columns, clashing name
 
 from __future__ import annotations
 
+from functools import lru_cache
+from math import exp, log
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,6 +30,8 @@ from laminar.llm.components import components
 WORDS, THRESHOLD = 3, 90
 #: Size classes grow by this factor; sets in a leaf; sets in a node of a leaf's tree.
 CLASS, LEAF, NODE = 1.5, 256, 16
+#: From this threshold on keys are exact; below it, minima in a band, and the probability that all bands miss a pair.
+EXACT, ROWS, MISSED = 90, 5, 1e-4
 
 
 def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,31 +64,55 @@ def most_apart(size: int, threshold: int) -> int:
     return 2 * (size - 1) * (100 - threshold) // (100 + threshold)
 
 
+@lru_cache(4096)
+def parts_of(size: int, threshold: int) -> int:
+    """Parts for a class of sets below `size`: more than most_apart and the empty parts that its smallest set has, so
+    that two linked sets agree on a part that is not empty."""
+    apart = most_apart(size, threshold)
+    least, parts = threshold / 100 * size / CLASS, apart + 2
+    while parts - apart <= 2 + 1.3 * parts * exp(-least / parts):
+        parts += max(1, apart // 20)
+    return parts
+
+
 def keys_of(shingles: np.ndarray, threshold: int) -> np.ndarray:
     """Keys of which two linked, different sets share one. Sets near the end of their size class have the next one's too.
 
-    With D + 2 parts at least two agree, so a set with no more than one empty part needs no key for it."""
+    A set with so many empty parts that all parts it agrees on might be empty has keys for them as well."""
     n, out = len(shingles), []
     ends = bounds(n)
     classes = [ends[-1]]
     if 100 * n >= threshold * ends[-1]:
         classes.append(int(ends[-1] * CLASS) + 1)
     for size in classes:
-        apart = most_apart(size, threshold)
-        if not apart:
+        if not (apart := most_apart(size, threshold)):
             continue
-        parts = apart + 2
+        parts = parts_of(size, threshold)
         part = (mix(shingles ^ np.uint64(size)) % np.uint64(parts)).astype(np.int64)
-        count = np.bincount(part, minlength=parts)
+        empty = np.bincount(part, minlength=parts) == 0
         with np.errstate(over="ignore"):
             sums = np.zeros(parts, np.uint64)
             np.add.at(sums, part, shingles)
             key = mix(sums + mix(np.uint64(size) * np.uint64(1_000_003) + np.arange(parts, dtype=np.uint64)))
-        empty = count == 0
         out.append(key if empty.sum() >= parts - apart else key[~empty])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def band_keys(shingles: np.ndarray, first: np.ndarray, threshold: int) -> np.ndarray:
+    """One row of keys a set: each hashes ROWS minima of the set under as many hash functions."""
+    bands = int(np.ceil(log(MISSED) / log(1 - (threshold / 100) ** ROWS)))
+    out = np.zeros((len(first) - 1, bands), np.uint64)
+    full = np.flatnonzero(np.diff(first))
+    if not len(full):
+        return out
+    factors = mix(np.arange(1, bands * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+    with np.errstate(over="ignore"):
+        for k, factor in enumerate(factors):
+            least = np.minimum.reduceat(shingles * factor, first[full])
+            out[full, k // ROWS] = mix(out[full, k // ROWS] + mix(least + np.uint64(k + 1)))
+    return out
+
+
 def _sets(docs: DataFrame, words: int, threshold: int) -> DataFrame:
     """Size, two hashes and keys of every document's set."""
 
@@ -94,7 +125,10 @@ def _sets(docs: DataFrame, words: int, threshold: int) -> DataFrame:
                     a = np.r_[np.uint64(0), np.cumsum(mix(shingles))]
                     b = np.r_[np.uint64(0), np.cumsum(mix(shingles ^ np.uint64(0x5BD1E995)))]
                     a, b = mix(a[first[1:]] - a[first[:-1]]), mix(b[first[1:]] - b[first[:-1]])
-                keys = [signed(keys_of(shingles[i:j], threshold)) for i, j in zip(first[:-1], first[1:])]
+                if threshold >= EXACT:
+                    keys = [signed(keys_of(shingles[i:j], threshold)) for i, j in zip(first[:-1], first[1:])]
+                else:
+                    keys = [signed(k[: len(k) * bool(m)]) for k, m in zip(band_keys(shingles, first, threshold), n)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_key"), pa.array(n.astype(np.int64)), pa.array(signed(a)), pa.array(signed(b)), pa.array(keys, pa.list_(pa.int64()))], names=["doc_key", "n", "a", "b", "keys"])
 
     return docs.mapInArrow(make, "doc_key long, n long, a long, b long, keys array<long>")
