@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from laminar.llm.common import NO_ID, written
-from laminar.llm.components import components
+from laminar.operators.components import components
 
 #: Least cosine of a link; codewords of each half; threshold in standard deviations of a random direction's product.
 LEAST, CODEWORDS, DEVIATIONS = 0.9, 1024, 3.8

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from laminar.scratch import scratch_path, shared_dir, written  # noqa: F401
+
 #: Stands for a missing id: rows without one count together as one document that comes last.
 NO_ID = 2**63 - 1
 #: Text bytes that one step of a numpy kernel looks at; a longer document is a step of its own.
@@ -25,39 +24,6 @@ _Q = np.uint64(0xD6E8FEB86659FD93)
 _powers: dict = {}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it; one of our own only where none is named."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        context = spark.sparkContext
-        if not context._jsc.sc().getCheckpointDir().isDefined():
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="laminar-"))
-        found = context._jsc.sc().getCheckpointDir().get()
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and outlives any executor. Goes when the session ends."""
-    spark = df.sparkSession
-    path = scratch_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder that is removed when the JVM ends."""
-    path = f"{shared_dir(spark)}/laminar-{tag}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
-
-
-def drop_scratch(spark: SparkSession, path: str) -> None:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def keyed(docs: DataFrame, *columns: str) -> DataFrame:
     """doc_id as a key that is never null, with the columns asked for; other columns, clashing names included, stay out."""
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_key"), *columns)

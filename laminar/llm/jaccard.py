@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from laminar.llm.common import WORD_BASE, keyed, mix, prefix, signed, span_hash, steps, unkeyed, word_hashes, written
-from laminar.llm.components import components
+from laminar.operators.components import components
 
 #: Words of a shingle; link when 100 * intersection >= THRESHOLD * union.
 WORDS, THRESHOLD = 3, 90
