@@ -75,9 +75,9 @@ QUAD_METRICS: list[Stage] = [
     [("aspect", "CASE WHEN shortest > 0 THEN longest / shortest END"), ("planarity", "CASE WHEN diagonal > 0 THEN twist / diagonal END")],
 ]
 
-#: Of one triangle with corners a, b, c: box, unit normal, and its length before.
+#: Of one triangle with corners e, f, g: box, unit normal, and its length before.
 TRIANGLE: list[Stage] = [
-    [(f"lo_{k}", f"least(a{k}, b{k}, c{k})") for k in "xyz"] + [(f"hi_{k}", f"greatest(a{k}, b{k}, c{k})") for k in "xyz"] + cross("a", "b", "c", "raw"),
+    [(f"lo_{k}", f"least(e{k}, f{k}, g{k})") for k in "xyz"] + [(f"hi_{k}", f"greatest(e{k}, f{k}, g{k})") for k in "xyz"] + cross("e", "f", "g", "raw"),
     [("nl", length("raw"))],
     [(f"n{k}", f"CASE WHEN nl >= {LEAST_NORMAL} THEN raw{k} / nl END") for k in "xyz"],
 ]
@@ -92,8 +92,8 @@ def _contact(touch: float) -> list[Stage]:
     sizes = ", ".join(f"abs({t}_{e}_{k})" for t in "pq" for e in ("lo", "hi") for k in "xyz")
     stages.append(
         [("apart", f"({boxes})"), ("thin", f"(p_nl < {LEAST_NORMAL} OR q_nl < {LEAST_NORMAL})"), ("eps", f"greatest({LEAST_EPS}, {EPS_SCALE} * {FLT_EPS} * greatest({sizes}))")]
-        + [(f"dp{i}", away("q", f"p_{c}", "q_a")) for i, c in enumerate("abc")]
-        + [(f"dq{i}", away("p", f"q_{c}", "p_a")) for i, c in enumerate("abc")]
+        + [(f"dp{i}", away("q", f"p_{c}", "q_e")) for i, c in enumerate("efg")]
+        + [(f"dq{i}", away("p", f"q_{c}", "p_e")) for i, c in enumerate("efg")]
         + [("dot", "p_nx*q_nx + p_ny*q_ny + p_nz*q_nz")]
         + [("Dx", "p_ny*q_nz - p_nz*q_ny"), ("Dy", "p_nz*q_nx - p_nx*q_nz"), ("Dz", "p_nx*q_ny - p_ny*q_nx")]
     )
@@ -111,16 +111,16 @@ def _contact(touch: float) -> list[Stage]:
     alone = lambda s, i, j, k: f"(({s}{i} > 0 AND {s}{j} <= 0 AND {s}{k} <= 0) OR ({s}{i} < 0 AND {s}{j} >= 0 AND {s}{k} >= 0))"
     stages.append(
         [(f"{t}_apex", f"CASE WHEN {alone('d' + t, 0, 1, 2)} THEN 0 WHEN {alone('d' + t, 1, 2, 0)} THEN 1 WHEN {alone('d' + t, 2, 0, 1)} THEN 2 ELSE -1 END") for t in "pq"]
-        + [(f"{t}{c}_t", f"CASE axis WHEN 0 THEN {t}_{c}x WHEN 1 THEN {t}_{c}y ELSE {t}_{c}z END") for t in "pq" for c in "abc"]
-        + [(f"{t}{c}_s", f"CASE drop WHEN 0 THEN {t}_{c}y ELSE {t}_{c}x END") for t in "pq" for c in "abc"]
-        + [(f"{t}{c}_r", f"CASE drop WHEN 2 THEN {t}_{c}y ELSE {t}_{c}z END") for t in "pq" for c in "abc"]
+        + [(f"{t}{c}_t", f"CASE axis WHEN 0 THEN {t}_{c}x WHEN 1 THEN {t}_{c}y ELSE {t}_{c}z END") for t in "pq" for c in "efg"]
+        + [(f"{t}{c}_s", f"CASE drop WHEN 0 THEN {t}_{c}y ELSE {t}_{c}x END") for t in "pq" for c in "efg"]
+        + [(f"{t}{c}_r", f"CASE drop WHEN 2 THEN {t}_{c}y ELSE {t}_{c}z END") for t in "pq" for c in "efg"]
     )
 
     def end(t: str, step: int) -> str:
         arms = []
         for i in range(3):
             j = (i + step) % 3
-            a, b = f"{t}{'abc'[i]}_t", f"{t}{'abc'[j]}_t"
+            a, b = f"{t}{'efg'[i]}_t", f"{t}{'efg'[j]}_t"
             arms.append(f"WHEN {i} THEN {a} + ({b} - {a}) * (d{t}{i} / (d{t}{i} - d{t}{j}))")
         return f"CASE {t}_apex {' '.join(arms)} END"
 
@@ -143,9 +143,9 @@ def _separate() -> str:
     beyond = []
     for t, o in ("pq", "qp"):
         for i in range(3):
-            a, b, c = (f"{t}{'abc'[(i + k) % 3]}" for k in range(3))
+            a, b, c = (f"{t}{'efg'[(i + k) % 3]}" for k in range(3))
             side = lambda p: f"((-({b}_r-{a}_r))*({p}_s-{a}_s) + ({b}_s-{a}_s)*({p}_r-{a}_r))"  # noqa: E731,B023
-            beyond.append("(" + " AND ".join(f"{side(o + k)} * {side(c)} <= -1e-12" for k in "abc") + ")")
+            beyond.append("(" + " AND ".join(f"{side(o + k)} * {side(c)} <= -1e-12" for k in "efg") + ")")
     return "(" + " OR ".join(beyond) + ")"
 
 

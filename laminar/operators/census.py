@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from laminar.functions import geometry as G
+from laminar.functions import kernels
 from laminar.operators import mesh
 
 CELL = 12.0
-_SHAPE = [f"{c}{k}" for c in "abc" for k in "xyz"] + [f"{e}_{k}" for e in ("lo", "hi") for k in "xyz"] + ["nx", "ny", "nz", "nl"]
+_CORNERS = [f"{c}{k}" for c in "efg" for k in "xyz"]
+_BOX = [f"{e}_{k}" for e in ("lo", "hi") for k in "xyz"]
 #: Ends of a contact, in total order.
 KEY = ["v1", "u1", "t1", "v2", "u2", "t2", "s1", "s2"]
 
@@ -27,18 +31,19 @@ def celled(triangles: DataFrame, cell: float = CELL) -> DataFrame:
     return out
 
 
-def pairs(triangles: DataFrame, cell: float = CELL, exclude: int = G.EXCLUDE, across: bool | None = None) -> DataFrame:
-    """Triangle pairs that share a cell, each in the one cell that owns it, without neighbours on the same surface.
+def pairs(triangles: DataFrame, cell: float = CELL, exclude: int = G.EXCLUDE, across: bool | None = None, touch: float = G.TOUCH) -> DataFrame:
+    """Triangle pairs whose boxes meet, each in the one cell that owns it, without neighbours on the same surface.
 
     The join is an equi-join on the cell, so it shuffles and AQE splits crowded cells; the owner cell (of the larger of the two
     low corners) makes a distinct over pairs needless. across: pairs of different surfaces only, or of the same only."""
     cells = celled(triangles, cell)
-    named = lambda t: cells.select(*[F.col(c).alias(f"{t}_{c}") for c in ["surface_id", "v", "u", "t", *_SHAPE, "g_x", "g_y", "g_z"]], "c_x", "c_y", "c_z")
+    named = lambda t: cells.select(*[F.col(c).alias(f"{t}_{c}") for c in ["surface_id", "v", "u", "t", *_CORNERS, *_BOX, "g_x", "g_y", "g_z"]], "c_x", "c_y", "c_z")
     met = named("p").join(named("q"), ["c_x", "c_y", "c_z"])
     p, q = (F.struct(*[f"{t}_{c}" for c in ("surface_id", "v", "u", "t")]) for t in "pq")
     owner = F.lit(True)
     for k in "xyz":
         owner = owner & (F.col(f"c_{k}") == F.greatest(f"p_g_{k}", f"q_g_{k}"))
+        owner = owner & (F.col(f"p_hi_{k}") >= F.col(f"q_lo_{k}") - touch) & (F.col(f"q_hi_{k}") >= F.col(f"p_lo_{k}") - touch)
     same = F.col("p_surface_id") == F.col("q_surface_id")
     near = same & (F.abs(F.col("p_v") - F.col("q_v")) <= exclude) & (F.abs(F.col("p_u") - F.col("q_u")) <= exclude)
     met = met.where(owner & ~near)
@@ -49,9 +54,21 @@ def pairs(triangles: DataFrame, cell: float = CELL, exclude: int = G.EXCLUDE, ac
 
 def contacts(triangles: DataFrame, cell: float = CELL, exclude: int = G.EXCLUDE, touch: float = G.TOUCH, across: bool | None = None) -> DataFrame:
     """Contacts with verdict, penetration and angle, ends in order of (surface, v, u, triangle)."""
-    judged = G.staged(pairs(triangles, cell, exclude, across), G.contact(touch)).where("verdict <> 'none'")
     ends = [F.col(f"{t}_{c}").alias(f"{n}{i}") for i, t in ((1, "p"), (2, "q")) for n, c in (("s", "surface_id"), ("v", "v"), ("u", "u"), ("t", "t"))]
-    return judged.select(*ends, "verdict", F.col("penetration").cast("float").alias("penetration"), F.col("angle_deg").cast("float").alias("angle_deg"))
+    corners = [f"{t}_{c}" for t in "pq" for c in _CORNERS]
+    names = [f"{n}{i}" for i in (1, 2) for n in "svut"]
+
+    def judge(batches):
+        for batch in batches:
+            p, q = (np.stack([batch.column(f"{t}_{c}").to_numpy() for c in _CORNERS], 1).reshape(-1, 3, 3) for t in "pq")
+            verdict, pen, angle = kernels.contact(p, q, touch)
+            hit = np.flatnonzero(verdict)
+            kept = [batch.column(c).take(pa.array(hit)) for c in names]
+            said = [pa.array(kernels.NAMES[verdict[hit]].tolist(), pa.string()), pa.array(pen[hit].astype(np.float32)), pa.array(angle[hit].astype(np.float32))]
+            yield pa.RecordBatch.from_arrays([*kept, *said], names=[*names, "verdict", "penetration", "angle_deg"])
+
+    schema = "s1 long, v1 int, u1 int, t1 int, s2 long, v2 int, u2 int, t2 int, verdict string, penetration float, angle_deg float"
+    return pairs(triangles, cell, exclude, across, touch).select(*ends, *corners).mapInArrow(judge, schema)
 
 
 VERDICTS = ("transverse", "coplanar", "grazing")

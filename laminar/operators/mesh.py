@@ -39,7 +39,7 @@ def triangles(found: DataFrame, diagonal: int = 0) -> DataFrame:
     """The two triangles of each retained quad under a diagonal, with box and unit normal."""
     parts = []
     for t, corners in enumerate(G.TRIANGLES[diagonal]):
-        points = [F.col(f"{p}{a}").alias(f"{c}{a}") for c, p in zip("abc", corners) for a in "xyz"]
+        points = [F.col(f"{p}{a}").alias(f"{c}{a}") for c, p in zip("efg", corners) for a in "xyz"]
         parts.append(F.struct(F.lit(t).alias("t"), *points))
     flat = found.where("retained").select("surface_id", "v", "u", F.explode(F.array(*parts)).alias("q")).select("surface_id", "v", "u", "q.*")
     return G.staged(flat, G.TRIANGLE).drop("rawx", "rawy", "rawz")

@@ -1,5 +1,6 @@
 """All queries of the engine; importing this module registers them."""
 
+from laminar.plans import mesh_queries  # noqa: F401
 from laminar.queries import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
