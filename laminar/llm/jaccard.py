@@ -254,13 +254,14 @@ def linked(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> D
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links, itself included) of every row of docs.
 
     Keys are shuffled as (key, set hash): first for each key's smallest and largest set, summed map-side, then, for
-    keys that more than one set holds, to tie the sets to families. Only sets in families are read again with their
+    keys that more than one set holds, to tie the sets to families; the join is by merge at every size, so that its shuffle
+    grows as the input. Only sets in families are read again with their
     shingles; a family of m sets makes units of two leaves, so no task holds more than 2 * LEAF sets."""
     whole = keyed(docs, "text")
     rows = written(_sets(whole, words, threshold), "shingle-sets")
     keys = rows.select("a", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low <> high").select("key", "low")
-    families = components(keys.join(shared, "key").where("a <> low").select("low", "a").distinct(), "low", "a")
+    families = components(keys.join(shared.hint("merge"), "key").where("a <> low").select("low", "a").distinct(), "low", "a")
     families = families.select(F.col("node").alias("a"), F.col("component").alias("family"))
 
     sets = rows.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_key").alias("node"))
@@ -276,7 +277,7 @@ def linked(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> D
     pairs = x.join(y, "family").where(order).withColumn("unit", F.xxhash64("family", "band_x", "slot_x", "band_y", "slot_y"))
     ends = F.array_distinct(F.array(F.struct(F.col("band_x").alias("band"), F.col("slot_x").alias("slot")), F.struct(F.col("band_y").alias("band"), F.col("slot_y").alias("slot"))))
     dealt = pairs.select("family", "unit", F.explode(ends).alias("end")).select("family", "unit", "end.*")
-    with_sets = _with_shingles(whole.join(slot.select(F.col("node").alias("doc_key"), "family", "band", "slot"), "doc_key").select("doc_key", "family", "band", "slot", "text"), words)
+    with_sets = _with_shingles(whole.join(slot.select(F.col("node").alias("doc_key"), "family", "band", "slot").hint("merge"), "doc_key").select("doc_key", "family", "band", "slot", "text"), words)
     with_sets = with_sets.groupBy("doc_key", "family", "band", "slot").agg(F.max("shingles").alias("shingles"))
     units = with_sets.join(dealt, ["family", "band", "slot"]).select("unit", F.col("doc_key").alias("node"), F.xxhash64("family", "band", "slot").alias("leaf"), "shingles")
     spread = units.repartition("unit").sortWithinPartitions("unit", "leaf", "node")
