@@ -121,7 +121,7 @@ def solve(sets: DataFrame, quad_areas: DataFrame, small: int = 12) -> DataFrame:
     flat = sets.select("component", F.explode("coverage").alias("vertex")).distinct()
     corner = F.explode(F.array(*[F.lit(dv * (1 << 20) + du) for dv in (0, 1) for du in (0, 1)]))
     at = quad_areas.select(code(F.col("surface_id"), F.col("v"), F.col("u")).alias("quad"), "area").select("quad", "area", corner.alias("o")).select("quad", "area", (F.col("quad") + F.col("o")).alias("vertex"))
-    incident = flat.join(at, "vertex").select("component", "vertex", "quad", "area")
+    incident = flat.join(at, "vertex").select(F.col("component").alias("part"), "vertex", "quad", "area")
 
     def run(key, c: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
         near: dict[int, list[tuple[int, float]]] = {}
@@ -135,7 +135,7 @@ def solve(sets: DataFrame, quad_areas: DataFrame, small: int = 12) -> DataFrame:
             chosen, how = (better or chosen), "optimal" if proven else "greedy"
         return pd.DataFrame({"component": key[0], "vertex": chosen, "method": how})
 
-    return sets.select("component", "cid", "coverage").groupBy("component").cogroup(incident.groupBy("component")).applyInPandas(run, "component long, vertex long, method string")
+    return sets.select("component", "cid", "coverage").groupBy("component").cogroup(incident.groupBy("part")).applyInPandas(run, "component long, vertex long, method string")
 
 
 def without(vertices: DataFrame, removed: DataFrame) -> DataFrame:
