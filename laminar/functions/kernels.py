@@ -87,3 +87,23 @@ def contact(p: np.ndarray, q: np.ndarray, touch: float) -> tuple[np.ndarray, np.
     )
     measured = ~(apart | thin | beside | flat | graze | open_) & (shared > 0)
     return verdict, np.where(measured, reach, 0.0), np.where(thin, 0.0, angle)
+
+
+def point_triangle(points: np.ndarray, triangles: np.ndarray) -> np.ndarray:
+    """Distance of n points from n triangles (n, 3 corners, 3), in the precision given: least over the plane's foot, where
+    it falls inside, and the three edges."""
+    a, b, c = triangles[:, 0], triangles[:, 1], triangles[:, 2]
+    normal = np.cross(b - a, c - a)
+    size = (normal * normal).sum(1)
+    best = np.full(len(points), np.inf, points.dtype)
+    inside = size > 0
+    for p, q in ((a, b), (b, c), (c, a)):
+        edge, to = q - p, points - p
+        length = (edge * edge).sum(1)
+        t = np.clip((to * edge).sum(1) / np.where(length > 0, length, 1), 0, 1)
+        away = to - t[:, None] * edge
+        best = np.minimum(best, (away * away).sum(1))
+        inside &= (np.cross(edge, to) * normal).sum(1) >= 0
+    height = ((points - a) * normal).sum(1)
+    foot = height * height / np.where(size > 0, size, 1)
+    return np.sqrt(np.where(inside, foot, best))

@@ -99,9 +99,8 @@ def hashed_sample(rows: DataFrame, by: list[str], key: list[str], n: int, seed:
     return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 
-def crossing_status(n_d0, n_d1):
-    """Crossing under both diagonals, one, or none."""
-    return F.when((n_d0 > 0) & (n_d1 > 0), "crossing").when((n_d0 > 0) | (n_d1 > 0), "diagonal_dependent").otherwise("clean")
+def crossing_status(n):
+    return F.when(n > 0, "present").otherwise("none")
 
 
 #: The ratio of two period estimates that still agree, both ends included.
@@ -116,8 +115,17 @@ def period_status(turning, consistent, neighbour):
     return F.when(gone, "unavailable").when(~F.coalesce(consistent, F.lit(False)), "disagreed").when(none, "unavailable").when(ratio.between(*PERIOD_RATIO), "agreed").otherwise("disagreed")
 
 
-def separation_band(separation, period):
-    """Separation in periods: same wrap, adjacent or far; unknown without both."""
-    r = separation / period
-    unknown = separation.isNull() | F.isnan(separation) | period.isNull() | F.isnan(period) | (period <= 0)
-    return F.when(unknown, "unknown").when(r < 0.5, "same_wrap").when(r < 1.5, "adjacent_wrap").otherwise("far")
+#: Separations, in revolutions, between the three ranges.
+NEARBY, WIDE = 0.15, 1.6
+
+
+def separation_band(separation):
+    """A literal range of the separation, for grouping only."""
+    return F.when(separation.isNull(), "no crossing").when(separation < NEARBY, f"< {NEARBY} rev").when(separation < WIDE, f"{NEARBY} - {WIDE} rev").otherwise(f">= {WIDE} rev")
+
+
+def verdict(crossing, period, separation):
+    """What was measured, in a few words; a separation in revolutions only where both periods agree."""
+    known = (period == "agreed") & separation.isNotNull()
+    said = F.concat(F.lit("crosses itself; widest separation "), F.format_string("%.2f", separation), F.lit(" revolutions"))
+    return F.when(crossing == "none", "does not cross itself").when(known, said).when(period == "disagreed", "crosses itself; periods disagree").otherwise("crosses itself; period unavailable")

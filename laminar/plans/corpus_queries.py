@@ -175,10 +175,10 @@ def flag_enrichment(spark, sf_dir):
     return stats.enrichment(rows, "f", "d").select(*r6("rate_flagged", "rate_control"), "n_unknown", *r6("enrichment"))
 
 
-@query("period_status", "SELECT event_id, CASE WHEN t IS NULL THEN 'unavailable' WHEN NOT c THEN 'disagreed' WHEN nb IS NULL OR nb <= 0 THEN 'unavailable' WHEN t / nb BETWEEN 0.8 AND 1.25 THEN 'agreed' ELSE 'disagreed' END AS status, CASE WHEN t IS NULL OR nb IS NULL OR nb <= 0 THEN 'unknown' WHEN t / nb < 0.5 THEN 'same_wrap' WHEN t / nb < 1.5 THEN 'adjacent_wrap' ELSE 'far' END AS band FROM (SELECT event_id, CASE WHEN event_id % 9 = 0 THEN NULL ELSE value END AS t, event_id % 4 <> 0 AS c, CASE WHEN event_id % 10 = 0 THEN NULL ELSE value + (event_id % 7) - 3 END AS nb FROM events)")
+@query("period_status", "SELECT event_id, CASE WHEN t IS NULL THEN 'unavailable' WHEN NOT c THEN 'disagreed' WHEN nb IS NULL OR nb <= 0 THEN 'unavailable' WHEN t / nb BETWEEN 0.8 AND 1.25 THEN 'agreed' ELSE 'disagreed' END AS status, CASE WHEN nb IS NULL THEN 'no crossing' WHEN nb < 0.15 THEN '< 0.15 rev' WHEN nb < 1.6 THEN '0.15 - 1.6 rev' ELSE '>= 1.6 rev' END AS band FROM (SELECT event_id, CASE WHEN event_id % 9 = 0 THEN NULL ELSE value END AS t, event_id % 4 <> 0 AS c, CASE WHEN event_id % 10 = 0 THEN NULL ELSE value + (event_id % 7) - 3 END AS nb FROM events)")
 def period_status(spark, sf_dir):
     rows = read(spark, sf_dir, "events").selectExpr("event_id", "CASE WHEN event_id % 9 = 0 THEN CAST('NaN' AS DOUBLE) ELSE value END AS t", "event_id % 4 <> 0 AS c", "CASE WHEN event_id % 10 = 0 THEN NULL ELSE value + (event_id % 7) - 3 END AS nb")
-    return rows.select("event_id", stats.period_status(F.col("t"), F.col("c"), F.col("nb")).alias("status"), stats.separation_band(F.col("t"), F.col("nb")).alias("band"))
+    return rows.select("event_id", stats.period_status(F.col("t"), F.col("c"), F.col("nb")).alias("status"), stats.separation_band(F.col("nb")).alias("band"))
 
 
 _BOX = "p_partkey AS k, (p_partkey * 37 % 1000)::DOUBLE AS lo_x, (p_partkey * 37 % 1000 + p_size)::DOUBLE AS hi_x, (p_retailprice % 500) AS lo_y, (p_retailprice % 500) + p_size / 2.0 AS hi_y"

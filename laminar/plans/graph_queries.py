@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from laminar.functions.geometry import distance
-from laminar.operators import excise, graph, mesh, regions
+from laminar.operators import events, excise, gaps, graph, mesh, regions
 from laminar.plans.mesh_queries import _contacts, _found, _quads, _sheet
 from laminar.queries import query
 
@@ -117,3 +117,31 @@ def excise_certificate(spark, sf_dir):
     removed = _found(spark, sf_dir).where("verdict = 'transverse'").select(regions.code(F.col("s1"), F.col("v1"), F.col("u1")).alias("vertex"))
     found = excise.certificate(whole, excise.without(whole, removed))
     return found.select("surface_id", "quads_before", "quads_after", *[F.round(c, 4).alias(c) for c in ("area_before", "area_after", "retained_fraction")], "within_budget", "clean_by_emptiness")
+
+
+def _rows(spark, sf_dir, diagonal: int):
+    found = _found(spark, sf_dir, diagonal).where("verdict = 'transverse'").select("s1", "v1", "u1", "v2", "u2").distinct()
+    return found.select(F.col("s1").alias("surface_id"), regions.code(F.col("v1"), F.col("v2") * 64 + F.col("u1"), F.col("u2")).alias("row"), "v1", "u1", "v2", "u2")
+
+
+@query("oriented_events")
+def oriented_events(spark, sf_dir):
+    return events.oriented(_rows(spark, sf_dir, 0))
+
+
+@query("events_matched_across_diagonals")
+def events_matched(spark, sf_dir):
+    cells = []
+    for d in (0, 1):
+        rows = _rows(spark, sf_dir, d)
+        cells.append(events.sides(rows, events.oriented(rows)))
+    return events.matched(*cells)
+
+
+@query("nearest_sheets")
+def nearest_sheets(spark, sf_dir):
+    """Of every cell, the nearest parts of the same sheet at least eight columns away."""
+    found = mesh.triangles(mesh.quads(_sheet(spark, sf_dir)), 0).withColumn("tag", F.col("u"))
+    cells = mesh.sampled(_sheet(spark, sf_dir), 2)
+    queries = cells.select(regions.code(F.col("surface_id"), F.col("v"), F.col("u")).alias("qid"), "x", "y", "z", F.col("u").alias("grp"))
+    return gaps.nearest_sheets(queries, found, 16.0, 8)
