@@ -93,7 +93,7 @@ def planted(vertices: DataFrame, v0: int, v1: int, u0: int, u1: int, period: int
 
 
 def revolution_periods(vertices: DataFrame) -> DataFrame:
-    """Columns a surface needs for a full turn, from how its centre line of column medians winds; NaN where it hardly turns."""
+    """Columns a surface needs for a full turn, from how its centre line of column medians winds; null where it hardly turns."""
     valid = vertices.where("valid")
     line = valid.groupBy("surface_id", "u").agg(F.count("*").alias("n"), *[F.median(F.col(k).cast("double")).alias(k) for k in "xyz"]).where("n >= 3")
 

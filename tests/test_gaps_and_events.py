@@ -69,7 +69,7 @@ def test_revolution_period(spark):
     points[:, :, 2] = np.arange(4)[:, None]
     r = gaps.revolution_periods(grid(spark, points)).first()
     assert abs(r.period - 40) < 2
-    assert math.isnan(gaps.revolution_periods(grid(spark, plane(4, 6))).first().period)  # fewer than eight columns
+    assert gaps.revolution_periods(grid(spark, plane(4, 6))).first().period is None  # fewer than eight columns
 
 
 def rows(spark, *contacts):
