@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from laminar.ship import shipped
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -10,7 +12,7 @@ def query(name: str, sql: str | None = None):
     """Register a function (spark, sf_dir) -> DataFrame, with the SQL that gives the same rows."""
 
     def add(f):
-        QUERIES[name] = f
+        QUERIES[name] = shipped(f)
         if sql is not None:
             ORACLES[name] = sql
         return f
