@@ -12,31 +12,37 @@ from pyspark.sql import functions as F
 from laminar.llm import decontam, jaccard, langid, mixing, tokens
 from laminar.llm.common import scratch_path, table, written
 from laminar.llm.queries import vocabulary
+from laminar.ship import shipped
 
 #: Near duplicates of the stage: words of a shingle, and the least similarity in percent.
 WORDS, SIMILAR = 5, 80
 
 
+@shipped
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with enough certainty."""
     return langid.judged(docs).where("id_accepted").select(*docs.columns)
 
 
+@shipped
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near duplicates."""
     return jaccard.one_of_each(docs, WORDS, SIMILAR)
 
 
+@shipped
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+@shipped
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn so that source, language and topic meet their target shares."""
     return mixing.drawn(docs).where("mix_kept").select(*docs.columns)
 
 
+@shipped
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each document's ids lie in the written files, how many there are, and their checksum."""
     path = scratch_path(spark, "pipeline-ids")
