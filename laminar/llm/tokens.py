@@ -135,8 +135,14 @@ def word_level(path: str) -> bool:
         return False
 
 
-def _encoder(path: str, fixed=None):
-    return WordEncoder(path, fixed) if word_level(path) else TextEncoder(path)
+_encoders: dict = {}
+
+
+def _encoder(path: str):
+    """The worker's encoder of a vocabulary; it outlives tasks, and with it the pieces it has met."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path) if word_level(path) else TextEncoder(path)
+    return _encoders[path]
 
 
 def frequent_pieces(docs: DataFrame, most: int = FREQUENT, per_task: int = PER_TASK) -> list[str]:
