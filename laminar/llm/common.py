@@ -12,7 +12,7 @@ from laminar.scratch import scratch_path, shared_dir, written  # noqa: F401
 #: Stands for a missing id: rows without one count together as one document that comes last.
 NO_ID = 2**63 - 1
 #: Text bytes that one step of a numpy kernel looks at; a longer document is a step of its own.
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 19
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
