@@ -24,6 +24,9 @@ from laminar.operators.components import components
 
 #: Least cosine of a link; codewords of each half; threshold in standard deviations of a random direction's product.
 LEAST, CODEWORDS, DEVIATIONS = 0.9, 1024, 3.8
+#: A vector that passes fewer filters than this lowers its own threshold by EASE until it has them; its near neighbours lie
+#: as unluckily and do the same.
+FEWEST, EASE = 8, 0.3
 #: Points of one filter that are compared in one piece; a fuller filter is compared block by block.
 BLOCK = 256
 SEED = 20_240_229
@@ -31,19 +34,34 @@ SEED = 20_240_229
 
 @lru_cache(8)
 def codebooks(dim: int, codewords: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two books of random codewords; a pair of them is a direction of length 1."""
+    """Two books of random codewords; a pair of them is a direction of length 1. Few dimensions need few codewords: one of
+    them takes only the two signs."""
     rng = np.random.default_rng([SEED, dim])
     halves = [(dim + 1) // 2, dim // 2]
     books = []
     for width in halves:
-        book = rng.standard_normal((codewords, max(width, 1)))
+        book = rng.standard_normal((min(codewords, 2 * 4 ** (min(width, 12) - 1)) if width else 1, max(width, 1)))
+        if width == 1:
+            book[:, 0] = 1, -1
         book *= np.sqrt(width / dim) / np.linalg.norm(book, axis=1, keepdims=True)
         books.append(book[:, :width])
     return books[0], books[1]
 
 
 def decode(x: np.ndarray, codewords: int, deviations: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, filter) of every filter that each row of x, of length 1, passes."""
+    """(row, filter) of every filter that each row of x, of length 1, passes, by row; see FEWEST for rows that pass few."""
+    row, code = _passed(x, codewords, deviations)
+    few = np.flatnonzero(np.bincount(row, minlength=len(x)) < FEWEST)
+    while len(few) and (deviations := deviations - EASE) > 0:
+        more, found = _passed(x[few], codewords, deviations)
+        kept = ~np.isin(row, few)
+        row, code = np.r_[row[kept], few[more]], np.r_[code[kept], found]
+        few = few[np.bincount(more, minlength=len(few)) < FEWEST]
+    order = np.lexsort((code, row))
+    return row[order], code[order]
+
+
+def _passed(x: np.ndarray, codewords: int, deviations: float) -> tuple[np.ndarray, np.ndarray]:
     first, second = codebooks(x.shape[1], codewords)
     least = deviations / np.sqrt(x.shape[1])
     a, b = x[:, : first.shape[1]] @ first.T, x[:, first.shape[1] :] @ second.T
@@ -76,8 +94,6 @@ def _filtered(points: DataFrame, codewords: int, deviations: float) -> DataFrame
                 for k in range(0, len(of), 512):
                     part = batch.take(pa.array(of[k : k + 512]))
                     row, code = decode(_matrix(part.column("v"), int(dim)), codewords, deviations)
-                    order = np.lexsort((code, row))
-                    row, code = row[order], code[order]
                     first = np.searchsorted(row, np.arange(len(part) + 1))
                     own = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(code.astype(np.int32)))
                     at = pa.array(row)
