@@ -174,4 +174,4 @@ def write_surface_folder(vertices: DataFrame, path: str) -> None:
     with open(f"{path}/mask.tif", "wb") as f:
         f.write(encode_tiff(valid * np.uint8(255)))
     with open(f"{path}/meta.json", "w") as f:
-        json.dump({"bbox": [[b[0] for b in box], [b[1] for b in box]], "format": "tifxyz"}, f)
+        json.dump({"bbox": [[b[0] for b in box], [b[1] for b in box]]}, f)
