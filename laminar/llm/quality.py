@@ -1,10 +1,12 @@
 """Quality classifier by co-training: a content view and a metadata view teach each other, then judge together.
 
-Content: shape statistics of the whole text. Metadata: language, source and stored length, hashed. Both are fitted on a
-bounded sample of labelled rows; in each round each view hands its most confident pseudo-labels for unlabelled
-documents to the other; held-out labels calibrate each view and the sum of the two. All documents are scored.
+Content: shape statistics of the whole text. Metadata: language, source and stored length, hashed. Both start from a
+bounded sample of labelled rows; in each round each view judges every unlabelled document and hands its most confident
+pseudo-labels, a share of all of them, to the other, which is fitted anew by Newton steps whose gradients and Hessians
+are summed over all tasks; held-out labels calibrate each view and the sum of the two. All documents are scored.
 
-Null or empty texts have all-zero content and are scored so; null metadata is a value of its own. Repeated ids in
+A document that both views choose in a round is handed both ways; none is handed again in a later round. Documents
+without an id have no label. Null or empty texts have all-zero content and are scored so; null metadata is a value of its own. Repeated ids in
 the labels count each; a tie at the threshold is kept. Without labels of both classes every score is 0.5 and all
 rows are kept. Other columns, clashing names included, play no part.
 """
@@ -18,10 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from laminar.llm.common import SPACE, buffers, steps, word_hashes
+from laminar.llm.common import SPACE, buffers, steps, word_hashes, written
 
-#: Rows the models may be fitted on, labelled and unlabelled: the lowest by hash of id. Rounds, and labels a round hands on.
-LABELLED, POOL, ROUNDS, HANDED = 20_000, 20_000, 4, 500
+#: Labelled rows the models may be fitted on: the lowest by hash of id. Rounds, and the share of all unlabelled
+#: documents that a view hands on in a round, as far as their margins pass SURE.
+LABELLED, ROUNDS, HANDED, SURE = 20_000, 4, 0.025, 2.2
+#: Newton steps of a fit, at most; largest change of a weight after which no other follows; bins of a margin's size.
+STEPS, SETTLED, BINS = 12, 1e-3, 4096
 #: Share of the labelled rows that is held out for calibration; score from which a document is kept.
 HELD_OUT, KEEP = 0.25, 0.5
 META = 128
@@ -78,17 +83,27 @@ def _slot(kind: str, value) -> int:
     return zlib.crc32(f"{kind}={value}".encode()) % META
 
 
-def metadata(lang: list, source: list, n_chars: list) -> np.ndarray:
-    out = np.zeros((len(lang), META + 1))
-    for i, (a, b, c) in enumerate(zip(lang, source, n_chars)):
-        out[i, _slot("lang", a)] += 1
-        out[i, _slot("source", b)] += 1
-        out[i, _slot("size", None if c is None else int(max(c, 0)).bit_length())] += 1
-        out[i, META] = np.log1p(max(c or 0, 0))
+def slots(lang: list, source: list, n_chars: list) -> np.ndarray:
+    """The three columns of metadata that are one, and the last column's value."""
+    size = [None if c is None else int(max(c, 0)).bit_length() for c in n_chars]
+    rows = [(_slot("lang", a), _slot("source", b), _slot("size", k), np.log1p(max(c or 0, 0))) for a, b, k, c in zip(lang, source, size, n_chars)]
+    return np.array(rows, float).reshape(-1, 4)
+
+
+def spread(short: np.ndarray) -> np.ndarray:
+    """Metadata in META + 1 columns; what falls on the same one adds up."""
+    out = np.zeros((len(short), META + 1))
+    for k in range(3):
+        np.add.at(out, (np.arange(len(short)), short[:, k].astype(int)), 1)
+    out[:, META] = short[:, 3]
     return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, steps: int = 12, ridge: float = 1.0) -> tuple:
+def metadata(lang: list, source: list, n_chars: list) -> np.ndarray:
+    return spread(slots(lang, source, n_chars))
+
+
+def fit(x: np.ndarray, y: np.ndarray, steps: int = STEPS, ridge: float = 1.0) -> tuple:
     """Logistic regression by Newton steps on standardised columns: mean, scale, weights with the constant last."""
     mean, scale = x.mean(0), x.std(0)
     scale[scale < 1e-9] = 1.0
@@ -110,30 +125,116 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-x))
 
 
-def co_train(xc, xm, y, uc, um, rounds: int = ROUNDS, handed: int = HANDED) -> dict | None:
-    """The two views' models, their calibrations and the model of both. None without labels of both classes."""
+WIDTHS = (CONTENT + 1, META + 2)
+
+
+def _raw(model: tuple) -> np.ndarray:
+    """Weights of a model on columns as they are."""
+    mean, scale, w = model
+    return np.r_[w[:-1] / scale, w[-1] - np.sum(w[:-1] * mean / scale)]
+
+
+def _sums(x: np.ndarray, y: np.ndarray, v: np.ndarray, short: np.ndarray | None = None) -> np.ndarray:
+    """Number, sums and squares of the columns (with a constant one), gradient and Hessian at raw weights v, end to end.
+
+    With `short`, x is metadata, whose few entries a row are added one by one."""
+    z = np.c_[x, np.ones(len(x))]
+    p = sigmoid(np.clip(z @ v, -30, 30))
+    weight = p * (1 - p) + 1e-6
+    if short is None:
+        h = (z * weight[:, None]).T @ z
+    else:
+        n, k = len(z), z.shape[1]
+        at = np.c_[short[:, :3].astype(int), np.full((n, 1), META), np.full((n, 1), META + 1)]
+        value = np.c_[np.ones((n, 3)), short[:, 3:4], np.ones((n, 1))]
+        pairs = (at[:, :, None] * k + at[:, None, :]).ravel()
+        h = np.bincount(pairs, (value[:, :, None] * value[:, None, :] * weight[:, None, None]).ravel(), k * k)
+    return np.r_[len(z), z.sum(0), (z * z).sum(0), z.T @ (p - y), h.ravel()]
+
+
+def _newton(total: np.ndarray, v: np.ndarray, ridge: float = 1.0) -> tuple[tuple, float]:
+    """The model one Newton step after raw weights v, and the largest change of a weight; columns standardised as in fit."""
+    k = len(v)
+    n, first, second, g = total[0], total[1 : k + 1], total[k + 1 : 2 * k + 1], total[2 * k + 1 : 3 * k + 1]
+    h = total[3 * k + 1 :].reshape(k, k)
+    mean = first[:-1] / n
+    spread2 = second[:-1] / n - mean**2
+    scale = np.sqrt(np.where(spread2 > 1e-12 * np.maximum(second[:-1] / n, 1e-6), spread2, 1.0))
+    turn = np.diag(np.r_[1 / scale, 1.0])
+    turn[:-1, -1] = -mean / scale
+    w = np.r_[v[:-1] * scale, v[-1] + np.sum(v[:-1] * mean)]
+    step = np.linalg.solve(turn @ h @ turn.T + ridge * np.eye(k), turn @ g + ridge * w)
+    return (mean, scale, w - step), float(np.abs(step).max())
+
+
+def _bins(margins: np.ndarray) -> np.ndarray:
+    """Bin of a margin's size, so that every task cuts at the same place."""
+    return np.minimum((np.abs(margins) * (BINS / 30)).astype(int), BINS - 1)
+
+
+def _choices(history: list, x: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Which view handed on each row with what label, by (models, cuts) of the rounds so far: (2, n) of -1, 0 or 1; and the rows never chosen."""
+    given = np.full((2, len(x[0])), -1)
+    free = np.ones(len(x[0]), bool)
+    for models, cuts in history:
+        margins = [margin(m, f) for m, f in zip(models, x)]
+        picks = [free & (np.abs(a) > SURE) & (_bins(a) >= cut) for a, cut in zip(margins, cuts)]
+        for k in (0, 1):
+            given[k][picks[k]] = margins[k][picks[k]] > 0
+        free &= ~(picks[0] | picks[1])
+    return given, free
+
+
+def histogram(history: list, models: list, c: np.ndarray, short: np.ndarray) -> np.ndarray:
+    """How many rows still free each view is sure of, by bin."""
+    x = (c, spread(short))
+    _, free = _choices(history, x)
+    margins = [margin(m, f)[free] for m, f in zip(models, x)]
+    return np.concatenate([np.bincount(_bins(a[np.abs(a) > SURE]), minlength=BINS) for a in margins]).astype(float)
+
+
+def gradients(history: list, weights: list, c: np.ndarray, short: np.ndarray) -> np.ndarray:
+    """_sums of both views over the rows that the other view handed them."""
+    x = (c, spread(short))
+    given, _ = _choices(history, x)
+    out = []
+    for k in (0, 1):
+        y = given[1 - k]
+        got = y >= 0
+        out.append(_sums(x[k][got], y[got], weights[k], short[got] if k else None))
+    return np.concatenate(out)
+
+
+def _cut(counts: np.ndarray, wanted: float) -> int:
+    """Lowest bin of the most certain rows, `wanted` of them or as many more as their last bin holds."""
+    return max(int(np.searchsorted(-np.cumsum(counts[::-1])[::-1], -wanted, "right")) - 1, 0)
+
+
+def co_train(xc, xm, y, n_free: int, over, rounds: int = ROUNDS, handed: float = HANDED) -> dict | None:
+    """The two views' models, their calibrations and the model of both. None without labels of both classes.
+
+    xc, xm, y: the labelled rows. over(f, *given) is the sum of f(*given, c, short) over the n_free unlabelled documents."""
     held = np.random.default_rng(0).random(len(y)) < HELD_OUT  # rows come in order of id: a fixed draw, no stride
     if len(y) < 20 or len(set(y[~held])) < 2 or len(set(y[held])) < 2:
         return None
-    views = [(xc[~held], uc), (xm[~held], um)]
-    sets = [[x, y[~held].astype(float)] for x, _ in views]
-    free = np.ones(len(uc), bool)
-    models = [fit(*s) for s in sets]
-    for _ in range(rounds):
-        for mine, other in ((0, 1), (1, 0)):
-            at = np.flatnonzero(free)
-            score = margin(models[mine], views[mine][1][at]) if len(at) else np.zeros(0)
-            order = np.argsort(-np.abs(score), kind="stable")[:handed]
-            order = order[np.abs(score[order]) > 2.2]
-            if len(order):
-                got = at[order]
-                free[got] = False
-                sets[other] = [np.r_[sets[other][0], views[other][1][got]], np.r_[sets[other][1], (score[order] > 0).astype(float)]]
-        models = [fit(*s) for s in sets]
+    known, truth = (xc[~held], xm[~held]), y[~held].astype(float)
+    models, history = [fit(x, truth) for x in known], []
+    ends = np.cumsum([1 + 3 * k + k * k for k in WIDTHS])
+    for _ in range(rounds if n_free else 0):
+        counts = over(histogram, history, models).reshape(2, BINS)
+        if not counts.any():
+            break
+        history.append((models, [_cut(n, handed * n_free) for n in counts]))
+        for _ in range(STEPS):
+            weights = [_raw(m) for m in models]
+            parts = np.split(over(gradients, history, weights), ends[:1])
+            models, moved = zip(*(_newton(_sums(x, truth, v) + part, v) for x, v, part in zip(known, weights, parts)))
+            if max(moved) < SETTLED:
+                break
     margins = np.c_[margin(models[0], xc[held]), margin(models[1], xm[held])]
     scales = [fit(margins[:, [k]], y[held].astype(float)) for k in (0, 1)]
     calibrated = np.c_[margin(scales[0], margins[:, [0]]), margin(scales[1], margins[:, [1]])]
-    return {"models": models, "scales": scales, "both": fit(calibrated, y[held].astype(float))}
+    return {"models": list(models), "scales": scales, "both": fit(calibrated, y[held].astype(float))}
 
 
 def judge(model: dict | None, xc, xm) -> tuple:
@@ -151,37 +252,67 @@ def _plain(docs: DataFrame) -> DataFrame:
     return docs.select(get("doc_id", "long"), get("text", "string"), get("lang", "string"), get("source", "string"), get("n_chars", "long"))
 
 
-def _features(rows: DataFrame, extra: str) -> DataFrame:
-    """Features of a bounded set of rows, made where the rows are; only numbers come to the driver."""
+def _features(rows: DataFrame) -> DataFrame:
+    """Content and short metadata of every row, made where the rows are."""
 
     def make(batches):
         for whole in batches:
             for batch in steps(whole):
                 c = content(batch.column("text"))
-                m = metadata(*(batch.column(k).to_pylist() for k in ("lang", "source", "n_chars")))
+                m = slots(*(batch.column(k).to_pylist() for k in ("lang", "source", "n_chars")))
                 lists = [pa.array(list(x.astype(np.float32)), pa.list_(pa.float32())) for x in (c, m)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column(extra), *lists], names=["doc_id", extra, "c", "m"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists], names=["doc_id", "c", "m"])
+
+    return rows.mapInArrow(make, "doc_id long, c array<float>, m array<float>")
 
-    return rows.mapInArrow(make, f"doc_id long, {extra} int, c array<float>, m array<float>")
 
+def _matrix(lists: pa.Array, width: int) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", labelled: int = LABELLED, pool: int = POOL) -> dict | None:
-    """Fits on at most `labelled` labelled and `pool` other documents, those whose ids hash lowest."""
-    plain = _plain(docs)
+
+def _over(rows: DataFrame):
+    """Sums over rows of c and m: one row of numbers a task, added up in order of the tasks."""
+
+    def total(f, *given):
+        sent = rows.sparkSession.sparkContext.broadcast(given)
+
+        def add(batches):
+            from pyspark import TaskContext
+
+            out = None
+            for batch in batches:
+                for at in range(0, len(batch), 4096):
+                    some = batch.slice(at, 4096)
+                    part = f(*sent.value, _matrix(some.column("c"), CONTENT), _matrix(some.column("m"), 4))
+                    out = part if out is None else out + part
+            if out is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["part", "sums"])
+
+        parts = rows.select("c", "m").mapInArrow(add, "part int, sums binary").collect()
+        sent.destroy()
+        return sum(np.frombuffer(bytes(r.sums)) for r in sorted(parts, key=lambda r: r.part))
+
+    return total
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", labelled: int = LABELLED) -> dict | None:
+    """Starts from at most `labelled` labelled documents, those whose ids hash lowest, and learns from all without a label.
+
+    Texts are read once and not shuffled; a document's features (some 100 bytes) are written and meet the labelled ids
+    in a join. A round takes one pass over them to find its cuts and one for every Newton step."""
     given = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IS NOT NULL")
-    ids = plain.select("doc_id").where("doc_id IS NOT NULL")
-    chosen = given.join(ids.distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(labelled)
-    others = ids.join(given, "doc_id", "left_anti").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool).select("doc_id", F.lit(-1).alias("y"))
-    wanted = chosen.collect() + others.collect()
-    if not wanted:
+    made = written(_features(_plain(docs)), "quality-features")
+    ids = made.select("doc_id").where("doc_id IS NOT NULL").distinct()
+    chosen = given.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(labelled).collect()
+    if not chosen:
         return None
-    keys = F.broadcast(docs.sparkSession.createDataFrame(wanted, "doc_id long, y int"))
-    got = _features(plain.join(keys, "doc_id"), "y").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
+    keys = F.broadcast(docs.sparkSession.createDataFrame(chosen, "doc_id long, y int"))
+    got = made.join(keys, "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")]).combine_chunks()
     y = got.column("y").to_numpy()
     c, m = (np.array(got.column(k).to_pylist(), float).reshape(len(y), -1) for k in ("c", "m"))
-    if not (y >= 0).any():
-        return None
-    return co_train(c[y >= 0], m[y >= 0], y[y >= 0], c[y < 0], m[y < 0])
+    unlabelled = made.where("doc_id IS NOT NULL").join(given.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(made.where("doc_id IS NULL"))
+    unlabelled = written(unlabelled.select("c", "m"), "quality-unlabelled")
+    return co_train(c, spread(m), y, unlabelled.count(), _over(unlabelled))
 
 
 def scored(docs: DataFrame, model: dict | None, keep: float = KEEP) -> DataFrame:

@@ -208,6 +208,45 @@ def test_quality(spark):
     assert none.where("kept AND score = 0.5").count() == 402
 
 
+def test_quality_hands_on_labels_of_every_unlabelled_row(spark, monkeypatch):
+    rows = [(i, "alpha beta." if i % 2 else "BUY!!! $$$") for i in range(21_000)]
+    frame = table(spark, rows)
+    frame = frame.unionByName(frame.where("doc_id = 1").withColumn("doc_id", F.lit(None).cast("long")))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    seen, whole = [], quality.co_train
+    monkeypatch.setattr(quality, "co_train", lambda xc, xm, y, n_free, over: seen.append((n_free, over)) or whole(xc, xm, y, n_free, over))
+    assert quality.train(frame, labels) is not None
+    n_free, over = seen[0]
+    flat = [(np.zeros(n), np.ones(n), np.r_[np.zeros(n), 9.0]) for n in (quality.CONTENT, quality.META + 1)]
+    assert n_free == 20_601 and over(quality.histogram, [], flat).reshape(2, -1).sum(1).tolist() == [20_601, 20_601]
+
+
+def test_quality_sums_fit_as_the_whole_table_does():
+    rng = np.random.default_rng(5)
+    n = 30_000
+    truth = rng.random(n) < 0.5
+    c = rng.standard_normal((n, quality.CONTENT)) + truth[:, None] * 0.8
+    c[:, 3] = 0.3
+    short = np.c_[rng.integers(0, 9, n) + truth * 4, rng.integers(20, 26, n), rng.integers(5, 24, n), rng.random(n) * 9]
+    xm, known = quality.spread(short), np.arange(n) < 1000
+    calls = []
+
+    def over(f, *given):
+        calls.append((f.__name__, *given))
+        return sum(f(*given, *part) for part in zip(np.array_split(c[~known], 7), np.array_split(short[~known], 7)))
+
+    model = quality.co_train(c[known], xm[known], truth[known].astype(int), n - 1000, over)
+    history = [x for x in calls if x[0] == "gradients"][-1][1]
+    assert len(history) == 4
+    given, free = quality._choices(history, (c[~known], xm[~known]))
+    assert (given >= 0).sum() > 4000 and free.any()  # more than a fixed 500 a view and round would hand on
+    held = np.random.default_rng(0).random(1000) < quality.HELD_OUT
+    for k, x in enumerate((c, xm)):
+        got = given[1 - k] >= 0
+        again = quality.fit(np.r_[x[known][~held], x[~known][got]], np.r_[truth[known][~held], given[1 - k][got]].astype(float))
+        assert np.abs(quality.margin(again, x) - quality.margin(model["models"][k], x)).max() < 0.02
+
+
 def test_repeated_rows_and_null_ids(spark, rows):
     data = [*rows, *rows[:6], (None, texts()[0]), (None, "x y z")]
     frame = table(spark, [(i, t) for i, t in data if i is not None]).unionByName(spark.createDataFrame([(None, t, None, None, None, 1, 1, "", 1, "", 1) for i, t in data if i is None], SCHEMA))
