@@ -142,6 +142,6 @@ def events_matched(spark, sf_dir):
 def nearest_sheets(spark, sf_dir):
     """Of every cell, the nearest parts of the same sheet at least eight columns away."""
     found = mesh.triangles(mesh.quads(_sheet(spark, sf_dir)), 0).withColumn("tag", F.col("u"))
-    cells = mesh.sampled(_sheet(spark, sf_dir), 2)
+    cells = _sheet(spark, sf_dir).where("valid")
     queries = cells.select(regions.code(F.col("surface_id"), F.col("v"), F.col("u")).alias("qid"), "x", "y", "z", F.col("u").alias("grp"))
     return gaps.nearest_sheets(queries, found, 16.0, 8)

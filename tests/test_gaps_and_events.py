@@ -43,6 +43,16 @@ def test_own_group_is_left_out(spark):
     assert (r.w1, r.d1, r.w2) == (1, 12, None)
 
 
+def test_nearest_sheets_query_asks_for_every_valid_cell(spark, tmp_path):
+    from laminar.plans import catalog
+
+    values = [[float(u % 3) for u in range(64)] for _ in range(5)]
+    values[3][7] = float("nan")
+    spark.createDataFrame([(v, 0, e) for v, e in enumerate(values)], "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    out = catalog.QUERIES["nearest_sheets"](spark, str(tmp_path)).toPandas()
+    assert len(out) == out.qid.nunique() == 5 * 64 - 1
+
+
 def test_gap_report(spark):
     rows = [(v, u, u, u + 40 if v < 6 else None, 3.0 if v < 6 else float("inf")) for v in range(10) for u in range(10)]
     results = spark.createDataFrame(rows, "v int, u int, col int, w1 int, d1 double")
