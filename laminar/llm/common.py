@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from laminar.scratch import scratch_path, shared_dir, written  # noqa: F401
@@ -29,6 +29,20 @@ def keyed(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_key"), *columns)
 
 
+#: With doc_key, tells rows apart that share an id or have none: a hash of the text. Rows equal in both are copies.
+ROW = ["doc_key", "tie"]
+
+
+def rows_keyed(docs: DataFrame) -> DataFrame:
+    """doc_key, tie and text of every row."""
+    return keyed(docs, F.xxhash64("text").alias("tie"), "text")
+
+
+def copies_counted(rows: DataFrame) -> DataFrame:
+    """rows with `copy`: 0 for the first row of a key, more for those that repeat it."""
+    return rows.withColumn("copy", F.row_number().over(Window.partitionBy(*ROW).orderBy("tie")) - 1)
+
+
 def unkeyed(name: str = "doc_key"):
     return F.when(F.col(name) != NO_ID, F.col(name))
 

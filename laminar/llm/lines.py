@@ -4,7 +4,7 @@ Lines are what stands between line feeds, unchanged; a null text has none, an em
 `size` consecutive lines of a document, told by two hashes over its lines. Every line covered by a window whose lines also
 start earlier (smaller doc_id, or further up in the same document) goes; windows are judged on the input. Shorter
 documents have no window and stay whole. Rows that share a doc_id, and all rows without one (they come last), are
-ordered by line only. Other columns, clashing names included, play no part.
+ordered by a hash of the text; of rows with the same text, one comes first. Other columns, clashing names included, play no part.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from laminar.llm.common import keyed, unkeyed
+from laminar.llm.common import ROW, copies_counted, rows_keyed, unkeyed
 
 SIZE = 3
 
@@ -24,23 +24,24 @@ def without_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     aggregate, so a hot window costs one row a task, and its later places by an equi-join whose skewed side AQE
     splits. Texts are shuffled once, to meet their covered positions."""
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
-    whole = keyed(docs, F.when(F.col("text").isNotNull(), F.col("text")).alias("text"))
-    hashed = whole.select("doc_key", F.transform(lines, lambda x: F.xxhash64(x)).alias("h")).where(F.size("h") >= size)
+    whole = rows_keyed(docs)
+    hashed = whole.select(*ROW, F.transform(lines, lambda x: F.xxhash64(x)).alias("h")).where(F.size("h") >= size)
 
     def window(i):
         at = [F.get("h", i + k) for k in range(size)]
         return F.struct(i.cast("int").alias("at"), F.xxhash64(*at).alias("a"), F.hash(*at).alias("b"))
 
-    windows = hashed.select("doc_key", F.explode(F.transform(F.sequence(F.lit(0), F.size("h") - size), window)).alias("w")).select("doc_key", "w.*")
-    firsts = windows.groupBy("a", "b").agg(F.min(F.struct("doc_key", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = windows.join(firsts, ["a", "b"]).where(F.struct("doc_key", "at") > F.col("first"))
-    covered = later.groupBy("doc_key").agg(F.collect_set("at").alias("ats"))
+    windows = hashed.select(*ROW, F.explode(F.transform(F.sequence(F.lit(0), F.size("h") - size), window)).alias("w")).select(*ROW, "w.*")
+    firsts = windows.groupBy("a", "b").agg(F.min(F.struct(*ROW, "at")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = windows.join(firsts, ["a", "b"]).where(F.struct(*ROW, "at") > F.col("first"))
+    covered = later.groupBy(*ROW).agg(F.collect_set("at").alias("ats"))
 
-    met = whole.join(covered, "doc_key", "left").select("doc_key", "text", lines.alias("lines"), "ats")
+    met = copies_counted(whole.join(covered, ROW, "left")).select("doc_key", "text", lines.alias("lines"), "ats", "copy")
     spread = F.flatten(F.transform(F.coalesce("ats", F.array().cast("array<int>")), lambda i: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: i + k)))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), spread)
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines"))
-    out = met.select("doc_key", n.cast("long").alias("n_lines"), "lines", F.when(F.col("ats").isNull(), F.sequence(F.lit(0), F.size("lines") - 1)).otherwise(kept).alias("kept"))
+    repeats = (F.col("copy") > 0) & (F.size("lines") >= size)
+    out = met.select("doc_key", n.cast("long").alias("n_lines"), "lines", F.when(repeats, F.array().cast("array<int>")).when(F.col("ats").isNull(), F.sequence(F.lit(0), F.size("lines") - 1)).otherwise(kept).alias("kept"))
     removed = F.when(F.col("n_lines") > 0, F.col("n_lines") - F.size("kept")).otherwise(0)
     return out.select(unkeyed().alias("doc_id"), "n_lines", removed.cast("long").alias("n_removed"), F.array_join(F.transform("kept", lambda i: F.get("lines", i)), "\n").alias("kept_text"))
 

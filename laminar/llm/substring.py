@@ -9,7 +9,7 @@ different block are checked window by window against the first place of each win
 
 A window goes when its words also start earlier: in a smaller doc_id, or further up in the same document. Null and empty
 texts, and those of fewer than 20 words, have no window. Rows that share a doc_id, and all rows without one
-(they come last), are ordered by word position only. Other columns, clashing names included, play no part.
+(they come last), are ordered by a hash of the text; of rows with the same text, one comes first. Other columns, clashing names included, play no part.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from laminar.llm.common import WORD_BASE, keyed, mix, prefix, signed, span_hash, steps, unkeyed, word_hashes, written
+from laminar.llm.common import ROW, WORD_BASE, copies_counted, mix, prefix, rows_keyed, signed, span_hash, steps, unkeyed, word_hashes, written
 
 #: Words of a window, and of the seeds that anchor it.
 WINDOW, SEED = 20, 5
@@ -82,11 +82,11 @@ def _blocks(docs: DataFrame, window: int, seed: int) -> DataFrame:
                 new = _earliest(p.block_text, p.seed, p.key)
                 of = p.block_text[new]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(batch.column("doc_key").to_numpy()[of]), pa.array((p.block_start[new] - p.first[of]).astype(np.int32)), pa.array(signed(p.seed[new])), pa.array(signed(p.key[new]))],
-                    names=["doc_key", "at", "seed", "block"],
+                    [*(pa.array(batch.column(k).to_numpy()[of]) for k in ROW), pa.array((p.block_start[new] - p.first[of]).astype(np.int32)), pa.array(signed(p.seed[new])), pa.array(signed(p.key[new]))],
+                    names=[*ROW, "at", "seed", "block"],
                 )
 
-    return docs.mapInArrow(parse, "doc_key long, at int, seed long, block long")
+    return docs.mapInArrow(parse, "doc_key long, tie long, at int, seed long, block long")
 
 
 def _checked(docs: DataFrame, window: int, seed: int) -> DataFrame:
@@ -104,15 +104,15 @@ def _checked(docs: DataFrame, window: int, seed: int) -> DataFrame:
                 new = _earliest(of, anchor, words)
                 start, of = start[new], of[new]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(batch.column("doc_key").to_numpy()[of]), pa.array((start - p.first[of]).astype(np.int32)), pa.array(signed(anchor[new])), pa.array(signed(words[new]))],
-                    names=["doc_key", "at", "seed", "words"],
+                    [*(pa.array(batch.column(k).to_numpy()[of]) for k in ROW), pa.array((start - p.first[of]).astype(np.int32)), pa.array(signed(anchor[new])), pa.array(signed(words[new]))],
+                    names=[*ROW, "at", "seed", "words"],
                 )
 
-    return docs.mapInArrow(expand, "doc_key long, at int, seed long, words long")
+    return docs.mapInArrow(expand, "doc_key long, tie long, at int, seed long, words long")
 
 
 def _positions(p: Parsed, lists: pa.Array, among: np.ndarray) -> np.ndarray:
-    """Where `among` has the word positions that the lists of each text hold. A list of a repeated doc_id may hold others."""
+    """Where `among` has the word positions that the lists of each text hold."""
     sizes = np.diff(lists.offsets.to_numpy())
     at = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     of = np.repeat(np.arange(len(sizes)), sizes)
@@ -129,7 +129,7 @@ def _marked(p: Parsed, lists: pa.Array) -> np.ndarray:
 
 
 def _removed(docs: DataFrame, window: int, seed: int) -> DataFrame:
-    """docs with first places: a block's in `ats`, a checked window's in `wins`. Any other window goes."""
+    """docs with first places: a block's in `ats`, a checked window's in `wins`. Any other window goes, and all of a copy."""
 
     def drop(batches):
         for whole in batches:
@@ -139,6 +139,7 @@ def _removed(docs: DataFrame, window: int, seed: int) -> DataFrame:
                 if len(p.starts):
                     stays = _marked(p, batch.column("ats"))[p.block_of]
                     stays[_positions(p, batch.column("wins"), p.starts)] = True
+                    stays &= batch.column("copy").to_numpy()[p.text_of] == 0
                     np.add.at(gone, p.starts[~stays], 1)
                     np.add.at(gone, p.starts[~stays] + window, -1)
                 covered = np.cumsum(gone)[:-1] > 0
@@ -162,23 +163,23 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
     """doc_id, n_words, n_removed, kept_text (kept words, one space between) and spans (start, end, ... of the removed
     words) of every row of docs.
 
-    About two words in seventeen begin a block. Blocks are shuffled by seed, as four numbers each, under a
+    About two words in seventeen begin a block. Blocks are shuffled by seed, as five numbers each, under a
     partial aggregation, and the first places written, so that what follows reads them twice without a second shuffle; only blocks of a seed with different blocks are shuffled again, in a join whose hot seeds AQE
     splits. Texts are shuffled once, by document, and never gathered by content."""
-    whole = keyed(docs, "text")
+    whole = rows_keyed(docs)
     blocks = _blocks(whole, window, seed)
-    first = F.min("doc_key").alias("doc_key"), F.min_by("at", "doc_key").alias("at")
-    seeds = blocks.groupBy("seed").agg(F.min("block").alias("low"), F.max("block").alias("high"), *first)
-    seeds = written(seeds.select("doc_key", "at", F.when(F.col("low") != F.col("high"), F.col("seed")).alias("seed")), "seeds")
-    alone = seeds.where("seed IS NULL").select("doc_key", "at")
+    first = F.min(F.struct(*ROW, "at")).alias("first")
+    seeds = blocks.groupBy("seed").agg(F.min("block").alias("low"), F.max("block").alias("high"), first)
+    seeds = written(seeds.select("first.*", F.when(F.col("low") != F.col("high"), F.col("seed")).alias("seed")), "seeds")
+    alone = seeds.where("seed IS NULL").select(*ROW, "at")
     several = seeds.where("seed IS NOT NULL").select("seed")
-    distinct = blocks.join(several.hint("merge"), "seed", "left_semi").groupBy("seed", "block").agg(*first)
-    at_edges = distinct.groupBy("doc_key").agg(F.collect_set("at").alias("ats"))
-    windows = _checked(whole.join(at_edges.hint("merge"), "doc_key"), window, seed)
-    checked = windows.groupBy("seed", "words").agg(*first)
-    firsts = alone.select("doc_key", "at", F.lit(None).cast("int").alias("win")).unionByName(checked.select("doc_key", F.lit(None).cast("int").alias("at"), F.col("at").alias("win")))
-    firsts = firsts.groupBy("doc_key").agg(F.collect_set("at").alias("ats"), F.collect_set("win").alias("wins"))
-    met = whole.join(firsts.hint("merge"), "doc_key", "left")
+    distinct = blocks.join(several.hint("merge"), "seed", "left_semi").groupBy("seed", "block").agg(first).select("first.*")
+    at_edges = distinct.groupBy(*ROW).agg(F.collect_set("at").alias("ats"))
+    windows = _checked(whole.join(at_edges.hint("merge"), ROW), window, seed)
+    checked = windows.groupBy("seed", "words").agg(first).select("first.*")
+    firsts = alone.select(*ROW, "at", F.lit(None).cast("int").alias("win")).unionByName(checked.select(*ROW, F.lit(None).cast("int").alias("at"), F.col("at").alias("win")))
+    firsts = firsts.groupBy(*ROW).agg(F.collect_set("at").alias("ats"), F.collect_set("win").alias("wins"))
+    met = copies_counted(whole.join(firsts.hint("merge"), ROW, "left"))
     none = F.array().cast("array<int>")
-    found = _removed(met.select("doc_key", "text", F.coalesce("ats", none).alias("ats"), F.coalesce("wins", none).alias("wins")), window, seed)
+    found = _removed(met.select("doc_key", "text", "copy", F.coalesce("ats", none).alias("ats"), F.coalesce("wins", none).alias("wins")), window, seed)
     return found.select(unkeyed().alias("doc_id"), "n_words", "n_removed", "kept_text", "spans")

@@ -259,6 +259,34 @@ def test_repeated_rows_and_null_ids(spark, rows):
     assert sorted(r.n_links for r in out) == [0, 2, 2, 2] and {r.component_id for r in out if r.n_links} == {1}
 
 
+def test_removals_of_repeated_and_missing_ids(spark):
+    """Clean rows lose nothing, first places stay and later ones go, whatever ids the rows share."""
+    rng = random.Random(7)
+    line = lambda: " ".join(rng.choice("abcdefghij") + str(rng.randrange(40)) for _ in range(7))
+    block = lambda n: [line() for _ in range(n)]
+    known, shared = block(4), block(5)
+    said = [known + block(3), block(2) + known, block(6), shared + block(2), block(1) + shared, block(9), block(2)]
+    rows = [(1, known + block(2)), *[(None, x) for x in said], (None, said[5]), (5, shared + block(3)), (5, block(3) + shared), (5, block(7)), (5, known[:2]), (6, said[2]), (6, said[2])]
+    frame = spark.createDataFrame([(i, "\n".join(x)) for i, x in rows], "doc_id long, text string").repartition(3)
+    ordered = sorted(frame.select("doc_id", "text", F.xxhash64("text").alias("tie")).collect(), key=lambda r: (r.doc_id is None, r.doc_id, r.tie))
+
+    def brute_force(split, size):
+        seen, out = set(), []
+        for r in ordered:
+            x, gone = split(r.text), set()
+            for k in range(len(x) - size + 1):
+                if tuple(x[k : k + size]) in seen:
+                    gone.update(range(k, k + size))
+                seen.add(tuple(x[k : k + size]))
+            out.append((r.doc_id, len(x), len(gone), [y for k, y in enumerate(x) if k not in gone]))
+        return sorted(out, key=str)
+
+    found = [(r.doc_id, r.n_lines, r.n_removed, r.kept_text.split("\n") if r.kept_text else []) for r in lines.without_repeats(frame).collect()]
+    assert sorted(found, key=str) == brute_force(lambda t: t.split("\n"), 3)
+    found = [(r.doc_id, r.n_words, r.n_removed, r.kept_text.split()) for r in substring.without_repeats(frame).collect()]
+    assert sorted(found, key=str) == brute_force(str.split, 20)
+
+
 def test_empty_tables(spark, rows, tmp_path):
     none = table(spark, rows).limit(0)
     bench = spark.createDataFrame([(1, "w1 w2 w3")], "item_id long, text string")
