@@ -160,7 +160,7 @@ def size_model(spark, sf_dir):
 @query("permutation_null")
 def permutation_null(spark, sf_dir):
     rows = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id").select("doc_id", "n_chars", (F.col("quality") == 1).alias("p"))
-    return stats.permutation_null(rows, "n_chars", "p", 200)
+    return stats.permutation_null(rows, "n_chars", "p")
 
 
 @query("precision_recall", "SELECT l_linestatus, tp, fp, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM (SELECT l_linestatus, count(*) FILTER (WHERE f AND t) AS tp, count(*) FILTER (WHERE f AND NOT t) AS fp, count(*) FILTER (WHERE NOT f AND t) AS fn FROM (SELECT l_linestatus, l_quantity > 25 AS f, l_returnflag = 'R' AS t FROM lineitem) GROUP BY 1)")

@@ -28,3 +28,10 @@ def test_query(spark, name):
     want = want.astype(object).where(want.notna(), None)
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
+
+
+def test_permutation_null_runs_a_thousand_rounds(spark):
+    from laminar.plans import catalog
+
+    r = catalog.QUERIES["permutation_null"](spark, SF).first()
+    assert r.rounds == 1000 and 0 <= r.p <= 1
