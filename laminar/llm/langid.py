@@ -120,6 +120,12 @@ def markup_language(html):
     return F.nullif(said, F.lit(""))
 
 
+def of_pages(pages: DataFrame) -> DataFrame:
+    """page_id, url, text without markup, scripts and styles, and lang as the root element declares it."""
+    bare = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;", " ")
+    return pages.select("page_id", "url", bare.alias("text"), markup_language(F.col("html")).alias("lang"))
+
+
 def judged(docs: DataFrame, declared: str = "lang", url: str | None = "url", host: str | None = "source", needed: float = NEEDED) -> DataFrame:
     """Every row of docs and, after its own columns, id_lang, id_posterior, id_grams and id_accepted.
 

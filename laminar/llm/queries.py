@@ -62,6 +62,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("id_lang").alias("language"), F.col("id_posterior").alias("posterior"), F.col("id_grams").alias("n_grams"), F.col("id_accepted").alias("kept"))
 
 
+@query("op6_pages_language")
+def op6_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over raw pages, where markup declares the language and the address gives host and suffix."""
+    found = langid.judged(langid.of_pages(table(spark, sf_dir, "pages")))
+    return found.select("page_id", F.col("lang").alias("declared"), F.col("id_lang").alias("language"), F.col("id_posterior").alias("posterior"), F.col("id_grams").alias("n_grams"), F.col("id_accepted").alias("kept"))
+
+
 @query("op7_decontaminate")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

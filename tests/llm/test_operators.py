@@ -194,6 +194,20 @@ def test_language_id(spark):
     assert [r.l for r in said.collect()] == ["de", None, None]
 
 
+def test_language_of_pages(spark, tmp_path):
+    from laminar.llm.queries import QUERIES
+
+    tongues = {"en": "the cat and the dog are here with you all day", "fr": "le chat et le chien sont ici avec vous toute la journée", "de": "die katze und der hund sind hier mit euch den ganzen tag"}
+    page = lambda k, said: f"<!DOCTYPE html><html{said}><script>var the='</p>'</script><style>p{{}}</style><body><!-- the --><p>{tongues[k]}&nbsp;</p></body></html>"
+    rows = [(i, f"https://h{i % 4}.example.{k}/x", page(k, f' lang="{k}"')) for i, k in enumerate(list(tongues) * 10)]
+    rows += [(100, "https://h.example.fr/x", page("fr", "")), (101, None, page("de", ' lang="en"')), (102, "https://h.example.de/x", None), (103, "x", "<html lang='fr'></html>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    out = {r.page_id: r for r in QUERIES["op6_pages_language"](spark, str(tmp_path)).collect()}
+    assert len(out) == 34 and all(out[i].language == k and out[i].kept for i, k in enumerate(list(tongues) * 10))
+    assert (out[100].declared, out[100].language, out[101].language) == (None, "fr", "de")
+    assert not out[102].kept and not out[103].kept and out[103].n_grams == 0
+
+
 def test_quality(spark):
     rng = random.Random(3)
     good = lambda: " ".join(rng.choice("alpha beta gamma delta omega sigma kappa".split()) for _ in range(80)) + "."
