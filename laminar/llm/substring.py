@@ -1,10 +1,9 @@
-"""Substring dedup by relative Lempel-Ziv parsing of documents against reference blocks.
+"""Substring dedup by hashed blocks and windows; these stand in for a relative Lempel-Ziv parse, no longest match is sought.
 
 Every document is cut into blocks: runs of windows (20 consecutive words) that share an anchor, the leftmost
 smallest of their hashed 5-word seeds. Where a window occurs again, its anchor does too, so equal passages are cut into
-equal blocks wherever they lie. The index holds every distinct block with its first place in the corpus. Parsing
-takes a document block by block: a block that the index places elsewhere, earlier, is a factor as a whole, and
-neighbouring factors merge. At factor boundaries passages end inside a block; there, blocks that share an anchor with a
+equal blocks wherever they lie. Every distinct block has a first place in the corpus; a block that is not at its first
+place goes as a whole. Where a repeated passage ends inside a block, blocks that share an anchor with a
 different block are checked window by window against the first place of each window.
 
 A window goes when its words also start earlier: in a smaller doc_id, or further up in the same document. Null and empty
