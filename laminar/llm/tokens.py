@@ -146,7 +146,7 @@ def _encoder(path: str):
 
 
 def frequent_pieces(docs: DataFrame, most: int = FREQUENT, per_task: int = PER_TASK) -> list[str]:
-    """The pieces that all documents hold most often. Each task counts its own documents, dropping the rarest when
+    """The pieces that all documents hold most often, approximately. Each task counts its own documents, dropping the rarest when
     its table is full, and hands in its `per_task` leading pieces; only those sums are shuffled, never pre-tokens."""
 
     def count(batches):
