@@ -225,12 +225,13 @@ def co_train(xc, xm, y, n_free: int, over, rounds: int = ROUNDS, handed: float =
         if not counts.any():
             break
         history.append((models, [_cut(n, handed * n_free) for n in counts]))
+        weights = [np.zeros(k) for k in WIDTHS]  # from nought, as fit: steps from the last round's weights need not settle
         for _ in range(STEPS):
-            weights = [_raw(m) for m in models]
             parts = np.split(over(gradients, history, weights), ends[:1])
             models, moved = zip(*(_newton(_sums(x, truth, v) + part, v) for x, v, part in zip(known, weights, parts)))
             if max(moved) < SETTLED:
                 break
+            weights = [_raw(m) for m in models]
     margins = np.c_[margin(models[0], xc[held]), margin(models[1], xm[held])]
     scales = [fit(margins[:, [k]], y[held].astype(float)) for k in (0, 1)]
     calibrated = np.c_[margin(scales[0], margins[:, [0]]), margin(scales[1], margins[:, [1]])]
