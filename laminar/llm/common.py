@@ -47,6 +47,14 @@ def unkeyed(name: str = "doc_key"):
     return F.when(F.col(name) != NO_ID, F.col(name))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with as many underscores after it as keep it apart from df's columns."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

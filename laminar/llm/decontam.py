@@ -4,6 +4,10 @@ Words are lower-cased (A-Z only) runs of 0-9, a-z and everything beyond ASCII. A
 shift table that skips positions no window can end at; where the shift is none, the suffix block selects the
 windows to compare word by word. Windows of one length form one search, since the shortest bounds the skip.
 
+A benchmark of MOST windows or fewer is broadcast whole, each worker building its tables once. Of a larger one only the shift
+tables are broadcast, as hashed tables of a fixed size; the windows themselves stay distributed, and positions without a
+shift meet them in an equi-join on the hash of the window's words, where the words are compared.
+
 Null or empty texts have no words and are clean; an item without words matches nothing; an empty benchmark leaves
 all documents clean; items of equal text are all reported, items of one id once, and a null item_id as "". Repeated
 documents are reported each. Other columns play no part in the report and pass through `clean` untouched.
@@ -12,14 +16,19 @@ documents are reported each. Other columns play no part in the report and pass t
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from laminar.llm.common import ROW, fresh, rows_keyed, unkeyed, written
 
 WINDOW = 10
-#: Windows in one broadcast block of the benchmark. A larger benchmark is searched block after block.
-BLOCK_WINDOWS = 50_000
+#: Windows of a benchmark that is broadcast whole; beyond them, cells of a hashed shift table (one for each window length).
+MOST, CELLS = 200_000, 1 << 20
 
 _TABLE = bytes((b + 32 if 0x41 <= b <= 0x5A else b) if re.match(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", bytes([b])) else 0x20 for b in range(256))
 
@@ -72,59 +81,57 @@ def windows(words: list[bytes], size: int) -> list[tuple]:
     return [tuple(words[i : i + size]) for i in range(len(words) - size + 1)]
 
 
-def build(block: list[tuple[str, str]], size: int) -> tuple[list[Search], list[str]]:
+def build(items: list[tuple[str, str]], size: int) -> tuple[list[Search], list[str]]:
     searches: dict[int, Search] = {}
-    for at, (_, text) in enumerate(block):
+    for at, (_, text) in enumerate(items):
         for window in windows(words_of(text), size):
             searches.setdefault(len(window), Search(len(window))).add(window, at)
-    return list(searches.values()), [item for item, _ in block]
-
-
-def blocks_of(benchmark: DataFrame, size: int, most: int):
-    """The benchmark's (item_id, text) in lists of at most `most` windows; one longer item is cut, overlapping by a window."""
-    block, held = [], 0
-    for row in benchmark.selectExpr("coalesce(cast(item_id as string), '') AS item_id", "text").toLocalIterator():
-        words = words_of(row.text)
-        for i in range(0, max(1, len(words) - size + 1) if words else 0, most):
-            part = words[i : i + most + size - 1]
-            n = max(1, len(part) - size + 1)
-            if block and held + n > most:
-                yield block
-                block, held = [], 0
-            block.append((row.item_id, b" ".join(part).decode()))
-            held += n
-    if block:
-        yield block
+    return list(searches.values()), [item for item, _ in items]
 
 
 _built: dict = {}
 
 
-def _tables(block, size):
-    """The search tables of a broadcast block, built once a worker."""
-    if block.id not in _built:
-        if len(_built) > 3:
-            _built.clear()
-        _built[block.id] = build(block.value, size)
-    return _built[block.id]
+def _tables(sent, size: int):
+    """The search tables of a broadcast benchmark, built once a worker."""
+    key = (sent.id, size)
+    if key not in _built:
+        _built.clear()
+        _built[key] = build(sent.value, size)
+    return _built[key]
 
 
-class _Block:
-    def __init__(self, sent, number: int):
-        self.sent, self.id = sent, number
+class _Sent:
+    def __init__(self, spark, value):
+        self.sent = spark.sparkContext.broadcast(value)
+        self.id = self.sent._jbroadcast.id()
 
     @property
     def value(self):
         return self.sent.value
 
 
-def _blocks(docs: DataFrame, benchmark: DataFrame, size: int, most: int) -> list[_Block]:
-    sent = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks_of(benchmark, size, most)]
-    return [_Block(b, b._jbroadcast.id()) for b in sent]
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.selectExpr("coalesce(cast(item_id as string), '') AS item", "text").where("text IS NOT NULL")
+
+
+def _windows(benchmark: DataFrame, size: int) -> DataFrame:
+    """item and words (joined by a blank) of every window."""
+
+    def cut(batches):
+        for batch in batches:
+            items, found = [], []
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist()):
+                mine = {b" ".join(w) for w in windows(words_of(text), size)}
+                items += [item] * len(mine)
+                found += [w.decode() for w in mine]
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(found, pa.string())], names=["item", "words"])
+
+    return _items(benchmark).mapInArrow(cut, "item string, words string")
 
 
 def _covered(spans: list[int], n: int) -> int:
-    """Words inside any span; spans of one search come in order."""
+    """Words inside any span."""
     if len(spans) < 2:
         return 0
     change = np.zeros(n + 1, np.int64)
@@ -133,46 +140,160 @@ def _covered(spans: list[int], n: int) -> int:
     return int((np.cumsum(change) > 0).sum())
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, most: int = BLOCK_WINDOWS) -> DataFrame:
-    """doc_id, n_words, n_hit, items (sorted ids) and spans (start, end, start, ...) of every row of docs. No shuffle."""
-    blocks = _blocks(docs, benchmark, size, most)
+REPORT = "n_words long, n_hit long, items array<string>, spans array<int>"
+
+
+def _report(n_words: list, spans: list, items: list) -> list:
+    """The columns of REPORT."""
+    hit = [_covered(at, n) for at, n in zip(spans, n_words)]
+    return [pa.array(n_words, pa.int64()), pa.array(hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.int32()))]
+
+
+def _searched(docs: DataFrame, sent: _Sent, size: int) -> DataFrame:
+    """REPORT after doc_key, by one pass with the whole benchmark at hand."""
 
     def report(batches):
+        searches, ids = _tables(sent, size)
         for batch in batches:
-            n_words, n_hit, items, spans = [], [], [], []
+            n_words, items, spans = [], [], []
             for text in batch.column("text"):
-                words, found, at = words_of(text.as_py()), set(), []
-                for block in blocks:
-                    searches, ids = _tables(block, size)
-                    hit: set = set()
-                    for search in searches:
-                        search.run(words, at, hit)
-                    found.update(ids[i] for i in hit)
+                words, hit, at = words_of(text.as_py()), set(), []
+                for search in searches:
+                    search.run(words, at, hit)
                 n_words.append(len(words))
-                n_hit.append(_covered(at, len(words)))
-                items.append(sorted(found))
+                items.append(sorted({ids[i] for i in hit}))
                 spans.append(at)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.int32()))],
-                names=["doc_id", "n_words", "n_hit", "items", "spans"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("doc_key"), *_report(n_words, spans, items)], names=["doc_key", "n_words", "n_hit", "items", "spans"])
+
+    return docs.select("doc_key", "text").mapInArrow(report, f"doc_key long, {REPORT}")
+
+
+def shifts(found: DataFrame, cells: int = CELLS) -> dict[int, np.ndarray]:
+    """By window length a hashed shift table: per cell the least shift of the blocks that fall on it.
+
+    Each task hands in its own least shifts, which are summed to a minimum per cell before they reach the driver: at
+    most `cells` small integers a length, however large the benchmark is."""
 
-    return docs.select("doc_id", "text").mapInArrow(report, "doc_id long, n_words long, n_hit long, items array<string>, spans array<int>")
+    def least(batches):
+        tables: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for words in batch.column("words").to_pylist():
+                window = words.encode().split(b" ")
+                n = len(window)
+                block = min(2, n)
+                table = tables.setdefault(n, np.full(cells, n - block + 1, np.uint8))
+                for j in range(block, n + 1):
+                    cell = zlib.crc32(b" ".join(window[j - block : j])) % cells
+                    table[cell] = min(table[cell], n - j)
+        for n, table in tables.items():
+            hit = np.flatnonzero(table < n - min(2, n) + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), n, np.int32)), pa.array(hit.astype(np.int32)), pa.array(table[hit].astype(np.int32))], names=["n", "cell", "shift"])
+
+    rows = found.select("words").mapInArrow(least, "n int, cell int, shift int").groupBy("n", "cell").agg(F.min("shift").alias("shift")).toArrow()
+    n, cell, shift = (rows.column(c).to_numpy() for c in ("n", "cell", "shift"))
+    out = {}
+    for k in np.unique(n):
+        out[int(k)] = np.full(cells, k - min(2, k) + 1, np.uint8)
+        out[int(k)][cell[n == k]] = shift[n == k]
+    return out
+
+
+def candidates(words: list[bytes], n: int, table) -> list[int]:
+    """Where a window of n words may begin: the skip loop over a hashed shift table."""
+    block, cells, i, out = min(2, n), len(table), n - 1, []
+    while i < len(words):
+        if step := table[zlib.crc32(b" ".join(words[i - block + 1 : i + 1])) % cells]:
+            i += int(step)
+            continue
+        out.append(i - n + 1)
+        i += 1
+    return out
+
+
+def _hash(words: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(words) - (1 << 63)
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
+    """ROW, start, stop and items of every occurrence, with the benchmark distributed.
+
+    A third of all documents may hold one passage: its windows are then one hot hash of the join, which AQE splits, since the
+    benchmark's side holds every different window once."""
+    found = written(_windows(benchmark, size), "windows")
+    tables = docs.sparkSession.sparkContext.broadcast(shifts(found))
+
+    def seek(batches):
+        for batch in batches:
+            out: list = []
+            for key, tie, text in zip(*(batch.column(c).to_pylist() for c in (*ROW, "text"))):
+                words = words_of(text)
+                for n, table in tables.value.items():
+                    for at in candidates(words, n, table):
+                        said = b" ".join(words[at : at + n])
+                        out.append((key, tie, at, at + n, _hash(said), said.decode()))
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=[*ROW, "start", "stop", "hash", "words"])
+
+    def hashed(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("words"), batch.column("items"), pa.array([_hash(w.encode()) for w in batch.column("words").to_pylist()], pa.int64())], names=["said", "items", "hash"])
+
+    listed = found.groupBy("words").agg(F.collect_set("item").alias("items")).mapInArrow(hashed, "said string, items array<string>, hash long")
+    spots = docs.mapInArrow(seek, "doc_key long, tie long, start int, stop int, hash long, words string")
+    return spots.join(listed.hint("merge"), "hash").where("words = said").select(*ROW, "start", "stop", "items")
+
+
+def _met(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
+    """REPORT after doc_key of every row of docs, with the benchmark distributed."""
+    per = _hits(docs, benchmark, size).groupBy(*ROW).agg(F.collect_set(F.struct("start", "stop")).alias("spots"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+
+    def report(batches):
+        for batch in batches:
+            n_words = [len(words_of(t)) for t in batch.column("text").to_pylist()]
+            spans = [[x for s in sorted((s["start"], s["stop"]) for s in row or ()) for x in s] for row in batch.column("spots").to_pylist()]
+            items = [x or [] for x in batch.column("items").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_key"), *_report(n_words, spans, items)], names=["doc_key", "n_words", "n_hit", "items", "spans"])
+
+    return docs.join(per, ROW, "left").select("doc_key", "text", "spots", "items").mapInArrow(report, f"doc_key long, {REPORT}")
+
+
+def _small(benchmark: DataFrame, size: int, most: int) -> list | None:
+    """The benchmark's items where all their windows are `most` at most: counted before anything is collected."""
+    n = F.size(F.split(F.col("text"), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
+    held = _items(benchmark).agg(F.sum(F.greatest(n - size, F.lit(1))).alias("n"), F.sum(F.length("text")).alias("chars")).first()
+    if (held.n or 0) > most or (held.chars or 0) > 100 * most:
+        return None
+    return [(r.item, r.text) for r in _items(benchmark).collect()]
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, most: int = BLOCK_WINDOWS) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, most: int = MOST) -> DataFrame:
+    """doc_id, n_words, n_hit, items (sorted ids) and spans (start, end, start, ...) of every row of docs.
+
+    Without a shuffle where the benchmark is broadcast; otherwise candidate positions and texts are shuffled once."""
+    rows = rows_keyed(docs)
+    few = _small(benchmark, size, most)
+    found = _met(rows, benchmark, size) if few is None else _searched(rows, _Sent(docs.sparkSession, few), size)
+    return found.select(unkeyed().alias("doc_id"), "n_words", "n_hit", "items", "spans")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, most: int = MOST) -> DataFrame:
     """The rows of docs, with all their columns, in which no window of the benchmark occurs."""
-    blocks = _blocks(docs, benchmark, size, most)
+    few = _small(benchmark, size, most)
+    if few is None:
+        tie = fresh(docs, "tie")
+        hit = _hits(rows_keyed(docs), benchmark, size).select(F.col("tie").alias(tie)).distinct()
+        return docs.withColumn(tie, F.xxhash64("text")).join(hit, tie, "left_anti").select(*docs.columns)
+    sent = _Sent(docs.sparkSession, few)
 
     def keep(batches):
+        searches, _ = _tables(sent, size)
         for batch in batches:
             free = []
             for text in batch.column("text"):
                 words, at, hit = words_of(text.as_py()), [], set()
-                for block in blocks:
-                    for search in _tables(block, size)[0]:
-                        if not at:
-                            search.run(words, at, hit)
+                for search in searches:
+                    if not at:
+                        search.run(words, at, hit)
                 free.append(not at)
             yield batch.filter(pa.array(free, pa.bool_()))
 
