@@ -205,21 +205,24 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, most: int = FRE
     return docs.select("doc_id", "text").mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
-#: One row a document: its key, the number of its ids with the end id, the ids, and the part it lies in.
-ORC_SCHEMA = "doc_key long, n_tokens int, ids array<int>, part int"
+#: One row a document: its key, its row in its part, the number of its ids with the end id, the ids, and the part it lies in.
+ORC_SCHEMA = "doc_key long, row long, n_tokens int, ids array<int>, part int"
+#: Rows that an entry of the row index covers.
+STRIDE = 1000
 
 
 def write_orc(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2) -> None:
     """Token ids of every text, the end id after each, as ORC files under `path` in ascending order of doc_id.
 
     Texts (not the longer ids) are dealt by ranges of doc_id and sorted, then encoded and written in the same stage, so
-    file order is id order. Ids are run-length coded integers; a row index entry covers 1000 documents and a Bloom
-    filter lies on doc_key, so readers take stripes side by side or skip them by id. A null text is empty, rows
+    file order is id order; each row says which of its part it is. Ids are run-length coded integers; a row index entry covers STRIDE
+    documents and a Bloom filter lies on doc_key, so readers take stripes side by side or skip them by id. A null text is empty, rows
     of one id lie together in the order of their texts, null ids come last, and without rows there is no part.
     """
 
     def encode(batches):
         encoder, end = _encoder(vocabulary), array("I", [end_id]).tobytes()
+        done = 0
         for whole in batches:
             for batch in steps(whole):
                 rows = [encoder.encode(text or "") + end for text in batch.column("text").to_pylist()]
@@ -227,14 +230,16 @@ def write_orc(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2) -> N
                 at = np.zeros(len(rows) + 1, np.int32)
                 np.cumsum(sizes, out=at[1:])
                 ids = pa.Array.from_buffers(pa.int32(), int(at[-1]), [None, pa.py_buffer(b"".join(rows))])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_key"), pa.array(sizes), pa.ListArray.from_arrays(pa.array(at), ids)], names=["doc_key", "n_tokens", "ids"])
+                own = pa.array(np.arange(done, done + len(rows)))
+                done += len(rows)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_key"), own, pa.array(sizes), pa.ListArray.from_arrays(pa.array(at), ids)], names=["doc_key", "row", "n_tokens", "ids"])
 
     (
         keyed(docs, "text").repartitionByRange("doc_key").sortWithinPartitions("doc_key", "text")
-        .mapInArrow(encode, "doc_key long, n_tokens int, ids array<int>")
+        .mapInArrow(encode, "doc_key long, row long, n_tokens int, ids array<int>")
         .withColumn("part", F.spark_partition_id())
         .write.option("compression", "zlib").option("orc.bloom.filter.columns", "doc_key").option("orc.bloom.filter.fpp", "0.01")
-        .option("orc.row.index.stride", "1000").option("orc.stripe.size", str(16 << 20)).orc(path)
+        .option("orc.row.index.stride", str(STRIDE)).option("orc.stripe.size", str(16 << 20)).orc(path)
     )
 
 
@@ -242,19 +247,25 @@ def read_orc(spark, path: str) -> DataFrame:
     """What the files of write_orc hold: doc_id, start (ids of all documents before), n_tokens, ids_crc32 (unsigned, of
     the ids as little-endian 32-bit integers).
 
-    Parts are summed from the n_tokens column alone, a row a part; inside a part the running sum follows doc_key."""
+    Parts are summed from the n_tokens column alone, a row a part; inside a part the running sum follows the rows as they lie there."""
 
     def digest(batches):
         for batch in batches:
             ids = batch.column("ids")
             at, values = ids.offsets.to_numpy(), np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False)).view(np.uint8)
             crc = [zlib.crc32(values[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_key"), batch.column("part"), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_key", "part", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_key", "part", "row")), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_key", "part", "row", "n_tokens", "ids_crc32"])
 
     raw = spark.read.schema(ORC_SCHEMA).orc(path)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = raw.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("part").orderBy("doc_key", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
-    rows = raw.select("doc_key", "part", "ids").mapInArrow(digest, "doc_key long, part int, n_tokens long, ids_crc32 long")
+    inside = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    rows = raw.select("doc_key", "part", "row", "ids").mapInArrow(digest, "doc_key long, part int, row long, n_tokens long, ids_crc32 long")
     start = F.col("base") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))
     return rows.join(parts, "part").select(unkeyed().alias("doc_id"), start.alias("start"), "n_tokens", "ids_crc32")
+
+
+def lookup(spark, path: str, doc_ids: list[int]) -> DataFrame:
+    """doc_id and ids of the given documents, from the row groups that the files' index and Bloom filters do not rule out."""
+    wanted = spark.read.schema(ORC_SCHEMA).orc(path).where(F.col("doc_key").isin([int(i) for i in doc_ids]))
+    return wanted.select(unkeyed().alias("doc_id"), "ids")
