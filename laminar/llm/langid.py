@@ -6,7 +6,9 @@ towards those of the address suffix, which are smoothed towards those of all doc
 
 Null or empty texts, and texts without letters, carry no text evidence and are rejected. A null declared language, host
 or address is no evidence. Ties go to the language that sorts first. Repeated rows are judged each; with no document that
-declares a language every row is rejected. Other columns, clashing names included, pass through untouched.
+declares a language every row is rejected. Other columns, clashing names included, pass through untouched: the verdict is one
+struct after them, whose name gives way. A value that less than RARE of the declaring documents declare is no language of the
+model, at any size; such documents are judged among the others.
 """
 
 from __future__ import annotations
@@ -17,10 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from laminar.llm.common import buffers, steps, written
+from laminar.llm.common import buffers, fresh, steps, written
 
-#: Cells of the trigram table and of all languages' tables together; languages share what there is.
-CELLS, ALL_CELLS = 1 << 16, 1 << 22
+#: Cells of a language's trigram table; least share of the declaring documents that makes a declared value a language. The
+#: model is broadcast: 1 / RARE languages at most, 256 KB each.
+CELLS, RARE = 1 << 16, 1e-3
 #: Pseudo-counts: of a trigram cell, of a host, of a suffix, of a declared language.
 GRAM, HOST, SUFFIX, DECLARED = 0.5, 20.0, 50.0, 1.0
 #: Trigrams that count as independent evidence, at most; posterior that is needed; trigrams that are needed.
@@ -42,6 +45,7 @@ def _grams(texts: pa.Array, cells: int) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     kept = np.ones(len(data), bool)
     kept[1:] = (data[1:] != 0x20) | (data[:-1] != 0x20)
+    kept[at[:-1][at[:-1] < len(data)]] = True  # a text's first byte stays, whatever the one before it ends with
     owner = np.repeat(np.arange(len(texts)), np.diff(at))[kept]
     data = data[kept].astype(np.uint32)
     code = (data[:-2] << np.uint32(16)) | (data[1:-1] << np.uint32(8)) | data[2:]
@@ -50,14 +54,16 @@ def _grams(texts: pa.Array, cells: int) -> tuple[np.ndarray, np.ndarray]:
     return (code[same] >> np.uint32(32 - int(cells).bit_length() + 1)).astype(np.int64), owner[:-2][same]
 
 
-def train(docs: DataFrame, declared: str = "lang") -> tuple[list[str], np.ndarray]:
+def train(docs: DataFrame, declared: str = "lang", rare: float = RARE, cells: int = CELLS) -> tuple[list[str], np.ndarray]:
     """Languages, sorted, and log probabilities of trigram cells, from every document that declares a language.
 
     Each task sums its documents to one row a language; the rows of all tasks are summed by Spark."""
-    spoken = [r[0] for r in docs.select(F.col(declared).cast("string")).where(F.col(declared).isNotNull()).distinct().orderBy(declared).collect()]
+    said = docs.select(F.col(declared).cast("string").alias("tongue")).where("tongue IS NOT NULL").groupBy("tongue").agg(F.count("*").alias("n"))
+    said = written(said, "langid-declared-values")
+    all_said = said.agg(F.sum("n")).first()[0] or 0
+    spoken = [r[0] for r in said.where(F.col("n") >= rare * all_said).orderBy("tongue").collect()]
     if not spoken:
-        return [], np.zeros((0, CELLS), np.float32)
-    cells = min(CELLS, 1 << ((ALL_CELLS // len(spoken)).bit_length() - 1))
+        return [], np.zeros((0, cells), np.float32)
     known = {x: i for i, x in enumerate(spoken)}
 
     def count(batches):
@@ -126,16 +132,17 @@ def of_pages(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", bare.alias("text"), markup_language(F.col("html")).alias("lang"))
 
 
-def judged(docs: DataFrame, declared: str = "lang", url: str | None = "url", host: str | None = "source", needed: float = NEEDED) -> DataFrame:
-    """Every row of docs and, after its own columns, id_lang, id_posterior, id_grams and id_accepted.
+def judged(docs: DataFrame, declared: str = "lang", url: str | None = "url", host: str | None = "source", needed: float = NEEDED, into: str = "language") -> DataFrame:
+    """Every row of docs and, after its own columns, one struct of lang, posterior, grams and accepted; it is called `into`,
+    with underscores after it where docs has such a column.
 
     The priors are grouped sums over all documents: three small tables that meet the documents by broadcast while they
     have SMALL rows at most, else by a shuffled join whose hot hosts AQE splits. Texts are not shuffled otherwise."""
-    made = ("id_lang", "id_posterior", "id_grams", "id_accepted")
-    docs = docs.select(*[c for c in docs.columns if c.lower() not in made])
+    into = fresh(docs, into)
+    verdict = lambda lang, posterior, grams, accepted: F.struct(lang.alias("lang"), posterior.alias("posterior"), grams.alias("grams"), accepted.alias("accepted")).alias(into)
     spoken, model = train(docs, declared)
     if not spoken:
-        return docs.select("*", F.lit(None).cast("string").alias("id_lang"), F.lit(0.0).alias("id_posterior"), F.lit(0).cast("long").alias("id_grams"), F.lit(False).alias("id_accepted"))
+        return docs.select("*", verdict(F.lit(None).cast("string"), F.lit(0.0), F.lit(0).cast("long"), F.lit(False)))
     n = len(spoken)
     of_host, of_suffix = host_and_suffix(docs, url, host)
     ready = docs.select("*", F.col(declared).cast("string").alias("_langid_said"), of_host.alias("_langid_host"), of_suffix.alias("_langid_suffix"))
@@ -171,4 +178,4 @@ def judged(docs: DataFrame, declared: str = "lang", url: str | None = "url", hos
     posterior = 1.0 / F.aggregate(F.transform("_langid_logs", lambda x: F.exp(x - F.col("_langid_top"))), F.lit(0.0), lambda a, x: a + x)
     best = F.element_at(F.array(*[F.lit(x) for x in spoken]), F.array_position("_langid_logs", F.col("_langid_top")).cast("int"))
     grams = F.col("_langid_s.grams")
-    return met.select(*docs.columns, best.alias("id_lang"), F.round(posterior, 6).alias("id_posterior"), grams.alias("id_grams"), ((grams >= FEWEST) & (posterior >= needed)).alias("id_accepted"))
+    return met.select(*docs.columns, verdict(best, F.round(posterior, 6), grams, (grams >= FEWEST) & (posterior >= needed)))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from laminar.llm.common import written
+from laminar.llm.common import fresh, written
 
 #: Rounds of raking, the power that flattens observed marginals into targets, and the seed of the draw.
 ROUNDS, POWER, SEED = 6, 0.5, "mix-1"
@@ -66,25 +66,41 @@ def raked(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rounds:
     return cells.select(*MARGINALS, "weight", F.when(F.col("weight") < 1, F.col("weight")).otherwise(F.lit(1.0)).alias("probability"))
 
 
-def drawn(docs: DataFrame, targets: dict[str, DataFrame] | None = None, seed: str = SEED) -> DataFrame:
-    """Every row of docs with mix_topic, mix_tokens, mix_weight, mix_probability, mix_repeats and mix_kept after its own columns.
+def drawn(docs: DataFrame, targets: dict[str, DataFrame] | None = None, seed: str = SEED, into: str = "mix") -> DataFrame:
+    """Every row of docs and, after its own columns, one struct of topic, tokens, weight, probability, repeats and kept; it is
+    called `into`, with underscores after it where docs has such a column.
 
-    The mixed documents are those with mix_kept; each stands for mix_repeats (weight over probability) of its kind, so that
-    kept tokens times repeats meet the targets in expectation. Over-represented cells are thinned, no other is. Nulls of a marginal form a value of their own, "". Empty texts
+    Over-represented cells are thinned with probability = weight, no other is: kept documents stand for `repeats` (weight over
+    probability) of their kind, so that kept tokens times repeats meet the targets in expectation. `sampled` gives rows that
+    meet them as they are. Nulls of a marginal form a value of their own, "". Empty texts
     are drawn like the rest of their cell, and kept where the cell holds nothing else; rows that share an id share the draw; an empty table stays empty. Cells
     are broadcast only up to BROADCAST_CELLS rows; beyond, AQE splits the partitions of a hot cell."""
-    mixed = ["mix_topic", "mix_tokens", "mix_weight", "mix_probability", "mix_repeats", "mix_kept"]
-    own = [c for c in docs.columns if c.lower() not in mixed]
+    into, own = fresh(docs, into), docs.columns
     cells = raked(docs, targets)
     small = cells.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS
-    cells = cells.select(F.col("source").alias("mix_source"), F.col("lang").alias("mix_lang"), F.col("topic").alias("mix_topic"), F.col("weight").alias("mix_weight"), F.col("probability").alias("mix_probability"))
-    left = docs.select(*own, topic().alias("_t"), n_tokens().alias("mix_tokens"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_s"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("_l"))
-    on = (F.col("_s") == F.col("mix_source")) & (F.col("_l") == F.col("mix_lang")) & (F.col("_t") == F.col("mix_topic"))
+    cells = cells.select(F.col("source").alias("_mix_source"), F.col("lang").alias("_mix_lang"), F.col("topic").alias("_mix_topic"), F.col("weight").alias("_mix_weight"), F.col("probability").alias("_mix_probability"))
+    left = docs.select(*own, topic().alias("_mix_t"), n_tokens().alias("_mix_n"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_mix_s"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("_mix_l"))
+    on = (F.col("_mix_s") == F.col("_mix_source")) & (F.col("_mix_l") == F.col("_mix_lang")) & (F.col("_mix_t") == F.col("_mix_topic"))
     met = left.join(F.broadcast(cells) if small else cells, on, "left")
-    w = F.coalesce("mix_weight", F.lit(0.0))
-    p = F.when(w > 0, F.col("mix_probability")).otherwise(F.lit(1.0))
+    w = F.coalesce("_mix_weight", F.lit(0.0))
+    p = F.when(w > 0, F.col("_mix_probability")).otherwise(F.lit(1.0))
     repeats = F.when(w > 0, F.round(w / p, DIGITS)).otherwise(F.lit(1.0))
-    return met.select(*own, F.col("_t").alias("mix_topic"), "mix_tokens", w.alias("mix_weight"), p.alias("mix_probability"), repeats.alias("mix_repeats"), (uniform(seed) < p).alias("mix_kept"))
+    said = {"topic": F.col("_mix_t"), "tokens": F.col("_mix_n"), "weight": w, "probability": p, "repeats": repeats, "kept": uniform(seed) < p}
+    return met.select(*own, F.struct(*[c.alias(k) for k, c in said.items()]).alias(into))
+
+
+def sampled(docs: DataFrame, targets: dict[str, DataFrame] | None = None, seed: str = SEED) -> DataFrame:
+    """A sample of docs, with its own columns, whose tokens meet the targets as it stands.
+
+    A row stands as often as its cell's weight says: its whole part, and once more with the rest as probability. So
+    over-represented cells are thinned and under-represented ones repeated, and the sample has about as many tokens as docs. Drawing
+    with weight over the largest weight instead would throw away what the rarest cell weighs more than the others."""
+    found = drawn(docs, targets, seed)
+    mix = found.columns[-1]
+    w = F.when(F.col(f"{mix}.weight") > 0, F.col(f"{mix}.weight")).otherwise(F.lit(1.0))
+    times = (F.floor(w) + F.when(uniform(seed) < w - F.floor(w), 1).otherwise(0)).cast("int")
+    one = fresh(docs, "_mix_one")
+    return found.select(*docs.columns, F.explode(F.when(times > 0, F.array_repeat(F.lit(0), times))).alias(one)).select(*docs.columns)
 
 
 def _oracle() -> str:

@@ -45,9 +45,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_mix_by_raking", mixing.ORACLE)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.drawn(table(spark, sf_dir, "documents"))
+    mix = found.columns[-1]
     parts = [F.coalesce(c, F.lit("")).alias(c) for c in ("source", "lang")]
-    numbers = [F.round(f"mix_{c}", 6).alias(c) for c in ("weight", "probability", "repeats")]
-    return found.select("doc_id", *parts, F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), *numbers, F.col("mix_kept").alias("kept"))
+    numbers = [F.round(f"{mix}.{c}", 6).alias(c) for c in ("weight", "probability", "repeats")]
+    return found.select("doc_id", *parts, F.col(f"{mix}.topic").alias("topic"), F.col(f"{mix}.tokens").alias("n_tokens"), *numbers, F.col(f"{mix}.kept").alias("kept"))
 
 
 @query("op5_quality_cotraining")
@@ -59,14 +60,19 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_language_id")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.judged(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.col("id_lang").alias("language"), F.col("id_posterior").alias("posterior"), F.col("id_grams").alias("n_grams"), F.col("id_accepted").alias("kept"))
+    return found.select("doc_id", *_verdict(found))
 
 
 @query("op6_pages_language")
 def op6_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same over raw pages, where markup declares the language and the address gives host and suffix."""
     found = langid.judged(langid.of_pages(table(spark, sf_dir, "pages")))
-    return found.select("page_id", F.col("lang").alias("declared"), F.col("id_lang").alias("language"), F.col("id_posterior").alias("posterior"), F.col("id_grams").alias("n_grams"), F.col("id_accepted").alias("kept"))
+    return found.select("page_id", F.col("lang").alias("declared"), *_verdict(found))
+
+
+def _verdict(found: DataFrame) -> list:
+    said = {"language": "lang", "posterior": "posterior", "n_grams": "grams", "kept": "accepted"}
+    return [F.col(f"{found.columns[-1]}.{field}").alias(name) for name, field in said.items()]
 
 
 @query("op7_decontaminate")
