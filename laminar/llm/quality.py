@@ -1,6 +1,7 @@
 """Quality classifier by co-training: a content view and a metadata view teach each other, then judge together.
 
-Content: shape statistics of the whole text. Metadata: language, source and stored length, hashed. Both start from a
+Content: shape statistics of the whole text, and the shares of its words by hashed cell. Metadata: language and source, alone and
+together, hashed; nothing that the text itself shows, so that each view can teach the other. Both start from a
 bounded sample of labelled rows; in each round each view judges every unlabelled document and hands its most confident
 pseudo-labels, a share of all of them, to the other, which is fitted anew by Newton steps whose gradients and Hessians
 are summed over all tasks; held-out labels calibrate each view and the sum of the two. All documents are scored.
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from laminar.llm.common import SPACE, buffers, steps, word_hashes, written
+from laminar.llm.common import SPACE, buffers, mix, steps, word_hashes, written
 
 #: Labelled rows the models may be fitted on: the lowest by hash of id. Rounds, and the share of all unlabelled
 #: documents that a view hands on in a round, as far as their margins pass SURE.
@@ -29,7 +30,8 @@ LABELLED, ROUNDS, HANDED, SURE = 20_000, 4, 0.025, 2.2
 STEPS, SETTLED, BINS = 12, 1e-3, 4096
 #: Share of the labelled rows that is held out for calibration; score from which a document is kept.
 HELD_OUT, KEEP = 0.25, 0.5
-META = 128
+#: Hashed cells of metadata, and how many of them a row has.
+META, PARTS = 128, 3
 
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[0x41:0x5B] = 1
@@ -39,7 +41,9 @@ _CLASS[[ord(c) for c in ".,;:'\"?()-"]] = 4
 _CLASS[[ord(c) for c in "!#$%&*+/<=>@[\\]^_`{|}~"]] = 5
 _CLASS[0x80:] = 6
 _CLASS[SPACE] = 7
-CONTENT = 20
+#: Shape numbers, hashed cells of words, and both.
+SHAPE, WORDS = 20, 108
+CONTENT = SHAPE + WORDS
 
 
 def content(texts: pa.Array) -> np.ndarray:
@@ -68,13 +72,18 @@ def content(texts: pa.Array) -> np.ndarray:
         fresh = np.r_[True, (h[1:] != h[:-1]) | (o[1:] != o[:-1])]
         out[:, 13] = np.bincount(o[fresh], minlength=n) / many
         runs = np.flatnonzero(fresh)
-        out[:, 14] = np.maximum.reduceat(np.diff(np.r_[runs, len(h)]), np.searchsorted(o[runs], np.unique(o)))[np.searchsorted(np.unique(o), np.arange(n)).clip(max=len(np.unique(o)) - 1)] / many
+        some = np.flatnonzero(words)
+        out[some, 14] = np.maximum.reduceat(np.diff(np.r_[runs, len(h)]), np.searchsorted(o[runs], some)) / many[some]
     lines = np.bincount(owner[data == 0x0A], minlength=n) + 1 if len(data) else np.ones(n)
     out[:, 15] = np.log1p(lines)
     out[:, 16] = np.log1p(size / lines)
     out[:, 17] = kinds[:, 5] / many
     out[:, 18] = kinds[:, 4] / many
     out[:, 19] = kinds[:, 3] / many
+    if len(hashes):
+        cell = (mix(hashes) % np.uint64(WORDS)).astype(np.int64)
+        share = np.bincount(of * WORDS + cell, minlength=n * WORDS).reshape(n, WORDS) / many[:, None]
+        out[:, SHAPE:] = np.sqrt(share)
     out[size == 0] = 0
     return out
 
@@ -83,24 +92,22 @@ def _slot(kind: str, value) -> int:
     return zlib.crc32(f"{kind}={value}".encode()) % META
 
 
-def slots(lang: list, source: list, n_chars: list) -> np.ndarray:
-    """The three columns of metadata that are one, and the last column's value."""
-    size = [None if c is None else int(max(c, 0)).bit_length() for c in n_chars]
-    rows = [(_slot("lang", a), _slot("source", b), _slot("size", k), np.log1p(max(c or 0, 0))) for a, b, k, c in zip(lang, source, size, n_chars)]
-    return np.array(rows, float).reshape(-1, 4)
+def slots(lang: list, source: list) -> np.ndarray:
+    """The three columns of metadata that are one: of the language, of the source, and of both together."""
+    rows = [(_slot("lang", a), _slot("source", b), _slot("both", f"{a}/{b}")) for a, b in zip(lang, source)]
+    return np.array(rows, float).reshape(-1, PARTS)
 
 
 def spread(short: np.ndarray) -> np.ndarray:
-    """Metadata in META + 1 columns; what falls on the same one adds up."""
-    out = np.zeros((len(short), META + 1))
-    for k in range(3):
+    """Metadata in META columns; what falls on the same one adds up."""
+    out = np.zeros((len(short), META))
+    for k in range(PARTS):
         np.add.at(out, (np.arange(len(short)), short[:, k].astype(int)), 1)
-    out[:, META] = short[:, 3]
     return out
 
 
-def metadata(lang: list, source: list, n_chars: list) -> np.ndarray:
-    return spread(slots(lang, source, n_chars))
+def metadata(lang: list, source: list) -> np.ndarray:
+    return spread(slots(lang, source))
 
 
 def fit(x: np.ndarray, y: np.ndarray, steps: int = STEPS, ridge: float = 1.0) -> tuple:
@@ -125,7 +132,7 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-x))
 
 
-WIDTHS = (CONTENT + 1, META + 2)
+WIDTHS = (CONTENT + 1, META + 1)
 
 
 def _raw(model: tuple) -> np.ndarray:
@@ -144,11 +151,10 @@ def _sums(x: np.ndarray, y: np.ndarray, v: np.ndarray, short: np.ndarray | None
     if short is None:
         h = (z * weight[:, None]).T @ z
     else:
-        n, k = len(z), z.shape[1]
-        at = np.c_[short[:, :3].astype(int), np.full((n, 1), META), np.full((n, 1), META + 1)]
-        value = np.c_[np.ones((n, 3)), short[:, 3:4], np.ones((n, 1))]
+        k = z.shape[1]
+        at = np.c_[short.astype(int), np.full((len(z), 1), META)]
         pairs = (at[:, :, None] * k + at[:, None, :]).ravel()
-        h = np.bincount(pairs, (value[:, :, None] * value[:, None, :] * weight[:, None, None]).ravel(), k * k)
+        h = np.bincount(pairs, np.repeat(weight, at.shape[1] ** 2), k * k)
     return np.r_[len(z), z.sum(0), (z * z).sum(0), z.T @ (p - y), h.ravel()]
 
 
@@ -250,7 +256,7 @@ def judge(model: dict | None, xc, xm) -> tuple:
 def _plain(docs: DataFrame) -> DataFrame:
     have = {c.lower() for c in docs.columns}
     get = lambda c, kind: (F.col(c) if c in have else F.lit(None)).cast(kind).alias(c)
-    return docs.select(get("doc_id", "long"), get("text", "string"), get("lang", "string"), get("source", "string"), get("n_chars", "long"))
+    return docs.select(get("doc_id", "long"), get("text", "string"), get("lang", "string"), get("source", "string"))
 
 
 def _features(rows: DataFrame) -> DataFrame:
@@ -260,7 +266,7 @@ def _features(rows: DataFrame) -> DataFrame:
         for whole in batches:
             for batch in steps(whole):
                 c = content(batch.column("text"))
-                m = slots(*(batch.column(k).to_pylist() for k in ("lang", "source", "n_chars")))
+                m = slots(*(batch.column(k).to_pylist() for k in ("lang", "source")))
                 lists = [pa.array(list(x.astype(np.float32)), pa.list_(pa.float32())) for x in (c, m)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists], names=["doc_id", "c", "m"])
 
@@ -284,7 +290,7 @@ def _over(rows: DataFrame):
             for batch in batches:
                 for at in range(0, len(batch), 4096):
                     some = batch.slice(at, 4096)
-                    part = f(*sent.value, _matrix(some.column("c"), CONTENT), _matrix(some.column("m"), 4))
+                    part = f(*sent.value, _matrix(some.column("c"), CONTENT), _matrix(some.column("m"), PARTS))
                     out = part if out is None else out + part
             if out is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["part", "sums"])
@@ -323,7 +329,7 @@ def scored(docs: DataFrame, model: dict | None, keep: float = KEEP) -> DataFrame
     def score(batches):
         for whole in batches:
             for batch in steps(whole):
-                m = metadata(*(batch.column(k).to_pylist() for k in ("lang", "source", "n_chars")))
+                m = metadata(*(batch.column(k).to_pylist() for k in ("lang", "source")))
                 a, b, s = judge(sent.value, content(batch.column("text")), m)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.round(x, 6)) for x in (a, b, s)), pa.array(np.round(s, 6) >= keep)], names=["doc_id", "p_content", "p_metadata", "score", "kept"])
 
