@@ -53,7 +53,7 @@ k AS (SELECT doc_id, pos, list_slice(lines, pos + 1, pos + 3) AS key FROM w),
 later AS (SELECT doc_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id, pos) AS r FROM k) WHERE r > 1),
 gone AS (SELECT DISTINCT doc_id, pos + o AS pos FROM later, range(0, 3) AS t(o)),
 p AS (SELECT l.doc_id, unnest(range(0, len(lines))) AS pos, unnest(lines) AS line FROM l),
-k2 AS (SELECT p.doc_id, count(*) AS n_lines, count(g.pos) AS n_removed, coalesce(string_agg(p.line, chr(10) ORDER BY p.pos) FILTER (WHERE g.pos IS NULL), '') AS kept
+k2 AS (SELECT p.doc_id, count(*) AS n_lines, count(g.pos) AS n_removed, string_agg(p.line, chr(10) ORDER BY p.pos) FILTER (WHERE g.pos IS NULL) AS kept
   FROM p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.pos = p.pos GROUP BY p.doc_id)
-SELECT doc_id, n_lines, n_removed, sha256(kept) AS kept_sha256 FROM k2
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE n_lines END AS n_lines, n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d JOIN k2 USING (doc_id)
 """
