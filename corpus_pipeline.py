@@ -21,7 +21,8 @@ WORDS, SIMILAR = 5, 80
 @shipped
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with enough certainty."""
-    return langid.judged(docs).where("id_accepted").select(*docs.columns)
+    told = langid.judged(docs)
+    return told.where(F.col(f"{told.columns[-1]}.accepted")).select(*docs.columns)
 
 
 @shipped
@@ -39,7 +40,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 @shipped
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn so that source, language and topic meet their target shares."""
-    return mixing.drawn(docs).where("mix_kept").select(*docs.columns)
+    return mixing.sampled(docs)
 
 
 @shipped
