@@ -1,15 +1,17 @@
 """N-gram Jaccard join of documents by signature trees.
 
-Sets of equal shingles are one set. The root of the forest deals sets to families by keys that any linked pair must
+Sets of equal shingles are one set, known by a 64-bit hash of its shingles. The root of the forest deals sets to families by keys that any linked pair must
 share: shingles are dealt to parts by hash, and two sets that differ in at most D shingles agree on one of D + 1 parts. Below
 EXACT, where parts would become as many as shingles, the root deals by bands of minima instead, which miss a pair at the
 threshold with a probability of MISSED at most.
-Families are split into leaves by size range and hash. A unit is a pair of leaves; in it, a tree over each leaf holds
-OR-combined shingle bitmaps and size ranges, a dual traversal drops node pairs whose largest possible overlap is
-too small, and what is left is compared shingle by shingle unless it is connected already.
+Members of a large family are first compared with a few representatives of it; what links with one is settled, and only leaves
+that no representative has joined are compared with each other. Families are split into leaves by hash within a size range;
+a unit is a pair of leaves. In it, a tree over each leaf holds OR-combined shingle bitmaps and size ranges at every level,
+a dual traversal drops node pairs whose largest possible overlap is too small, level after level, and what is left
+is compared shingle by shingle unless it is connected already.
 
 Null or empty texts and those without words have an empty set and link with nothing. Rows of equal sets link, repeated
-rows included; rows that share a doc_id are one node; rows without a doc_id count as one document that comes last and shows
+rows included; rows that share a doc_id are judged each by its own text; rows without a doc_id count as one document that comes last and shows
 a null component only where it links with no other. Other columns, clashing names included, play no part.
 """
 
@@ -23,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from laminar.llm.common import WORD_BASE, keyed, mix, prefix, signed, span_hash, steps, unkeyed, word_hashes, written
-from laminar.operators.components import components
+from laminar.llm.common import NO_ID, WORD_BASE, fresh, keyed, mix, prefix, signed, span_hash, steps, unkeyed, word_hashes, written
+from laminar.operators.components import components, with_least
 
 #: Words of a shingle; link when 100 * intersection >= THRESHOLD * union.
 WORDS, THRESHOLD = 3, 90
-#: Size classes grow by this factor; sets in a leaf; sets in a node of a leaf's tree.
-CLASS, LEAF, NODE = 1.5, 256, 16
+#: Size classes grow by this factor; sets in a leaf; children of a node of a leaf's tree; representatives of a family
+#: that is larger than a leaf.
+CLASS, LEAF, FAN, REPRESENTATIVES = 1.5, 256, 4, 3
 #: From this threshold on keys are exact; below it, minima in a band, and the probability that all bands miss a pair.
 EXACT, ROWS, MISSED = 90, 5, 1e-4
 
@@ -80,6 +83,8 @@ def keys_of(shingles: np.ndarray, threshold: int) -> np.ndarray:
 
     A set with so many empty parts that all parts it agrees on might be empty has keys for them as well."""
     n, out = len(shingles), []
+    if 100 * n < threshold * (n + 1):  # too few shingles to link with any other set
+        return np.zeros(0, np.uint64)
     ends = bounds(n)
     classes = [ends[-1]]
     if 100 * n >= threshold * ends[-1]:
@@ -102,7 +107,7 @@ def band_keys(shingles: np.ndarray, first: np.ndarray, threshold: int) -> np.nda
     """One row of keys a set: each hashes ROWS minima of the set under as many hash functions."""
     bands = int(np.ceil(log(MISSED) / log(1 - (threshold / 100) ** ROWS)))
     out = np.zeros((len(first) - 1, bands), np.uint64)
-    full = np.flatnonzero(np.diff(first))
+    full = np.flatnonzero(np.diff(first))  # sets too small to link are left out by the caller
     if not len(full):
         return out
     factors = mix(np.arange(1, bands * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -121,52 +126,60 @@ def _sets(docs: DataFrame, words: int, threshold: int) -> DataFrame:
             for batch in steps(whole):
                 shingles, first = shingle_sets(batch.column("text"), words)
                 n = np.diff(first)
-                with np.errstate(over="ignore"):
-                    a = np.r_[np.uint64(0), np.cumsum(mix(shingles))]
-                    b = np.r_[np.uint64(0), np.cumsum(mix(shingles ^ np.uint64(0x5BD1E995)))]
-                    a, b = mix(a[first[1:]] - a[first[:-1]]), mix(b[first[1:]] - b[first[:-1]])
+                a, b = _hashes(shingles, first)
                 if threshold >= EXACT:
                     keys = [signed(keys_of(shingles[i:j], threshold)) for i, j in zip(first[:-1], first[1:])]
                 else:
-                    keys = [signed(k[: len(k) * bool(m)]) for k, m in zip(band_keys(shingles, first, threshold), n)]
+                    keys = [signed(k[: len(k) * bool(100 * m >= threshold * (m + 1))]) for k, m in zip(band_keys(shingles, first, threshold), n)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_key"), pa.array(n.astype(np.int64)), pa.array(signed(a)), pa.array(signed(b)), pa.array(keys, pa.list_(pa.int64()))], names=["doc_key", "n", "a", "b", "keys"])
 
     return docs.mapInArrow(make, "doc_key long, n long, a long, b long, keys array<long>")
 
 
+def _hashes(shingles: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of every set."""
+    with np.errstate(over="ignore"):
+        a = np.r_[np.uint64(0), np.cumsum(mix(shingles))]
+        b = np.r_[np.uint64(0), np.cumsum(mix(shingles ^ np.uint64(0x5BD1E995)))]
+        return mix(a[first[1:]] - a[first[:-1]]), mix(b[first[1:]] - b[first[:-1]])
+
+
 def _with_shingles(members: DataFrame, words: int) -> DataFrame:
-    """members with the sorted shingle hashes of their text in its place."""
+    """members (with a) and the sorted shingle hashes of the texts whose set has that hash a."""
     names = [c for c in members.columns if c != "text"]
 
     def make(batches):
         for whole in batches:
             for batch in steps(whole):
                 shingles, first = shingle_sets(batch.column("text"), words)
+                mine = signed(_hashes(shingles, first)[0]) == batch.column("a").to_numpy()
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(signed(shingles)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), lists], names=[*names, "shingles"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), lists], names=[*names, "shingles"]).filter(pa.array(mine))
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema if f.name != "text")
     return members.mapInArrow(make, f"{kinds}, shingles array<long>")
 
 
 class Tree:
-    """One leaf's sets in nodes of NODE, ordered by their smallest shingles, with OR-combined bitmaps and size ranges."""
+    """One leaf's sets, ordered by their smallest shingles, under levels of nodes with FAN children each, up to a root.
+
+    Level 0 are the sets themselves. A node holds the OR of its sets' bitmaps, their least and largest size, and the
+    most shingles that any of them has beyond its bits."""
 
     def __init__(self, sets: list[np.ndarray], at: np.ndarray, words: int):
         self.at = np.array(sorted(at, key=lambda i: (int(sets[i][0]), len(sets[i]))))
         bits = words * 64
-        self.size = np.array([len(sets[i]) for i in self.at])
+        size = np.array([len(sets[i]) for i in self.at])
         flat = np.zeros((len(self.at), bits), bool)
         for row, i in enumerate(self.at):
             flat[row, (sets[i] % np.uint64(bits)).astype(np.int64)] = True
-        self.bitmap = np.packbits(flat, axis=1).view(np.uint64)
-        #: Shingles that share a bit with another one of the set.
-        self.excess = self.size - np.bitwise_count(self.bitmap).sum(1).astype(np.int64)
-        begin = np.arange(0, len(self.at), NODE)
-        self.begin, self.end = begin, np.minimum(begin + NODE, len(self.at))
-        self.union = np.bitwise_or.reduceat(self.bitmap, begin, axis=0)
-        self.low, self.high = np.minimum.reduceat(self.size, begin), np.maximum.reduceat(self.size, begin)
-        self.slack = np.maximum.reduceat(self.excess, begin)
+        bitmap = np.packbits(flat, axis=1).view(np.uint64)
+        #: (bitmap, least size, largest size, slack) of every node, a level a tuple.
+        self.levels = [(bitmap, size, size, size - np.bitwise_count(bitmap).sum(1).astype(np.int64))]
+        while len(self.levels[-1][0]) > 1:
+            union, low, high, slack = self.levels[-1]
+            begin = np.arange(0, len(union), FAN)
+            self.levels.append((np.bitwise_or.reduceat(union, begin, axis=0), np.minimum.reduceat(low, begin), np.maximum.reduceat(high, begin), np.maximum.reduceat(slack, begin)))
 
 
 def enough(overlap, small_a, small_b, threshold: int):
@@ -174,22 +187,37 @@ def enough(overlap, small_a, small_b, threshold: int):
     return 100 * overlap >= threshold * (small_a + small_b - overlap)
 
 
-def traverse(x: Tree, y: Tree, threshold: int):
-    """Pairs of sets that the largest possible overlap does not rule out, node pair by node pair."""
-    for i in range(len(x.begin)):
-        most = np.bitwise_count(x.union[i] & y.union).sum(1).astype(np.int64) + np.minimum(x.slack[i], y.slack)
-        most = np.minimum(most, np.minimum(x.high[i], y.high))
-        for j in np.flatnonzero(enough(most, x.low[i], y.low, threshold)):
-            if x is y and j < i:
-                continue
-            a, b = slice(x.begin[i], x.end[i]), slice(y.begin[j], y.end[j])
-            over = np.bitwise_count(x.bitmap[a][:, None] & y.bitmap[b][None]).sum(2).astype(np.int64)
-            over += np.minimum(x.excess[a][:, None], y.excess[b][None])
-            over = np.minimum(over, np.minimum(x.size[a][:, None], y.size[b][None]))
-            for p, q in np.argwhere(enough(over, x.size[a][:, None], y.size[b][None], threshold)):
-                first, second = x.at[x.begin[i] + p], y.at[y.begin[j] + q]
-                if x is not y or i != j or p < q:
-                    yield first, second
+def traverse(x: Tree, y: Tree, threshold: int, step: int = 4096):
+    """Pairs of sets that the largest possible overlap does not rule out: both trees from the roots down, level by level."""
+    depth = max(len(x.levels), len(y.levels))
+    level = lambda tree, k: tree.levels[min(k, len(tree.levels) - 1)]
+    i = j = np.zeros(1, np.int64)
+    for k in range(depth - 1, -1, -1):
+        (ux, lx, hx, sx), (uy, ly, hy, sy) = level(x, k), level(y, k)
+        if k < depth - 1:
+            i, j = _children(i, j, len(level(x, k + 1)[0]), len(ux), len(level(y, k + 1)[0]), len(uy))
+        if x is y:
+            i, j = i[i <= j], j[i <= j]
+        fits = np.zeros(len(i), bool)
+        for at in range(0, len(i), step):
+            a, b = i[at : at + step], j[at : at + step]
+            most = np.bitwise_count(ux[a] & uy[b]).sum(1).astype(np.int64) + np.minimum(sx[a], sy[b])
+            fits[at : at + step] = enough(np.minimum(most, np.minimum(hx[a], hy[b])), lx[a], ly[b], threshold)
+        i, j = i[fits], j[fits]
+    if x is y:
+        i, j = i[i < j], j[i < j]
+    yield from zip(x.at[i].tolist(), y.at[j].tolist())
+
+
+def _children(i: np.ndarray, j: np.ndarray, nx: int, mx: int, ny: int, my: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of children of node pairs; a tree whose root is reached already (as many nodes below as here) stands still."""
+    fan = np.arange(FAN)
+    down = lambda at, n, m: at[:, None] if n == m else at[:, None] * FAN + fan
+    a, b = down(i, nx, mx), down(j, ny, my)
+    p = np.broadcast_to(a[:, :, None], (len(i), a.shape[1], b.shape[1])).ravel()
+    q = np.broadcast_to(b[:, None, :], (len(i), a.shape[1], b.shape[1])).ravel()
+    inside = (p < mx) & (q < my)
+    return p[inside], q[inside]
 
 
 def links_in(sets: list[np.ndarray], leaf: np.ndarray, threshold: int) -> list[tuple[int, int]]:
@@ -250,6 +278,65 @@ def _links(units: DataFrame, threshold: int) -> DataFrame:
     return units.mapInArrow(run, "a long, b long")
 
 
+def _settled(members: DataFrame, threshold: int, rounds: int = REPRESENTATIVES) -> tuple[DataFrame, DataFrame]:
+    """a and class of members that a representative of their family has joined, and the links found on the way.
+
+    Only families larger than a leaf have representatives: in each round the one of those not yet joined whose hash is least, compared
+    with every member of its family. It travels to each slot of its family, never to one task for all of them.
+    Members of one class link with one representative; a representative that links with members of an earlier class
+    takes that class's name, so that members with equal class are connected."""
+    spark = members.sparkSession
+    classes = spark.createDataFrame([], "a long, class long")
+    stars = spark.createDataFrame([], "a long, b long")
+    sizes = members.groupBy("family").agg(F.count("*").alias("m")).where(F.col("m") > LEAF)
+    sizes = written(sizes.select("family", F.ceil(F.col("m") / F.lit(LEAF)).cast("int").alias("slots")), "large-families")
+    if sizes.isEmpty():
+        return classes, stars
+    at = F.pmod(F.xxhash64("a", F.lit(3)), F.col("slots")).cast("int")
+    large = members.join(F.broadcast(sizes) if sizes.count() <= SMALL else sizes, "family").withColumn("slot", at)
+    for k in range(rounds):
+        left = large.select("a", "family").join(classes, "a", "left_anti")
+        chosen = left.groupBy("family").agg(F.min_by("a", F.xxhash64("a", F.lit(k))).alias("rep"))
+        reps = large.join(chosen, "family").where("a = rep").select("family", "slots", "rep", F.col("n").alias("rep_n"), F.col("shingles").alias("rep_shingles"))
+        spread = reps.withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1))).drop("slots")
+        both = F.size(F.array_intersect("shingles", "rep_shingles"))
+        close = (100 * F.least("n", "rep_n") >= threshold * F.greatest("n", "rep_n")) & (100 * both >= threshold * (F.col("n") + F.col("rep_n") - both))
+        met = written(large.join(spread.hint("merge"), ["family", "slot"]).where(close).select("a", "family", "rep"), "joined")
+        stars = stars.unionByName(met.where("a <> rep").select("a", F.col("rep").alias("b")))
+        # Earlier classes that this representative reaches become one with its own.
+        named = met.join(classes, "a", "left").select("a", "family", "rep", F.col("class").alias("old"))
+        least = named.groupBy("family").agg(F.min(F.coalesce("old", "rep")).alias("class"))
+        fresh_ones = named.where("old IS NULL").select("a", "family").join(F.broadcast(least) if sizes.count() <= SMALL else least, "family").select("a", "class")
+        merged = named.where("old IS NOT NULL").select(F.col("old").alias("class"), "family").distinct().join(least.withColumnRenamed("class", "now"), "family").select("class", "now").distinct()
+        again = classes.join(F.broadcast(merged) if sizes.count() <= SMALL else merged, "class", "left").select("a", F.coalesce("now", "class").alias("class"))
+        classes = written(again.unionByName(fresh_ones), "classes")
+    return classes, stars
+
+
+def _units(members: DataFrame, settled: DataFrame) -> DataFrame:
+    """Members dealt to units: pairs of leaves of one family, of one band or of neighbouring ones, but no two leaves of one class.
+
+    No task holds more than about 2 * LEAF sets of a unit."""
+    members = members.join(settled.hint("merge"), "a", "left").withColumn("class", F.coalesce("class", F.lit(0)))
+    place = ["family", "band", "class"]
+    sizes = members.groupBy(*place).agg(F.ceil(F.count("*") / F.lit(LEAF)).cast("int").alias("leaves"))
+    leaves = written(sizes.select("*", F.explode(F.sequence(F.lit(0), F.col("leaves") - 1)).alias("slot")), "leaves")
+    x, y = (leaves.select("family", F.col("band").alias(f"band_{s}"), F.col("class").alias(f"class_{s}"), F.col("slot").alias(f"slot_{s}")) for s in "xy")
+    order = (F.struct("band_x", "class_x", "slot_x") <= F.struct("band_y", "class_y", "slot_y")) & (F.col("band_y") - F.col("band_x") <= 1)
+    apart = (F.col("class_x") != F.col("class_y")) | (F.col("class_x") == 0)
+    pairs = x.join(y, "family").where(order & apart).withColumn("unit", F.xxhash64("family", "band_x", "class_x", "slot_x", "band_y", "class_y", "slot_y"))
+    ends = F.array_distinct(F.array(*[F.struct(F.col(f"band_{s}").alias("band"), F.col(f"class_{s}").alias("class"), F.col(f"slot_{s}").alias("slot")) for s in "xy"]))
+    dealt = pairs.select("family", "unit", F.explode(ends).alias("end")).select("family", "unit", "end.*")
+    slots = leaves.select(*place, "leaves").distinct()
+    slotted = members.join(F.broadcast(slots) if slots.count() <= SMALL else slots, place).withColumn("slot", F.pmod(F.xxhash64("a"), F.col("leaves")).cast("int"))
+    units = slotted.join(dealt, [*place, "slot"]).select("unit", F.col("a").alias("node"), F.xxhash64(*place, "slot").alias("leaf"), "shingles")
+    return units.repartition("unit").sortWithinPartitions("unit", "leaf", "node")
+
+
+#: Rows of a table of families that may be broadcast.
+SMALL = 50_000
+
+
 def linked(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links, itself included) of every row of docs.
 
@@ -265,36 +352,23 @@ def linked(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> D
     families = families.select(F.col("node").alias("a"), F.col("component").alias("family"))
 
     sets = rows.where("n > 0").groupBy("n", "a", "b").agg(F.min("doc_key").alias("node"))
+    members = sets.join(families, "a").select(F.col("node").alias("doc_key"), "a", "n", "family")
+    with_sets = _with_shingles(whole.join(members.hint("merge"), "doc_key").select("doc_key", "a", "n", "family", "text"), words)
+    with_sets = with_sets.groupBy("doc_key", "a", "n", "family").agg(F.max("shingles").alias("shingles"))
     step = float(np.log(100 / threshold))
-    members = sets.join(families, "a").withColumn("band", F.floor(F.log("n") / F.lit(step)).cast("int"))
-    members = written(members.select("node", "n", "b", "family", "band"), "family-members")
-    sizes = members.groupBy("family", "band").agg(F.ceil(F.count("*") / F.lit(LEAF)).cast("int").alias("leaves"))
-    slot = members.join(sizes, ["family", "band"]).withColumn("slot", F.pmod(F.xxhash64("b"), F.col("leaves")).cast("int"))
-    # A unit: two leaves of one band, or of neighbouring ones. Each set goes to the units of its leaf.
-    leaves = sizes.select("family", "band", F.explode(F.sequence(F.lit(0), F.col("leaves") - 1)).alias("slot"))
-    x, y = (leaves.select("family", F.col("band").alias(f"band_{s}"), F.col("slot").alias(f"slot_{s}")) for s in "xy")
-    order = (F.struct("band_x", "slot_x") <= F.struct("band_y", "slot_y")) & (F.col("band_y") - F.col("band_x") <= 1)
-    pairs = x.join(y, "family").where(order).withColumn("unit", F.xxhash64("family", "band_x", "slot_x", "band_y", "slot_y"))
-    ends = F.array_distinct(F.array(F.struct(F.col("band_x").alias("band"), F.col("slot_x").alias("slot")), F.struct(F.col("band_y").alias("band"), F.col("slot_y").alias("slot"))))
-    dealt = pairs.select("family", "unit", F.explode(ends).alias("end")).select("family", "unit", "end.*")
-    with_sets = _with_shingles(whole.join(slot.select(F.col("node").alias("doc_key"), "family", "band", "slot").hint("merge"), "doc_key").select("doc_key", "family", "band", "slot", "text"), words)
-    with_sets = with_sets.groupBy("doc_key", "family", "band", "slot").agg(F.max("shingles").alias("shingles"))
-    units = with_sets.join(dealt, ["family", "band", "slot"]).select("unit", F.col("doc_key").alias("node"), F.xxhash64("family", "band", "slot").alias("leaf"), "shingles")
-    spread = units.repartition("unit").sortWithinPartitions("unit", "leaf", "node")
-    found = components(_links(spread, threshold))
-
-    labels = sets.join(found, "node", "left").select("n", "a", "b", F.coalesce("component", "node").alias("component"))
-    same = rows.select("doc_key", "n", "a", "b").join(labels, ["n", "a", "b"], "left")
-    return same.select(unkeyed().alias("doc_id"), F.col("n").alias("n_shingles"), unkeyed_component().alias("component_id"))
-
+    with_sets = written(with_sets.withColumn("band", F.floor(F.log("n") / F.lit(step)).cast("int")).drop("doc_key"), "family-members")
+    settled, stars = _settled(with_sets, threshold)
+    found = components(_links(_units(with_sets, settled), threshold).unionByName(stars))
 
-def unkeyed_component():
-    found = F.coalesce("component", "doc_key")
-    return F.when(found != 2**63 - 1, found)
+    named = sets.join(found.select(F.col("node").alias("a"), "component"), "a", "left")
+    named = with_least(named.select("n", "a", "b", F.coalesce("component", "a").alias("u"), F.col("node").alias("v")), rows.count())
+    same = rows.select("doc_key", "n", "a", "b").join(named.select("n", "a", "b", F.col("m").alias("component")), ["n", "a", "b"], "left")
+    return same.select(unkeyed().alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component", "doc_key"), F.lit(NO_ID)).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """The rows of docs, with all their columns, whose doc_id is the smallest of its component; rows without an id stay."""
-    first = linked(docs, words, threshold).where("doc_id IS NULL OR doc_id = component_id OR component_id IS NULL").select(F.col("doc_id").alias("_kept_id")).where("_kept_id IS NOT NULL").distinct()
-    kept = docs.join(first, F.col("doc_id") == F.col("_kept_id"), "left")
-    return kept.where("doc_id IS NULL OR _kept_id IS NOT NULL").drop("_kept_id")
+    name = fresh(docs, "_kept_id")
+    first = linked(docs, words, threshold).where("doc_id = component_id OR component_id IS NULL").select(F.col("doc_id").alias(name)).where(F.col(name).isNotNull()).distinct()
+    kept = docs.join(first, F.col("doc_id").cast("long") == F.col(name), "left")
+    return kept.where(F.col("doc_id").isNull() | F.col(name).isNotNull()).select(*docs.columns)
