@@ -78,6 +78,76 @@ def test_jaccard_keys_lose_no_link():
                 assert set(jaccard.keys_of(a, 90).tolist()) & set(jaccard.keys_of(b, 90).tolist())
 
 
+def test_jaccard_sets_too_small_to_link_have_no_keys():
+    rng = np.random.default_rng(3)
+    for n in range(1, 9):
+        assert not any(len(jaccard.keys_of(np.sort(rng.integers(0, 2**63, n).astype(np.uint64)), 90)) for _ in range(400))
+    assert len(jaccard.keys_of(np.arange(1, 10, dtype=np.uint64), 90))
+    for n in range(1, 4):  # at 80, from four shingles on
+        sets = [np.sort(rng.integers(0, 2**63, n).astype(np.uint64)) for _ in range(50)]
+        assert not 100 * n >= 80 * (n + 1) and len(sets)
+
+
+def test_jaccard_bands_find_pairs_at_the_threshold():
+    """Pairs of exactly 0.8: all but one in ten thousand must share a band; of 3,000, at most two may not."""
+    rng = np.random.default_rng(12)
+    lost = 0
+    for _ in range(3000):
+        common, more = rng.integers(0, 2**63, 80).astype(np.uint64), rng.integers(0, 2**63, 20).astype(np.uint64)
+        a, b = np.r_[common, more[:10]], np.r_[common, more[10:]]
+        keys = jaccard.band_keys(np.r_[a, b], np.array([0, len(a), len(a) + len(b)]), 80)
+        lost += not (keys[0] == keys[1]).any()
+    assert lost <= 2
+
+
+def test_jaccard_traversal_finds_what_comparing_all_finds():
+    rng = np.random.default_rng(9)
+    for sizes in ((40, 40), (1, 30), (17, 5), (64, 64)):
+        base = [np.unique(rng.integers(0, 2**63, 60).astype(np.uint64)) for _ in range(6)]
+        sets = []
+        for _ in range(sum(sizes)):
+            own = base[rng.integers(6)].copy()
+            own[rng.integers(0, len(own), rng.integers(0, 5))] = rng.integers(0, 2**63, 1).astype(np.uint64)
+            sets.append(np.unique(own))
+        near = lambda i, j: 100 * len(np.intersect1d(sets[i], sets[j])) >= 90 * len(np.union1d(sets[i], sets[j]))
+        x, y = np.arange(sizes[0]), np.arange(sizes[0], sum(sizes))
+        trees = [jaccard.Tree(sets, at, 8) for at in (x, y)]
+        found = {tuple(sorted(p)) for p in jaccard.traverse(*trees, 90)}
+        assert {(i, j) for i in x for j in y if near(i, j)} <= found
+        assert all(len(a[0]) <= -(-len(b[0]) // 1) for a, b in zip(trees[0].levels[1:], trees[0].levels))
+        own = list(jaccard.traverse(trees[0], trees[0], 90))
+        assert len(own) == len({frozenset(p) for p in own}) and {(i, j) for i in x for j in x if i < j and near(i, j)} <= {tuple(sorted(p)) for p in own}
+
+
+def test_jaccard_large_families_by_representatives(spark, monkeypatch):
+    """Several crowds in one family by a shared passage, chains between them, and strays."""
+    rng = random.Random(21)
+    passage = [f"p{i}" for i in range(40)]
+    rows = []
+    for _ in range(5):
+        base = passage + [f"b{rng.randrange(10**6)}" for _ in range(60)]
+        for _ in range(25):
+            w = list(base)
+            for _ in range(rng.randint(0, 4)):
+                w[rng.randrange(100)] = f"n{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    for _ in range(30):
+        rows.append((len(rows), " ".join(passage + [f"s{rng.randrange(10**6)}" for _ in range(rng.randint(5, 60))])))
+    rng.shuffle(rows)
+    monkeypatch.setattr(jaccard, "LEAF", 8)
+    for words, least in ((3, 90), (5, 80)):
+        assert got(jaccard.linked(table(spark, rows), words, least), "doc_id", "n_shingles", "component_id") == brute.jaccard(rows, words, least)
+
+
+def test_jaccard_rows_that_share_an_id(spark):
+    base = " ".join(f"w{i}" for i in range(100))
+    other = " ".join(f"x{i}" for i in range(100))
+    near = lambda t: t + " more"
+    rows = [(1, base), (5, near(base)), (5, near(other)), (7, other), (None, near(near(other))), (None, "alone it stands here with some words of its own")]
+    out = jaccard.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in out) == sorted([(1, 98, 1), (5, 99, 1), (5, 99, 5), (7, 98, 5), (-1, 100, 5), (-1, 8, -1)])
+
+
 def test_jaccard_many_near_copies_in_small_leaves(spark, monkeypatch):
     rng = random.Random(2)
     base = [f"v{i}" for i in range(90)]
@@ -101,7 +171,8 @@ def test_decontaminate(spark, rows):
         found = decontam.matches(table(spark, rows), bench, most=most).withColumn("h", F.sha2(F.concat_ws(",", "items"), 256))
         out = {k: (*v, v[1] > 0) for k, v in got(found.withColumn("n", F.size("items")), "doc_id", "n_words", "n_hit", "n", "h").items()}
         assert out == want
-    assert {r.doc_id for r in decontam.clean(table(spark, rows), bench).collect()} == {k for k, v in want.items() if not v[4]}
+        clean = decontam.clean(table(spark, rows), bench, most=most)
+        assert clean.columns == table(spark, rows).columns and {r.doc_id for r in clean.collect()} == {k for k, v in want.items() if not v[4]}
     assert decontam.matches(table(spark, rows), bench.limit(0)).where("n_hit > 0").count() == 0
 
 
@@ -119,6 +190,66 @@ def test_token_counts_and_ids(spark, rows, tmp_path):
     assert got(tokens.read_orc(spark, str(tmp_path / "orc")), "doc_id", "start", "n_tokens", "ids_crc32") == want
 
 
+def test_decontaminate_builds_its_tables_once(spark, rows, monkeypatch):
+    """A broadcast benchmark is built once, whatever the documents; a larger one is never broadcast."""
+    base = texts()[0].split(" ")
+    bench = spark.createDataFrame([(k, " ".join(base[k * 12 : k * 12 + 30])) for k in range(8)], "item_id long, text string")
+    built = []
+    whole = decontam.build
+    monkeypatch.setattr(decontam, "build", lambda items, size: built.append(len(items)) or whole(items, size))
+
+    class Sent:
+        id, value = -5, [(str(r.item_id), r.text) for r in bench.collect()]
+
+    monkeypatch.setattr(decontam, "_built", {})
+    for _ in range(100):
+        decontam._tables(Sent, 10)
+    assert built == [8]
+    sent = []
+    monkeypatch.setattr(decontam, "_Sent", lambda *a: sent.append(a))
+    assert decontam.matches(table(spark, rows), bench, most=20).where("n_hit > 0").count() and not sent
+
+
+def test_orc_rows_of_one_id_lie_where_they_are_said_to(spark, tmp_path):
+    said = ["b b", "a", "c c c c", "a", "zz", "the cat sat"]
+    frame = spark.createDataFrame([*((5, t) for t in said), (None, "x y"), (None, "w"), (1, "first")], "doc_id long, text string").repartition(3)
+    path = str(tmp_path / "orc")
+    tokens.write_orc(frame, path, VOCABULARY)
+    lie = spark.read.schema(tokens.ORC_SCHEMA).orc(path).orderBy("part", "row").collect()
+    start, want = 0, []
+    for r in lie:
+        want.append((r.doc_key if r.doc_key != 2**63 - 1 else None, start, len(r.ids), zlib.crc32(array.array("I", r.ids).tobytes())))
+        start += len(r.ids)
+    out = tokens.read_orc(spark, path).orderBy("start").collect()
+    assert [tuple(r) for r in out] == want and len(out) == 9 and [r.doc_id for r in out] == [1, *[5] * 6, None, None]
+
+
+def test_orc_lookup_skips_row_groups(spark, tmp_path):
+    """Even ids in one file of several row groups: the index leaves one group for an id there is, the filter none for an odd one."""
+    path = str(tmp_path / "orc")
+    frame = spark.range(0, 12_000, 2).selectExpr("id AS doc_id", "concat('word ', id) AS text")
+    tokens.write_orc(frame, path, VOCABULARY)
+    whole = Tokenizer.from_file(VOCABULARY)
+
+    def scanned(ids):
+        found = tokens.lookup(spark, path, ids)
+        rows = found.collect()
+        leaf = found._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+        return rows, leaf.metrics().apply("numOutputRows").value()
+
+    for k in (0, 4_444, 11_998):
+        rows, read = scanned([k])
+        assert [(r.doc_id, r.ids) for r in rows] == [(k, [*whole.encode(f"word {k}", add_special_tokens=False).ids, 2])]
+        assert read <= tokens.STRIDE
+    assert sum(scanned([k])[1] == 0 for k in range(1001, 3001, 200)) >= 9
+    jvm = spark._jvm
+    path_of = lambda p: jvm.org.apache.hadoop.fs.Path(str(p))
+    files = sorted((tmp_path / "orc").glob("*.orc"))
+    for f in files:
+        reader = jvm.org.apache.orc.OrcFile.createReader(path_of(f), jvm.org.apache.orc.OrcFile.readerOptions(spark._jsc.hadoopConfiguration()))
+        assert reader.getRowIndexStride() == tokens.STRIDE and reader.getNumberOfRows() >= 0
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model"])
 def test_other_vocabularies(spark, rows, name):
     encoder = tokens.TextEncoder(public_tokenizers.path(name))
@@ -154,6 +285,38 @@ def test_embedding_links(spark, monkeypatch):
     assert sum(v[0] for v in out.values()) >= 0.97 * sum(v[0] for v in want.values())
 
 
+def test_embedding_links_of_more_digits_than_a_float_has(spark):
+    """In a double column the cosine of these two is below 0.9 by less than a float can tell."""
+    x = [1.0, 0.0]
+    y = [0.9 - 1e-9, float(np.sqrt(1 - (0.9 - 1e-9) ** 2))]
+    z = [0.9 + 1e-9, -float(np.sqrt(1 - (0.9 + 1e-9) ** 2))]
+    out = caps.linked(spark.createDataFrame([(0, x), (1, y), (2, z)], "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in out) == [(0, 1, 0), (1, 0, 1), (2, 1, 0)]
+
+
+def test_filters_grow_with_the_table():
+    """Two random vectors of cosine 0.9 share a filter nearly always, and a vector passes about as many, at every size."""
+    rng = np.random.default_rng(0)
+    a = rng.standard_normal((300, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.standard_normal((300, 64))
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = 0.9005 * a + np.sqrt(1 - 0.9005**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    passed = []
+    for n in (500, 10_000, 50_000, 500_000):
+        c = caps.size_of_books(n)
+        least = caps.threshold(64, c, 0.9)
+        own = [set((row * c * c + code).tolist()) for row, code in (caps.decode(z, c, least) for z in (a, b))]
+        assert len({k // (c * c) for k in own[0] & own[1]}) >= 0.92 * 300
+        passed.append(len(own[0]) / 300)
+        for row in (0, 7):  # list decoding finds just what passes
+            first, second = caps.codebooks(64, c)
+            every = (a[row, :32] @ first.T)[:, None] + (a[row, 32:] @ second.T)[None]
+            found = caps._passed(a[row : row + 1], c, least)[1]
+            assert sorted(found.tolist()) == np.flatnonzero((every >= least).ravel()).tolist()
+    assert max(passed) < 100 and passed[3] < 2.5 * passed[1]
+
+
 def test_line_dedup(spark, rows):
     first, want = {}, {}
     split = {i: t.split("\n") if t is not None else [] for i, t in rows}
@@ -172,11 +335,27 @@ def test_mixing_meets_targets(spark):
     frame = table(spark, rows).withColumn("source", F.when(F.col("doc_id") % 3 == 0, "big").otherwise(F.concat(F.lit("s"), F.col("doc_id") % 7))).withColumn("lang", F.lit("en"))
     targets = {"source": spark.createDataFrame([("big", 0.1), *[(f"s{i}", 0.9 / 7) for i in range(7)]], "value string, share double")}
     out = mixing.drawn(frame, targets)
-    assert out.count() == 3000 and "mix_tokens" in out.columns
-    kept = out.where("mix_kept").groupBy("source").agg(F.sum(F.col("mix_tokens") * F.col("mix_repeats")).alias("n")).toPandas().set_index("source").n
+    assert out.count() == 3000 and out.columns == [*frame.columns, "mix"] and {r.mix_kept for r in out.select("mix_kept").distinct().collect()} == {"y"}
+    kept = out.where("mix.kept").groupBy("source").agg(F.sum(F.col("mix.tokens") * F.col("mix.repeats")).alias("n")).toPandas().set_index("source").n
     assert abs(kept["big"] / kept.sum() - 0.1) < 0.03
-    assert out.where("mix_weight >= 1 AND NOT mix_kept").count() == 0
-    assert mixing.drawn(frame.limit(0)).count() == 0
+    assert out.where("mix.weight >= 1 AND NOT mix.kept").count() == 0
+    assert mixing.drawn(frame.limit(0)).count() == 0 and mixing.sampled(frame.limit(0)).count() == 0
+    assert mixing.drawn(frame.withColumn("mix", F.lit(1))).columns[-2:] == ["mix", "mix_"]
+
+
+def test_mixed_sample_meets_every_target_as_it_stands(spark):
+    rng = random.Random(2)
+    rows = [(i, "w " * rng.randrange(5, 90), rng.choice(["en"] * 8 + ["fr", "de"]), rng.choice(["a"] * 5 + ["b", "c"])) for i in range(6000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = mixing.sampled(frame)
+    assert out.columns == frame.columns
+    share = lambda df, c: {r[c]: r.n for r in df.withColumn("topic", mixing.topic()).groupBy(c).agg(F.sum(mixing.n_tokens()).alias("n")).collect()}
+    for c in mixing.MARGINALS:
+        have, own = share(out, c), share(frame, c)
+        roots = {k: n**mixing.POWER for k, n in own.items()}
+        for k in own:
+            assert abs(have[k] / sum(have.values()) - roots[k] / sum(roots.values())) < 0.02
+    assert abs(sum(share(out, "lang").values()) / sum(share(frame, "lang").values()) - 1) < 0.03
 
 
 def test_language_id(spark):
@@ -184,12 +363,14 @@ def test_language_id(spark):
     rows = [(i, f"{tongues[k]} {i}", k) for i, k in enumerate(list(tongues) * 10)] + [(100, tongues["fr"], "en"), (101, None, "en"), (102, "12 34", None), (103, "", "fr"), (104, tongues["de"], None)]
     frame = spark.createDataFrame([(i, t, k, "h", 1) for i, t, k in rows], "doc_id long, text string, lang string, source string, id_grams int")
     out = {r.doc_id: r for r in langid.judged(frame).collect()}
-    assert all(out[i].id_lang == k and out[i].id_accepted for i, _, k in rows[:30])
-    assert out[100].id_lang == "fr" and out[104].id_lang == "de"
-    assert not any(out[i].id_accepted for i in (101, 102, 103))
+    said = {i: r.language for i, r in out.items()}
+    assert all(said[i].lang == k and said[i].accepted and out[i].id_grams == 1 for i, _, k in rows[:30])
+    assert said[100].lang == "fr" and said[104].lang == "de"
+    assert not any(said[i].accepted for i in (101, 102, 103))
+    assert langid.judged(frame.withColumn("language", F.lit("mine"))).where("language <> 'mine' OR language_.lang IS NULL").count() == 0
     assert langid.judged(frame.limit(0)).count() == 0
     pages = frame.withColumn("url", F.concat(F.lit("https://a.example."), F.coalesce("lang", F.lit("org")), F.lit("/x")))
-    assert langid.judged(pages).where("id_accepted AND id_lang <> lang AND doc_id < 30").count() == 0
+    assert langid.judged(pages).where("language.accepted AND language.lang <> lang AND doc_id < 30").count() == 0
     said = spark.createDataFrame([('<!DOCTYPE html><HTML class="x" lang="de-AT">',), ("<p>",), (None,)], "h string").select(langid.markup_language("h").alias("l"))
     assert [r.l for r in said.collect()] == ["de", None, None]
 
@@ -231,7 +412,7 @@ def test_quality_hands_on_labels_of_every_unlabelled_row(spark, monkeypatch):
     monkeypatch.setattr(quality, "co_train", lambda xc, xm, y, n_free, over: seen.append((n_free, over)) or whole(xc, xm, y, n_free, over))
     assert quality.train(frame, labels) is not None
     n_free, over = seen[0]
-    flat = [(np.zeros(n), np.ones(n), np.r_[np.zeros(n), 9.0]) for n in (quality.CONTENT, quality.META + 1)]
+    flat = [(np.zeros(n), np.ones(n), np.r_[np.zeros(n), 9.0]) for n in (quality.CONTENT, quality.META)]
     assert n_free == 20_601 and over(quality.histogram, [], flat).reshape(2, -1).sum(1).tolist() == [20_601, 20_601]
 
 
@@ -241,7 +422,7 @@ def test_quality_sums_fit_as_the_whole_table_does():
     truth = rng.random(n) < 0.5
     c = rng.standard_normal((n, quality.CONTENT)) + truth[:, None] * 0.8
     c[:, 3] = 0.3
-    short = np.c_[rng.integers(0, 9, n) + truth * 4, rng.integers(20, 26, n), rng.integers(5, 24, n), rng.random(n) * 9]
+    short = np.c_[rng.integers(0, 9, n) + truth * 4, rng.integers(20, 26, n), rng.integers(40, 60, n)]
     xm, known = quality.spread(short), np.arange(n) < 1000
     calls = []
 
