@@ -15,36 +15,41 @@ from pyspark.sql import functions as F
 
 from laminar.functions.geometry import EXCLUDE, MAX_EDGE
 from laminar.operators import census, corpus, excise, mesh, regions
+from laminar.scratch import written
 from laminar.ship import ship
 from laminar.sources import files
 
 
+#: Sites that a report lists; it says when there are more.
+SITES = 2000
+
+
 def surfaces(spark: SparkSession, path: str) -> DataFrame:
-    """All mesh folders below a path, numbered in order of their names, with validity."""
+    """All mesh folders below a path, numbered in order of their paths, with validity."""
     found = files.read_surfaces(spark, path)
-    names = [r[0] for r in found.select("surface").distinct().orderBy("surface").collect()]
-    if not names:
+    folders = [r[0] for r in found.select("folder").distinct().orderBy("folder").collect()]
+    if not folders:
         raise FileNotFoundError(f"no mesh below {path}")
-    number = spark.createDataFrame(list(enumerate(names)), "surface_id long, surface string")
-    return mesh.with_validity(found.join(F.broadcast(number), "surface"))
+    number = spark.createDataFrame(list(enumerate(folders)), "surface_id long, folder string")
+    return mesh.with_validity(found.join(number, "folder"))
 
 
 def check(spark: SparkSession, path: str, max_edge: float = MAX_EDGE, exclude: int = EXCLUDE) -> dict:
-    """Counts under both diagonals, events and sites of every surface below a path."""
+    """Counts under both diagonals, and sites of every surface below a path: of diagonal 0, or of 1 where only that one crosses."""
     vertices = surfaces(spark, path)
-    quads = mesh.quads(vertices, max_edge)
-    found = [census.contacts(mesh.triangles(quads, d), exclude=exclude, across=False) for d in (0, 1)]
-    counts = [census.verdict_counts(f).first().asDict() for f in found]
-    hit = found[0].where("verdict = 'transverse'")
+    found = written(census.of_both_diagonals(mesh.quads(vertices, max_edge), exclude=exclude, across=False), "contacts")
+    counts = [census.verdict_counts(found.where(F.col("diagonal") == d)).first().asDict() for d in (0, 1)]
     clean = all(c["n_transverse"] == 0 for c in counts)
-    events = [] if clean else [r.asDict() for r in regions.sites(hit).orderBy("region_a", "region_b").limit(2000).collect()]
+    shown = 0 if counts[0]["n_transverse"] else 1
+    hit = found.where((F.col("verdict") == "transverse") & (F.col("diagonal") == shown))
+    events = [] if clean else [r.asDict() for r in regions.sites(hit).orderBy("region_a", "region_b").limit(SITES + 1).collect()]
     boxes = [r.asDict() for r in mesh.bounding_boxes(vertices).orderBy("surface_id").collect()]
-    return {"schema": "laminar_check/v1", "path": path, "clean": clean, "d0": counts[0], "d1": counts[1], "sites": events, "surfaces": boxes}
+    return {"schema": "laminar_check/v1", "path": path, "clean": clean, "d0": counts[0], "d1": counts[1], "sites_diagonal": shown, "sites": events[:SITES], "sites_truncated": len(events) > SITES, "surfaces": boxes}
 
 
 def transform(spark: SparkSession, path: str, out: str, budget: float = 0.01) -> dict:
     """Excises one surface, writes it, and judges what was written by reading it again."""
-    vertices = surfaces(spark, path).drop("surface")
+    vertices = surfaces(spark, path).drop("surface", "folder")
     now, removed, state = excise.excise(vertices)
     files.write_surface_folder(now, f"{out}/surface")
     after = check(spark, out)
@@ -54,15 +59,16 @@ def transform(spark: SparkSession, path: str, out: str, budget: float = 0.01) ->
 
 def check_pairs(spark: SparkSession, root: str, edges: str) -> dict:
     """A verdict for every edge of a list, in its order; a surface that is not there makes its edges not testable."""
-    vertices = surfaces(spark, root)
+    vertices = written(surfaces(spark, root), "surfaces")
+    quads = written(mesh.quads(vertices), "quads")
     named = vertices.select("surface", "surface_id").distinct()
-    tri = mesh.triangles(mesh.quads(vertices), 0)
-    sizes = named.join(tri.groupBy("surface_id").agg(F.count("*").alias("n")), "surface_id", "left").select("surface_id", F.coalesce("n", F.lit(0)).alias("n_triangles"))
+    if (twice := named.groupBy("surface").count().where("count > 1").first()) is not None:
+        raise ValueError(f"several meshes are called {twice.surface}")
     asked = files.read_edges(spark, edges)
     for end in ("a", "b"):
         asked = asked.withColumnRenamed(end, f"name_{end}").join(named.select(F.col("surface").alias(f"name_{end}"), F.col("surface_id").alias(end)), f"name_{end}", "left")
-    rows = census.pair_verdicts(asked, sizes, census.contacts(tri, across=True)).orderBy("ordinal").collect()
-    return {"schema": "laminar_pairs/v1", "edges": [{"a": r.name_a, "b": r.name_b, "verdict": r.verdict, "reason": r.reason, "n_transverse": r.n_transverse} for r in rows]}
+    rows = census.pair_verdicts(asked, vertices, census.of_both_diagonals(quads), quads).orderBy("ordinal").collect()
+    return {"schema": "laminar_pairs/v1", "edges": [{"a": r.name_a, "b": r.name_b, "verdict": r.verdict, "reason": r.reason, "n_transverse": r.n_transverse, "n_d0": r.n_d0, "n_d1": r.n_d1, "overlap_points": r.overlap_points} for r in rows]}
 
 
 def status(spark: SparkSession, catalog: str, sample: str) -> dict:

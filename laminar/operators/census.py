@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from laminar.functions import geometry as G
 from laminar.functions import kernels
 from laminar.operators import mesh
+from laminar.scratch import written
 
 CELL = 12.0
 _CORNERS = [f"{c}{k}" for c in "efg" for k in "xyz"]
@@ -19,44 +20,40 @@ KEY = ["v1", "u1", "t1", "v2", "u2", "t2", "s1", "s2"]
 
 
 def celled(triangles: DataFrame, cell: float = CELL) -> DataFrame:
-    """Each triangle once for every grid cell its box meets, with the grid's origin.
-
-    The grid starts at the least corner of all triangles, which decides who owns a pair: three numbers, taken as one row."""
-    low = triangles.agg(*[F.min(f"lo_{k}").alias(k) for k in "xyz"]).first()
+    """Each triangle once for every cell its box meets, in a grid that starts at the origin; g: the cell of its low corner."""
     out = triangles
     for k in "xyz":
-        base = F.lit(float(low[k] or 0.0))
-        first, last = F.floor((F.col(f"lo_{k}") - base) / cell).cast("int"), F.floor((F.col(f"hi_{k}") - base) / cell).cast("int")
+        first, last = (F.floor(F.col(f"{e}_{k}") / cell).cast("int") for e in ("lo", "hi"))
         out = out.withColumn(f"g_{k}", first).withColumn(f"c_{k}", F.explode(F.sequence(first, last)))
     return out
 
 
-def pairs(triangles: DataFrame, cell: float = CELL, exclude: int = G.EXCLUDE, across: bool | None = None, touch: float = G.TOUCH) -> DataFrame:
+def pairs(triangles: DataFrame, cell: float = CELL, exclude: int = G.EXCLUDE, across: bool | None = None, touch: float = G.TOUCH, by: tuple = ()) -> DataFrame:
     """Triangle pairs whose boxes meet, each in the one cell that owns it, without neighbours on the same surface.
 
-    The join is an equi-join on the cell, so it shuffles and AQE splits crowded cells; the owner cell (of the larger of the two
-    low corners) makes a distinct over pairs needless. across: pairs of different surfaces only, or of the same only."""
-    cells = celled(triangles, cell)
-    named = lambda t: cells.select(*[F.col(c).alias(f"{t}_{c}") for c in ["surface_id", "v", "u", "t", *_CORNERS, *_BOX, "g_x", "g_y", "g_z"]], "c_x", "c_y", "c_z")
-    met = named("p").join(named("q"), ["c_x", "c_y", "c_z"])
+    Triangles are dealt by cell once: both sides of the equi-join read one exchange, and AQE splits crowded cells. The owner cell (of the
+    larger of the two low corners) makes a distinct over pairs needless. The join's condition stays small enough to be compiled.
+    across: pairs of different surfaces only, or of the same only. by: columns that must be equal, such as a diagonal."""
+    own = ["surface_id", "v", "u", "t", *_CORNERS, *_BOX, "g_x", "g_y", "g_z"]
+    keys = [*by, "c_x", "c_y", "c_z"]
+    cells = celled(triangles, cell).select(*own, *keys).repartition(*keys)
+    named = lambda t: cells.select(*[F.col(c).alias(f"{t}_{c}") for c in own], *keys)
+    met = named("p").join(named("q").hint("merge"), keys)
     p, q = (F.struct(*[f"{t}_{c}" for c in ("surface_id", "v", "u", "t")]) for t in "pq")
-    owner = F.lit(True)
     for k in "xyz":
-        owner = owner & (F.col(f"c_{k}") == F.greatest(f"p_g_{k}", f"q_g_{k}"))
-        owner = owner & (F.col(f"p_hi_{k}") >= F.col(f"q_lo_{k}") - touch) & (F.col(f"q_hi_{k}") >= F.col(f"p_lo_{k}") - touch)
+        met = met.where((F.col(f"p_hi_{k}") >= F.col(f"q_lo_{k}") - touch) & (F.col(f"q_hi_{k}") >= F.col(f"p_lo_{k}") - touch))
+        met = met.where(F.col(f"c_{k}") == F.greatest(f"p_g_{k}", f"q_g_{k}"))
     same = F.col("p_surface_id") == F.col("q_surface_id")
     near = same & (F.abs(F.col("p_v") - F.col("q_v")) <= exclude) & (F.abs(F.col("p_u") - F.col("q_u")) <= exclude)
-    met = met.where(owner & ~near)
-    if across is not None:
-        met = met.where(~same if across else same)
+    met = met.where(~near if across is None else (~same if across else same & ~near))
     return met.where(p < q)
 
 
-def contacts(triangles: DataFrame, cell: float = CELL, exclude: int = G.EXCLUDE, touch: float = G.TOUCH, across: bool | None = None) -> DataFrame:
-    """Contacts with verdict, penetration and angle, ends in order of (surface, v, u, triangle)."""
+def contacts(triangles: DataFrame, cell: float = CELL, exclude: int = G.EXCLUDE, touch: float = G.TOUCH, across: bool | None = None, by: tuple = ()) -> DataFrame:
+    """Contacts with verdict, penetration and angle, ends in order of (surface, v, u, triangle), after the columns `by`."""
     ends = [F.col(f"{t}_{c}").alias(f"{n}{i}") for i, t in ((1, "p"), (2, "q")) for n, c in (("s", "surface_id"), ("v", "v"), ("u", "u"), ("t", "t"))]
     corners = [f"{t}_{c}" for t in "pq" for c in _CORNERS]
-    names = [f"{n}{i}" for i in (1, 2) for n in "svut"]
+    names = [*by, *(f"{n}{i}" for i in (1, 2) for n in "svut")]
 
     def judge(batches):
         for batch in batches:
@@ -67,8 +64,15 @@ def contacts(triangles: DataFrame, cell: float = CELL, exclude: int = G.EXCLUDE,
             said = [pa.array(kernels.NAMES[verdict[hit]].tolist(), pa.string()), pa.array(pen[hit].astype(np.float32)), pa.array(angle[hit].astype(np.float32))]
             yield pa.RecordBatch.from_arrays([*kept, *said], names=[*names, "verdict", "penetration", "angle_deg"])
 
-    schema = "s1 long, v1 int, u1 int, t1 int, s2 long, v2 int, u2 int, t2 int, verdict string, penetration float, angle_deg float"
-    return pairs(triangles, cell, exclude, across, touch).select(*ends, *corners).mapInArrow(judge, schema)
+    kinds = dict(triangles.dtypes)
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), "s1 long, v1 int, u1 int, t1 int, s2 long, v2 int, u2 int, t2 int, verdict string, penetration float, angle_deg float"])
+    return pairs(triangles, cell, exclude, across, touch, by).select(*by, *ends, *corners).mapInArrow(judge, schema)
+
+
+def of_both_diagonals(quads: DataFrame, **how) -> DataFrame:
+    """Contacts under either diagonal, in a column of that name, from one join."""
+    both = [mesh.triangles(quads, d).withColumn("diagonal", F.lit(d)) for d in (0, 1)]
+    return contacts(both[0].unionByName(both[1]), by=("diagonal",), **how)
 
 
 VERDICTS = ("transverse", "coplanar", "grazing")
@@ -81,10 +85,8 @@ def verdict_counts(found: DataFrame) -> DataFrame:
 
 def both_diagonals(vertices: DataFrame, **how) -> DataFrame:
     """Counts under either diagonal, their sum and lesser, and whether all is clean."""
-    found = mesh.quads(mesh.with_validity(vertices))
-    rows = [contacts(mesh.triangles(found, d), **how).withColumn("diagonal", F.lit(d)) for d in (0, 1)]
-    counts = rows[0].unionByName(rows[1]).agg(*[F.count_if((F.col("verdict") == v) & (F.col("diagonal") == d)).alias(f"{v}_d{d}") for v in VERDICTS for d in (0, 1)])
-    out = counts
+    found = of_both_diagonals(mesh.quads(mesh.with_validity(vertices)), **how)
+    out = found.agg(*[F.count_if((F.col("verdict") == v) & (F.col("diagonal") == d)).alias(f"{v}_d{d}") for v in VERDICTS for d in (0, 1)])
     for v in VERDICTS:
         out = out.withColumn(f"{v}_sum", F.col(f"{v}_d0") + F.col(f"{v}_d1")).withColumn(f"{v}_least", F.least(f"{v}_d0", f"{v}_d1"))
     return out.withColumn("clean", F.col("transverse_sum") == 0)
@@ -108,27 +110,70 @@ def is_submultiset(after: DataFrame, before: DataFrame) -> bool:
 
 
 def by_surface_pair(found: DataFrame) -> DataFrame:
-    """Transverse contacts of each unordered pair of surfaces: number, angles, share under 10 degrees, deepest."""
+    """Transverse contacts of each unordered pair of surfaces: number, by diagonal where there is such a column, angles, share under
+    10 degrees, deepest."""
     angle = F.round(F.col("angle_deg").cast("double"), 6)
+    split = [F.count_if(F.col("diagonal") == d).alias(f"n_d{d}") for d in (0, 1)] if "diagonal" in found.columns else []
     return found.where("verdict = 'transverse'").groupBy(F.least("s1", "s2").alias("surface_a"), F.greatest("s1", "s2").alias("surface_b")).agg(
-        F.count("*").alias("n"), F.percentile(angle, F.lit(0.5)).alias("angle_median"), F.percentile(angle, F.lit(0.1)).alias("angle_p10"), F.percentile(angle, F.lit(0.9)).alias("angle_p90"),
+        F.count("*").alias("n"), *split, F.percentile(angle, F.lit(0.5)).alias("angle_median"), F.percentile(angle, F.lit(0.1)).alias("angle_p10"), F.percentile(angle, F.lit(0.9)).alias("angle_p90"),
         F.avg((angle < 10).cast("double")).alias("shallow_share"), F.max("penetration").cast("double").alias("deepest"))
 
 
-def pair_verdicts(edges: DataFrame, surfaces: DataFrame, found: DataFrame) -> DataFrame:
-    """Every candidate edge (a, b) in its order, with a verdict: conflict, no_conflict, or not_testable with a reason.
-
-    surfaces: surface_id and n_triangles of what could be read. An edge is never lost."""
-    stats = by_surface_pair(found).select("surface_a", "surface_b", F.col("n").alias("n_transverse"))
-    sizes = lambda s: surfaces.select(F.col("surface_id").alias(s), F.col("n_triangles").alias(f"n_triangles_{s}"))
-    out = edges.join(sizes("a"), "a", "left").join(sizes("b"), "b", "left")
-    out = out.join(stats, (F.least("a", "b") == F.col("surface_a")) & (F.greatest("a", "b") == F.col("surface_b")), "left")
-    missing = F.col("n_triangles_a").isNull() | F.col("n_triangles_b").isNull()
-    empty = (F.col("n_triangles_a") == 0) | (F.col("n_triangles_b") == 0)
-    n = F.coalesce("n_transverse", F.lit(0))
-    verdict = F.when(missing | empty, "not_testable").when(n > 0, "conflict").otherwise("no_conflict")
-    reason = F.when(missing, "surface not found").when(empty, "surface has no triangle")
-    return out.select(*edges.columns, n.alias("n_transverse"), verdict.alias("verdict"), reason.alias("reason"))
+#: Points that a surface needs, and points in the shared box from which the absence of contact is decided.
+LEAST_POINTS, LEAST_OVERLAP = 4, 8
+
+
+def extents(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """edges (a, b) with whether the boxes of both surfaces' valid points meet, and how many points of either lie in the shared box.
+
+    Boxes are one row a surface; points meet only the edges of their own surface whose boxes meet."""
+    points = vertices.where("valid").select("surface_id", *[F.col(k).cast("double").alias(k) for k in "xyz"])
+    boxes = points.groupBy("surface_id").agg(F.count("*").alias("m"), *[f(k).alias(f"{n}_{k}") for n, f in (("lo", F.min), ("hi", F.max)) for k in "xyz"])
+    side = lambda e: boxes.select(F.col("surface_id").alias(e), *[F.col(c).alias(f"{e}_{c}") for c in boxes.columns[1:]])
+    met = edges.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").where((F.col("a_m") >= LEAST_POINTS) & (F.col("b_m") >= LEAST_POINTS))
+    for k in "xyz":
+        met = met.withColumn(f"lo_{k}", F.greatest(f"a_lo_{k}", f"b_lo_{k}")).withColumn(f"hi_{k}", F.least(f"a_hi_{k}", f"b_hi_{k}")).where(F.col(f"hi_{k}") >= F.col(f"lo_{k}"))
+    met = met.select("a", "b", *_BOX)
+    ends = met.withColumn("surface_id", F.explode(F.array("a", "b")))
+    inside = F.lit(True)
+    for k in "xyz":
+        inside = inside & F.col(k).between(F.col(f"lo_{k}"), F.col(f"hi_{k}"))
+    counts = points.join(ends, "surface_id").where(inside).groupBy("a", "b").agg(F.count("*").alias("overlap_points"))
+    found = met.select("a", "b", F.lit(True).alias("meet")).join(counts, ["a", "b"], "left")
+    return edges.join(found, ["a", "b"], "left").withColumn("meet", F.coalesce("meet", F.lit(False))).withColumn("overlap_points", F.coalesce("overlap_points", F.lit(0).cast("long")))
+
+
+def pair_verdicts(edges: DataFrame, vertices: DataFrame, found: DataFrame, quads: DataFrame) -> DataFrame:
+    """Every candidate edge (a, b) in its order with n_d0, n_d1, their sum, points in the shared box, and a verdict: conflict,
+    no_conflict, or not_testable with a reason.
+
+    found: contacts of both diagonals, within surfaces too, which make a reason of a clean pair, not a verdict. A surface that is missing, has no
+    triangle, is the same as the other or nowhere near it cannot be tested; a contact outranks too small an overlap. No edge is lost."""
+    stats = written(by_surface_pair(found), "pair-stats")
+    named = lambda s: stats.select(F.col("surface_a").alias("_sa"), F.col("surface_b").alias("_sb"), *[F.col(c).alias(f"{s}_{c}") for c in ("n", "n_d0", "n_d1")])
+    sizes = quads.groupBy("surface_id").agg((2 * F.count_if("retained")).alias("n"))
+    known = vertices.select("surface_id").distinct().join(sizes, "surface_id", "left").select("surface_id", F.coalesce("n", F.lit(0)).alias("n"))
+    out = extents(edges, vertices)
+    for e in "ab":
+        out = out.join(known.select(F.col("surface_id").alias(e), F.col("n").alias(f"_n_{e}")), e, "left")
+        alone = stats.where("surface_a = surface_b").select(F.col("surface_a").alias(e), F.col("n").alias(f"_self_{e}"))
+        out = out.join(alone, e, "left")
+    out = out.join(named("pair"), (F.least("a", "b") == F.col("_sa")) & (F.greatest("a", "b") == F.col("_sb")), "left")
+    n = F.coalesce("pair_n", F.lit(0))
+    missing = F.col("_n_a").isNull() | F.col("_n_b").isNull()
+    rules = [(missing, "surface not found"), (F.col("a") == F.col("b"), "one surface twice"), ((F.col("_n_a") == 0) | (F.col("_n_b") == 0), "surface has no triangle"), (~F.col("meet"), "extents do not meet")]
+    untestable = F.lit(None).cast("string")
+    for when, why in reversed(rules):
+        untestable = F.when(when, why).otherwise(untestable)
+    sparse = (n == 0) & (F.col("overlap_points") < LEAST_OVERLAP)
+    own = (n == 0) & ((F.coalesce("_self_a", F.lit(0)) > 0) | (F.coalesce("_self_b", F.lit(0)) > 0))
+    out = out.withColumn("_why", untestable)
+    tested = F.col("_why").isNull()
+    verdict = F.when(~tested | sparse, "not_testable").when(n > 0, "conflict").otherwise("no_conflict")
+    reason = F.when(~tested, F.col("_why")).when(sparse, "too few points in the shared extent").when(own, "a surface crosses itself, not the other")
+    counts = [F.when(tested, F.coalesce(f"pair_{c}", F.lit(0))).otherwise(F.lit(0)).alias(f"{c}") for c in ("n_d0", "n_d1")]
+    total = F.when(tested, n).otherwise(F.lit(0)).alias("n_transverse")
+    return out.select(*edges.columns, *counts, total, "overlap_points", verdict.alias("verdict"), reason.alias("reason"))
 
 
 def deepest_sites(found: DataFrame, events: DataFrame) -> DataFrame:

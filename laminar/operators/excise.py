@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -43,56 +41,60 @@ def independent(sets: DataFrame) -> DataFrame:
     return sets.join(tied.select(F.col("node").alias("cid"), "component"), "cid")
 
 
+class Cover:
+    """A covering problem as arrays: which sets each vertex covers, and which quads, with their areas, it takes away."""
+
+    def __init__(self, cover: list[np.ndarray], incident: dict[int, list[tuple[int, float]]]):
+        self.n = len(cover)
+        sizes = [len(c) for c in cover]
+        self.names, self.vertex = np.unique(np.concatenate([*cover, np.zeros(0, np.int64)]).astype(np.int64), return_inverse=True)
+        self.set = np.repeat(np.arange(self.n), sizes)
+        taken = [(i, q, a) for i, x in enumerate(self.names.tolist()) for q, a in incident.get(x, ())]
+        self.by = np.array([t[0] for t in taken], np.int64)
+        quads, self.quad = np.unique(np.array([t[1] for t in taken], np.int64), return_inverse=True)
+        self.area = np.zeros(len(quads))
+        self.area[self.quad] = [t[2] for t in taken]
+
+    def price(self, gone: np.ndarray) -> np.ndarray:
+        """Of each vertex, the area it takes that is not gone yet."""
+        return np.bincount(self.by, self.area[self.quad] * ~gone[self.quad], len(self.names))
+
+    def greedy(self) -> np.ndarray:
+        """The vertex that covers most open sets for the area it newly takes, until none is open; the least vertex on a tie."""
+        open_, gone = np.ones(self.n, bool), np.zeros(len(self.area), bool)
+        chosen = []
+        while open_.any():
+            gain = np.bincount(self.vertex, open_[self.set], len(self.names))
+            price = self.price(gone)
+            worth = np.divide(gain, price, out=np.where(gain > 0, np.inf, 0.0), where=price > 0)
+            best = int(worth.argmax())
+            if not gain[best]:
+                break
+            chosen.append(best)
+            open_[self.set[self.vertex == best]] = False
+            gone[self.quad[self.by == best]] = True
+        return np.array(chosen, np.int64)
+
+    def needed(self, chosen: np.ndarray) -> np.ndarray:
+        """chosen without what is redundant: of the vertices whose sets all have another one, the one that gives back most area
+        goes, the least vertex on a tie, until each is the only one of some set."""
+        kept = np.zeros(len(self.names), bool)
+        kept[chosen] = True
+        while True:
+            times = np.bincount(self.set, kept[self.vertex], self.n)
+            lone = np.bincount(self.vertex, (times[self.set] < 2), len(self.names)) > 0
+            free = kept & ~lone
+            if not free.any():
+                return np.flatnonzero(kept)
+            users = np.bincount(self.quad, kept[self.by], len(self.area))
+            back = np.bincount(self.by, self.area[self.quad] * (users[self.quad] == 1), len(self.names))
+            kept[np.where(free, back, -1.0).argmax()] = False
+
+
 def greedy(cover: list[np.ndarray], incident: dict[int, list[tuple[int, float]]]) -> list[int]:
-    """Vertices by covered sets over newly lost area, then what proves needless taken back, dearest first."""
-    holds: dict[int, list[int]] = {}
-    for k, vertices in enumerate(cover):
-        for x in vertices:
-            holds.setdefault(int(x), []).append(k)
-    open_, lost, chosen = set(range(len(cover))), set(), []
-
-    def score(x: int) -> float:
-        area = sum(a for q, a in incident.get(x, ()) if q not in lost)
-        n = sum(k in open_ for k in holds[x])
-        return (n / area if area > 0 else float("inf")) if n else 0.0
-
-    heap = [(-score(x), x) for x in holds]
-    heapq.heapify(heap)
-    while open_:
-        old, x = heapq.heappop(heap)
-        now = score(x)
-        if now <= 0:
-            continue
-        if now < -old - 1e-12:
-            heapq.heappush(heap, (-now, x))
-            continue
-        chosen.append(x)
-        open_.difference_update(holds[x])
-        lost.update(q for q, _ in incident.get(x, ()))
-    return reverse_delete(chosen, holds, incident, len(cover))
-
-
-def reverse_delete(chosen: list[int], holds: dict, incident: dict, n: int, passes: int = 4) -> list[int]:
-    """Drops vertices whose sets are all covered twice, by falling marginal area, until a pass drops none."""
-    times = np.zeros(n, int)
-    kept = set(chosen)
-    for x in chosen:
-        times[holds[x]] += 1
-    for _ in range(passes):
-        use: dict[int, int] = {}
-        for x in kept:
-            for q, _a in incident.get(x, ()):
-                use[q] = use.get(q, 0) + 1
-        own = {x: sum(a for q, a in incident.get(x, ()) if use[q] == 1) for x in kept}
-        dropped = False
-        for x in sorted(kept, key=lambda x: (-own[x], x)):
-            if (times[holds[x]] >= 2).all():
-                kept.discard(x)
-                times[holds[x]] -= 1
-                dropped = True
-        if not dropped:
-            break
-    return sorted(kept)
+    """Vertices that cover every set at a low area, none of them redundant."""
+    whole = Cover(cover, incident)
+    return whole.names[whole.needed(whole.greedy())].tolist()
 
 
 def exact(cover: list[np.ndarray], incident: dict, bound: float, most: int = 20_000) -> tuple[list[int] | None, bool]:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from laminar.functions.geometry import distance
-from laminar.operators import events, excise, gaps, graph, mesh, regions
+from laminar.operators import census, events, excise, gaps, graph, mesh, regions
 from laminar.plans.mesh_queries import _contacts, _found, _quads, _sheet
 from laminar.queries import query
+from laminar.scratch import written
 
 _C, _R = regions.COLUMNS, regions.ROWS
 
@@ -22,13 +23,20 @@ def _components(nodes: str, edges: str) -> str:
       SELECT e.b, min(t.comp) FROM t JOIN e ON e.a = t.node JOIN recurring.t x ON x.node = e.b WHERE t.comp < x.comp GROUP BY e.b) SELECT node, comp FROM t"""
 
 
-_K = f"SELECT *, {_code('s1', 'v1', 'u1')} AS c1, {_code('s2', 'v2', 'u2')} AS c2 FROM ({_contacts(0)})"
+_HITS = f"SELECT * FROM ({_contacts(0, True, False)}) WHERE verdict = 'transverse'"
+_K = f"SELECT *, {_code('s1', 'v1', 'u1')} AS c1, {_code('s2', 'v2', 'u2')} AS c2 FROM ({_HITS})"
 _CELLS = f"SELECT DISTINCT unnest([c1, c2]) AS node FROM ({_K})"
 _STEPS = [s * k for s in (1, -1) for k in (1, _C, _C - 1, _C + 1)]
 _NEAR = f"SELECT n.node AS a, m.node AS b FROM (SELECT node, unnest([{', '.join(f'node + {s}' for s in _STEPS)}]) AS b FROM ({_CELLS})) n JOIN ({_CELLS}) m ON m.node = n.b"
 _LABELS = _components(_CELLS, _NEAR)
 
 
+def _hits(spark, sf_dir, diagonal: int = 0):
+    """Transverse contacts of each label's sheet with itself: what regions and events are made of."""
+    found = census.contacts(mesh.triangles(mesh.quads(_sheet(spark, sf_dir, True)), diagonal), across=False)
+    return found.where("verdict = 'transverse'")
+
+
 def _cell(c, names):
     s, v, u = names
     return f"{c} // ({_R}::BIGINT * {_C}) AS {s}, (({c} // {_C}) % {_R})::INT AS {v}, ({c} % {_C})::INT AS {u}"
@@ -36,7 +44,7 @@ def _cell(c, names):
 
 @query("regions_components", f"SELECT {_cell('node', ('surface_id', 'v', 'u'))}, ((comp // {_C}) % {_R})::INT AS region_v, (comp % {_C})::INT AS region_u FROM ({_LABELS})")
 def regions_components(spark, sf_dir):
-    return regions.regions(_found(spark, sf_dir))
+    return regions.regions(_hits(spark, sf_dir))
 
 
 _EVENTS = f"WITH k AS ({_K}), l AS ({_LABELS}) SELECT k.*, least(a.comp, b.comp) AS region_a, greatest(a.comp, b.comp) AS region_b, greatest(abs(v1 - v2), abs(u1 - u2)) AS sep FROM k JOIN l a ON a.node = c1 JOIN l b ON b.node = c2"
@@ -44,20 +52,23 @@ _EVENTS = f"WITH k AS ({_K}), l AS ({_LABELS}) SELECT k.*, least(a.comp, b.comp)
 
 @query("crossing_events", f"SELECT region_a, region_b, count(*) AS n_contacts, round(max(penetration)::DOUBLE, 3) AS deepest, max(sep) AS separation FROM ({_EVENTS}) GROUP BY ALL")
 def crossing_events(spark, sf_dir):
-    return regions.events(_found(spark, sf_dir)).withColumn("deepest", F.round("deepest", 3))
+    return regions.events(_hits(spark, sf_dir)).withColumn("deepest", F.round("deepest", 3))
+
+
+_ORDER = "penetration DESC, v1, u1, t1, v2, u2, t2, s1, s2"
 
 
-@query("crossing_sites")
+@query("crossing_sites", f"SELECT region_a, region_b, v1, u1, v2, u2, (v1 + v2) / 2 AS at_v, (u1 + u2) / 2 AS at_u FROM (SELECT *, row_number() OVER (PARTITION BY region_a, region_b ORDER BY {_ORDER}) AS r FROM ({_EVENTS})) WHERE r = 1")
 def crossing_sites(spark, sf_dir):
-    return regions.sites(_found(spark, sf_dir))
+    return regions.sites(_hits(spark, sf_dir))
 
 
 _over = ", ".join(f"count(*) FILTER (WHERE sep > {t}) AS n_over_{t}" for t in regions.SEPARATIONS)
 
 
-@query("event_summary", f"SELECT count(*) AS n_pairs, max(sep) AS sep_max, median(sep)::DOUBLE AS sep_median, {_over}, round(median(d), 3) AS depth_median, min(d) AS depth_min FROM (SELECT greatest(abs(v1 - v2), abs(u1 - u2)) AS sep, round(penetration::DOUBLE, 4) AS d FROM ({_contacts(0)}))")
+@query("event_summary", f"SELECT count(*) AS n_pairs, max(sep) AS sep_max, median(sep)::DOUBLE AS sep_median, {_over}, round(median(d), 3) AS depth_median, min(d) AS depth_min FROM (SELECT greatest(abs(v1 - v2), abs(u1 - u2)) AS sep, round(penetration::DOUBLE, 4) AS d FROM ({_HITS}))")
 def event_summary(spark, sf_dir):
-    return regions.summary(_found(spark, sf_dir))
+    return regions.summary(_hits(spark, sf_dir))
 
 
 def _edges(diagonal: int) -> str:
@@ -112,16 +123,18 @@ def excise_cover(spark, sf_dir):
 
 @query("excise_certificate")
 def excise_certificate(spark, sf_dir):
-    """Area accounting of a surface without every vertex that a contact's first quad starts at."""
-    whole = _sheet(spark, sf_dir)
-    removed = _found(spark, sf_dir).where("verdict = 'transverse'").select(regions.code(F.col("s1"), F.col("v1"), F.col("u1")).alias("vertex"))
-    found = excise.certificate(whole, excise.without(whole, removed))
-    return found.select("surface_id", "quads_before", "quads_after", *[F.round(c, 4).alias(c) for c in ("area_before", "area_after", "retained_fraction")], "within_budget", "clean_by_emptiness")
+    """Each label's sheet cut free of its own crossings: census, cover, removal and recensus until clean, then areas before and after."""
+    whole = _sheet(spark, sf_dir, True)
+    now, removed, state = excise.excise(whole, across=False)
+    lost = removed.distinct().select(regions.decoded(F.col("vertex"))[0].alias("surface_id")).groupBy("surface_id").agg(F.count("*").alias("n_removed"))
+    found = excise.certificate(whole, now).join(lost, "surface_id", "left")
+    return found.select("surface_id", F.lit(state).alias("state"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"), "quads_before", "quads_after", *[F.round(c, 4).alias(c) for c in ("area_before", "area_after", "retained_fraction")], "within_budget", "clean_by_emptiness")
 
 
 def _rows(spark, sf_dir, diagonal: int):
-    found = _found(spark, sf_dir, diagonal).where("verdict = 'transverse'").select("s1", "v1", "u1", "v2", "u2").distinct()
-    return found.select(F.col("s1").alias("surface_id"), regions.code(F.col("v1"), F.col("v2") * 64 + F.col("u1"), F.col("u2")).alias("row"), "v1", "u1", "v2", "u2")
+    found = _hits(spark, sf_dir, diagonal).select("s1", "v1", "u1", "v2", "u2").distinct()
+    found = found.select(F.col("s1").alias("surface_id"), F.xxhash64("s1", "v1", "u1", "v2", "u2").alias("row"), "v1", "u1", "v2", "u2")
+    return written(found, "contact-rows")
 
 
 @query("oriented_events")
@@ -134,7 +147,7 @@ def events_matched(spark, sf_dir):
     cells = []
     for d in (0, 1):
         rows = _rows(spark, sf_dir, d)
-        cells.append(events.sides(rows, events.oriented(rows)))
+        cells.append(written(events.sides(rows, events.oriented(rows)), "event-sides"))
     return events.matched(*cells)
 
 

@@ -33,23 +33,26 @@ def _triangles(diagonal: int, by_label: bool = False) -> str:
 
 
 def _contacts(diagonal: int, by_label: bool = False, across: bool | None = None) -> str:
-    low = ", ".join(f"min(lo_{k}) AS base_{k}" for k in "xyz")
-    grid = ", ".join(f"floor((lo_{k} - base_{k}) / {census.CELL})::INT AS g_{k}, floor((hi_{k} - base_{k}) / {census.CELL})::INT AS e_{k}" for k in "xyz")
-    spread = f"SELECT *, unnest(range(g_x, e_x + 1)) AS c_x FROM (SELECT tr.*, {grid} FROM tr, (SELECT {low} FROM tr))"
+    grid = ", ".join(f"floor(lo_{k} / {census.CELL})::INT AS g_{k}, floor(hi_{k} / {census.CELL})::INT AS e_{k}" for k in "xyz")
+    spread = f"SELECT *, unnest(range(g_x, e_x + 1)) AS c_x FROM (SELECT tr.*, {grid} FROM tr)"
     for k in "yz":
         spread = f"SELECT *, unnest(range(g_{k}, e_{k} + 1)) AS c_{k} FROM ({spread})"
     columns = ["surface_id", "v", "u", "t", *census._CORNERS, *census._BOX, "nx", "ny", "nz", "nl"]
     named = ", ".join(f"{t}.{c} AS {t}_{c}" for t in "pq" for c in columns)
     owner = " AND ".join(f"p.c_{k} = greatest(p.g_{k}, q.g_{k})" for k in "xyz")
+    boxes = " AND ".join(f"p.lo_{k} <= q.hi_{k} AND q.lo_{k} <= p.hi_{k}" for k in "xyz")
     order = " OR ".join(
         "(" + " AND ".join([*(f"p.{c} = q.{c}" for c in ("surface_id", "v", "u", "t")[:i]), f"p.{k} < q.{k}"]) + ")" for i, k in enumerate(("surface_id", "v", "u", "t"))
     )
     near = f"p.surface_id = q.surface_id AND abs(p.v - q.v) <= {G.EXCLUDE} AND abs(p.u - q.u) <= {G.EXCLUDE}"
     side = {None: "", True: " AND p.surface_id <> q.surface_id", False: " AND p.surface_id = q.surface_id"}[across]
-    met = f"SELECT {named} FROM c p JOIN c q ON p.c_x = q.c_x AND p.c_y = q.c_y AND p.c_z = q.c_z WHERE {owner} AND NOT ({near}) AND ({order}){side}"
-    judged = G.staged_sql(met, G.CONTACT)
+    met = f"SELECT {named} FROM c p JOIN c q ON p.c_x = q.c_x AND p.c_y = q.c_y AND p.c_z = q.c_z WHERE {boxes} AND {owner} AND NOT ({near}) AND ({order}){side}"
+    ctes, last = [f"tr AS MATERIALIZED ({_triangles(diagonal, by_label)})", f"c AS MATERIALIZED ({spread})", f"m0 AS MATERIALIZED ({met})"], "m0"
+    for i, stage in enumerate(G.CONTACT):
+        ctes.append(f"m{i + 1} AS MATERIALIZED (SELECT *, {', '.join(f'{sql} AS {name}' for name, sql in stage)} FROM {last})")
+        last = f"m{i + 1}"
     ends = ", ".join(f"{t}_{c} AS {n}{i}" for i, t in ((1, "p"), (2, "q")) for n, c in (("s", "surface_id"), ("v", "v"), ("u", "u"), ("t", "t")))
-    return f"SELECT {ends}, verdict, penetration::FLOAT AS penetration, angle_deg::FLOAT AS angle_deg FROM (WITH tr AS ({_triangles(diagonal, by_label)}), c AS ({spread}) {judged}) WHERE verdict <> 'none'"
+    return f"SELECT {ends}, verdict, penetration::FLOAT AS penetration, angle_deg::FLOAT AS angle_deg FROM (WITH {', '.join(ctes)} SELECT * FROM {last}) WHERE verdict <> 'none'"
 
 
 # ------------------------------------------------------------------ rows
@@ -148,20 +151,32 @@ def pair_contacts_by_surface(spark, sf_dir):
     return found.select("surface_a", "surface_b", "n", *[F.round(c, 3).alias(c) for c in ("angle_median", "angle_p10", "angle_p90")], F.round("shallow_share", 6).alias("shallow_share"), F.round("deepest", 3).alias("deepest"))
 
 
-_EDGES = "SELECT a::BIGINT AS a, b::BIGINT AS b FROM range(0, 12) t(a), range(0, 12) s(b) WHERE a < b"
-_SIZES = f"SELECT surface_id, count(*) AS n FROM ({_triangles(0, True)}) GROUP BY surface_id"
-_VERDICT = f"""SELECT e.a, e.b, coalesce(p.n, 0) AS n_transverse, CASE WHEN x.n IS NULL OR y.n IS NULL THEN 'not_testable' WHEN coalesce(p.n, 0) > 0 THEN 'conflict' ELSE 'no_conflict' END AS verdict,
-CASE WHEN x.n IS NULL OR y.n IS NULL THEN 'surface not found' END AS reason FROM ({_EDGES}) e LEFT JOIN ({_SIZES}) x ON x.surface_id = e.a LEFT JOIN ({_SIZES}) y ON y.surface_id = e.b
-LEFT JOIN (SELECT s1, s2, count(*) AS n FROM ({_contacts(0, True, True)}) WHERE verdict = 'transverse' GROUP BY ALL) p ON p.s1 = e.a AND p.s2 = e.b"""
+_EDGES = "SELECT a::BIGINT AS a, b::BIGINT AS b FROM range(0, 12) t(a), range(0, 12) s(b) WHERE a <= b"
+_POINTS = f"SELECT surface_id, {_D} FROM ({folded_sql(True)}) WHERE {VALID}"
+_LO, _HI = (" AND ".join(f"{k} {o} {f}(x.{e}_{k}, y.{e}_{k})" for k in "xyz") for o, f, e in ((">=", "greatest", "lo"), ("<=", "least", "hi")))
+_PAIRED = " UNION ALL ".join(f"SELECT s1, s2, {d} AS d FROM ({_contacts(d, True)}) WHERE verdict = 'transverse'" for d in (0, 1))
+_VERDICT = f"""WITH e AS ({_EDGES}), p AS MATERIALIZED ({_POINTS}), k AS MATERIALIZED ({_PAIRED}),
+x AS MATERIALIZED (SELECT surface_id, count(*) AS m, {', '.join(f'{f}({k}) AS {n}_{k}' for f, n in (('min', 'lo'), ('max', 'hi')) for k in 'xyz')} FROM p GROUP BY surface_id),
+t AS (SELECT surface_id, count(*) AS n FROM ({_triangles(0, True)}) GROUP BY surface_id),
+c AS (SELECT s1, s2, count(*) AS n, count(*) FILTER (WHERE d = 0) AS n_d0, count(*) FILTER (WHERE d = 1) AS n_d1 FROM k GROUP BY ALL),
+o AS (SELECT e.a, e.b, count(*) AS n FROM e JOIN x ON x.surface_id = e.a JOIN x y ON y.surface_id = e.b JOIN p ON p.surface_id IN (e.a, e.b) WHERE {_LO} AND {_HI} GROUP BY ALL),
+j AS (SELECT e.a, e.b, x.m AS ma, y.m AS mb, coalesce(ta.n, 0) AS na, coalesce(tb.n, 0) AS nb, coalesce(c.n, 0) AS n, coalesce(c.n_d0, 0) AS n_d0, coalesce(c.n_d1, 0) AS n_d1, coalesce(sa.n, 0) + coalesce(sb.n, 0) AS own,
+  CASE WHEN e.a = e.b THEN x.m * 2 ELSE coalesce(o.n, 0) END AS overlap, x.m >= 4 AND y.m >= 4 AND {' AND '.join(f'least(x.hi_{k}, y.hi_{k}) >= greatest(x.lo_{k}, y.lo_{k})' for k in 'xyz')} AS meet
+  FROM e LEFT JOIN x ON x.surface_id = e.a LEFT JOIN x y ON y.surface_id = e.b LEFT JOIN t ta ON ta.surface_id = e.a LEFT JOIN t tb ON tb.surface_id = e.b LEFT JOIN c ON c.s1 = e.a AND c.s2 = e.b
+  LEFT JOIN c sa ON sa.s1 = e.a AND sa.s2 = e.a LEFT JOIN c sb ON sb.s1 = e.b AND sb.s2 = e.b LEFT JOIN o ON o.a = e.a AND o.b = e.b),
+w AS (SELECT *, CASE WHEN ma IS NULL OR mb IS NULL THEN 'surface not found' WHEN a = b THEN 'one surface twice' WHEN na = 0 OR nb = 0 THEN 'surface has no triangle' WHEN NOT meet THEN 'extents do not meet' END AS why FROM j)
+SELECT a, b, CASE WHEN why IS NULL THEN n_d0 ELSE 0 END AS n_d0, CASE WHEN why IS NULL THEN n_d1 ELSE 0 END AS n_d1, CASE WHEN why IS NULL THEN n ELSE 0 END AS n_transverse, coalesce(overlap, 0) AS overlap_points,
+CASE WHEN why IS NOT NULL OR (n = 0 AND overlap < 8) THEN 'not_testable' WHEN n > 0 THEN 'conflict' ELSE 'no_conflict' END AS verdict,
+CASE WHEN why IS NOT NULL THEN why WHEN n = 0 AND overlap < 8 THEN 'too few points in the shared extent' WHEN n = 0 AND own > 0 THEN 'a surface crosses itself, not the other' END AS reason FROM w"""
 
 
 @query("pair_verdicts", _VERDICT)
 def pair_verdicts(spark, sf_dir):
     ids = spark.range(12)
-    edges = ids.select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long"))).alias("b")).where("a < b")
-    found = mesh.triangles(mesh.quads(_sheet(spark, sf_dir, True)))
-    sizes = found.groupBy("surface_id").agg(F.count("*").alias("n_triangles"))
-    return census.pair_verdicts(edges, sizes, census.contacts(found, across=True))
+    edges = ids.select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long"))).alias("b")).where("a <= b")
+    sheet = _sheet(spark, sf_dir, True)
+    quads = mesh.quads(sheet)
+    return census.pair_verdicts(edges, sheet, census.of_both_diagonals(quads), quads)
 
 
 _square = " + ".join(f"power((n.{k} + s.{k} + w.{k} + o.{k}) / 4 - a.{k}, 2)" for k in "xyz")

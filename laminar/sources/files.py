@@ -55,27 +55,28 @@ def encode_tiff(plane: np.ndarray) -> bytes:
 def read_surfaces(spark: SparkSession, path: str) -> DataFrame:
     """Vertices of all mesh folders below a path, each with x.tif, y.tif, z.tif and, if there is one, mask.tif.
 
-    A folder's planes meet in one group; a missing or odd-shaped plane is an error. A mask counts where its shape fits;
+    A folder is known by its whole path (folder), and called by its last part (surface). Its planes meet in one group; a missing or odd-shaped plane is an error. A mask counts where its shape fits;
     other mask kinds are not applied. Validity follows the marks and the mask (see mesh.with_validity)."""
     from pyspark.sql.types import BooleanType, FloatType, IntegerType, StringType, StructField, StructType
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tif").option("recursiveFileLookup", "true").load(path)
-    named = files.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("surface"), F.regexp_extract("path", r"([^/]+)\.tif$", 1).alias("plane"), "content").where(F.col("plane").isin("x", "y", "z", "mask"))
+    named = files.select(F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("folder"), F.regexp_extract("path", r"([^/]+)\.tif$", 1).alias("plane"), "content").where(F.col("plane").isin("x", "y", "z", "mask"))
 
     def cells(table: pa.Table) -> pa.Table:
+        folder = table["folder"][0].as_py()
         planes = {p: decode_tiff(c) for p, c in zip(table["plane"].to_pylist(), table["content"].to_pylist())}
         if missing := {"x", "y", "z"} - set(planes):
-            raise ValueError(f"{table['surface'][0]}: no {sorted(missing)} plane")
+            raise ValueError(f"{folder}: no {sorted(missing)} plane")
         shape = planes["x"].shape
         if any(planes[k].shape != shape for k in "yz"):
-            raise ValueError(f"{table['surface'][0]}: planes differ in shape")
+            raise ValueError(f"{folder}: planes differ in shape")
         mask = planes.get("mask")
         ok = np.ones(shape, bool) if mask is None or mask.shape != shape else mask != 0
         v, u = np.indices(shape).reshape(2, -1)
-        return pa.table({"surface": pa.array([table["surface"][0].as_py()] * v.size), "v": v.astype(np.int32), "u": u.astype(np.int32), **{k: planes[k].astype(np.float32).ravel() for k in "xyz"}, "valid": ok.ravel()})
+        return pa.table({"surface": pa.array([folder.rsplit("/", 1)[-1]] * v.size), "folder": pa.array([folder] * v.size), "v": v.astype(np.int32), "u": u.astype(np.int32), **{k: planes[k].astype(np.float32).ravel() for k in "xyz"}, "valid": ok.ravel()})
 
-    schema = StructType([StructField("surface", StringType()), StructField("v", IntegerType()), StructField("u", IntegerType()), *[StructField(k, FloatType()) for k in "xyz"], StructField("valid", BooleanType())])
-    return named.groupBy("surface").applyInArrow(cells, schema)
+    schema = StructType([StructField("surface", StringType()), StructField("folder", StringType()), StructField("v", IntegerType()), StructField("u", IntegerType()), *[StructField(k, FloatType()) for k in "xyz"], StructField("valid", BooleanType())])
+    return named.groupBy("folder").applyInArrow(cells, schema)
 
 
 def read_obj(spark: SparkSession, path: str, u_scale: float | None = None) -> tuple[DataFrame, DataFrame]:

@@ -33,5 +33,6 @@ def test_check_pairs(spark, tmp_path, capsys):
     args = ["check-pairs", "--root", str(tmp_path / "m"), "--edges", str(tmp_path / "e.csv")]
     assert cli.main(args) == 0
     said = json.loads(capsys.readouterr().out)["edges"]
-    assert [e["verdict"] for e in said] == ["conflict", "no_conflict", "not_testable"]
+    assert [e["verdict"] for e in said] == ["conflict", "not_testable", "not_testable"]
+    assert [e["reason"] for e in said] == [None, "extents do not meet", "surface not found"]
     assert cli.main([*args, "--fail-on-conflict"]) == 1

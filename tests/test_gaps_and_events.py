@@ -104,11 +104,21 @@ def test_contradiction_is_ambiguous(spark):
 
 
 def test_matching(spark):
-    cell = lambda e, *cells: [(e, s, v, u) for s, v, u in cells]
+    cell = lambda e, *cells: [(7, e, s, v, u) for s, v, u in cells]
     d0 = cell(0, ("a", 0, 0), ("b", 10, 0)) + cell(1, ("a", 50, 0), ("b", 60, 0)) + cell(2, ("a", 90, 0), ("b", 99, 0))
     d1 = cell(0, ("b", 0, 1), ("a", 10, 1)) + cell(1, ("a", 50, 0), ("b", 60, 0)) + cell(2, ("a", 51, 0), ("b", 61, 0))
-    schema = "event long, side string, v int, u int"
+    schema = "surface_id long, event long, side string, v int, u int"
     out = {(r.diagonal, r.event): r for r in events.matched(spark.createDataFrame(d0, schema), spark.createDataFrame(d1, schema)).collect()}
     assert out[0, 0].state == out[1, 0].state == "matched" and out[0, 0].swapped and out[0, 0].partner == 0
     assert {out[0, 1].state, out[1, 1].state, out[1, 2].state} == {"ambiguous"} and out[0, 1].group_id == out[1, 2].group_id
     assert out[0, 2].state == "unmatched" and len(out) == 6
+
+
+def test_matching_keeps_to_a_surface_and_counts_touching_pairs(spark):
+    schema = "surface_id long, event long, side string, v int, u int"
+    line = lambda s, e, v, n: [(s, e, "a", v, k) for k in range(n)] + [(s, e, "b", v + 20, k) for k in range(n)]
+    d0 = line(1, 1, 0, 3) + line(2, 1, 0, 1)
+    d1 = line(1, 5, 1, 3) + line(3, 1, 0, 1)
+    out = {(r.surface_id, r.diagonal, r.event): r for r in events.matched(spark.createDataFrame(d0, schema), spark.createDataFrame(d1, schema)).collect()}
+    assert out[1, 0, 1].state == "matched" and out[1, 0, 1].partner == 5 and out[1, 0, 1].score == 14  # three facing cells touch in 7 pairs a side
+    assert out[2, 0, 1].state == out[3, 1, 1].state == "unmatched" and len(out) == 4

@@ -124,6 +124,46 @@ def test_greedy_and_exact_covers():
     assert proven and sorted(best) in ([2, 3], [1, 3], [2, 4], [2, 3]) and 3 in best or 2 in best
 
 
+def test_covers_hold_nothing_redundant():
+    """Random systems against all subsets: every set covered, no vertex to spare, and a single quad's price paid once."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        cover = [rng.choice(9, rng.integers(1, 4), replace=False) for _ in range(rng.integers(1, 8))]
+        incident = {x: [(int(q), float(q % 5 + 1)) for q in rng.choice(12, 2, replace=False)] for x in range(9)}
+        got = excise.greedy(cover, incident)
+        covers = lambda some: all(set(c.tolist()) & set(some) for c in cover)  # noqa: E731,B023
+        assert covers(got) and not any(covers(set(got) - {x}) for x in got)
+        area = lambda some: sum({q: a for x in some for q, a in incident[x]}.values())  # noqa: E731,B023
+        best = min(area(s) for k in range(1, 10) for s in combinations(range(9), k) if covers(s))
+        assert area(got) >= best
+        found, proven = excise.exact(cover, incident, float("inf"))
+        assert proven and abs(area(found) - best) < 1e-9
+
+
+def test_pair_verdicts_of_either_diagonal_and_what_cannot_be_tested(spark):
+    flat = lambda s, z, n=6, dx=0.0: [(s, v, u, u * 10.0 + dx, v * 10.0, z, True) for v in range(n) for u in range(n)]
+    steep = [(2, v, u, 23.0 + 0.1 * v, v * 10.0 + 0.3, u * 10.0 - 24.0, True) for v in range(6) for u in range(6)]
+    checker = [(4, v, u, u * 10.0, v * 10.0, 1.0, (u + v) % 2 == 0) for v in range(6) for u in range(6)]
+    few = [(5, 0, u, u * 10.0, 0.0, 0.0, True) for u in range(3)]
+    rows = flat(1, 0.0) + steep + flat(3, 500.0) + checker + few + flat(6, 0.5, dx=3.3) + flat(7, 0.2, dx=49.0)
+    vertices = mesh.with_validity(spark.createDataFrame(rows, mesh.VERTEX))
+    quads = mesh.quads(vertices)
+    edges = spark.createDataFrame([(1, 2), (1, 3), (1, 4), (1, 5), (1, 1), (1, 9), (1, 6), (1, 7)], "a long, b long")
+    out = {(r.a, r.b): r for r in census.pair_verdicts(edges, vertices, census.of_both_diagonals(quads), quads).collect()}
+    assert len(out) == 8 and out[1, 2].verdict == "conflict" and out[1, 2].n_d0 + out[1, 2].n_d1 == out[1, 2].n_transverse > 0
+    reasons = {(1, 3): "extents do not meet", (1, 4): "surface has no triangle", (1, 5): "surface has no triangle", (1, 1): "one surface twice", (1, 9): "surface not found"}
+    assert all(out[k].verdict == "not_testable" and out[k].reason == why for k, why in reasons.items())
+    assert out[1, 6].verdict == "not_testable" and out[1, 7].reason in ("extents do not meet", "too few points in the shared extent")
+    bent = [(8, v, u, u * 10.0, v * 10.0, 5.0 if (v, u) == (0, 0) else 0.0, True) for v in range(2) for u in range(2)]
+    needle = [(9, v, u, 3.0 + 0.2 * u, 3.0 + 0.2 * u, 0.5 + 2.0 * v, True) for v in range(2) for u in range(2)]
+    both = mesh.with_validity(spark.createDataFrame(bent + needle, mesh.VERTEX))
+    q = mesh.quads(both)
+    one = census.pair_verdicts(spark.createDataFrame([(8, 9)], "a long, b long"), both, census.of_both_diagonals(q), q).first()
+    assert (one.verdict == "conflict") == (one.n_d0 + one.n_d1 > 0) and one.n_transverse == one.n_d0 + one.n_d1
+
+
 def test_dominated_sets_go(spark):
     sets = spark.createDataFrame([([1, 2], 1), ([1, 2, 3], 2), ([1, 2], 3), ([4, 5], 4)], "coverage array<long>, cid long")
     out = {tuple(r.coverage): r.n for r in excise.reduced(sets).collect()}
