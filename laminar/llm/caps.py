@@ -1,9 +1,12 @@
 """Embedding near-dedup by spherical-cap filters from structured random product codes.
 
 A filter is a direction: one random codeword on each half of the dimensions. A vector passes a filter when its product with
-the direction exceeds a threshold; of the CODEWORDS**2 filters it finds all it passes by list decoding, from the two
-halves' products alone. Vectors are joined on filters and verified by cosine in double precision. The number of filters
-makes two vectors at the threshold share one nearly always; tests measure the recall against brute force.
+the direction exceeds a threshold; of all pairs of codewords it finds those it passes by list decoding, from the two
+halves' products alone. Vectors are joined on filters and verified by cosine in double precision.
+
+The filters grow with the table: codewords as the root of the number of vectors, so that a filter holds as many vectors at
+every size, and the threshold so that two vectors of the least cosine share a filter about as often at every size. A vector
+then passes some filters more (39, 52 and 85 at 10,000, 50,000 and a million vectors of 64 numbers), not a multiple of them. Tests measure the recall against brute force.
 
 Equal vectors are one point with a weight. A vector that is null, empty or zero, or that holds null or non-finite numbers,
 links with nothing; so do vectors of different lengths. Repeated rows are vectors of their own; rows without a vec_id
@@ -13,6 +16,7 @@ share one node that comes last. Other columns, clashing names included, play no
 from __future__ import annotations
 
 from functools import lru_cache
+from math import ceil, exp, log, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +26,9 @@ from pyspark.sql import functions as F
 from laminar.llm.common import NO_ID, written
 from laminar.operators.components import components
 
-#: Least cosine of a link; codewords of each half; threshold in standard deviations of a random direction's product.
-LEAST, CODEWORDS, DEVIATIONS = 0.9, 1024, 3.8
+#: Least cosine of a link; codewords of each half for a table of VECTORS; filters in the cap around the middle of two vectors
+#: of the least cosine, and the power of the books' growth at which they become more.
+LEAST, CODEWORDS, VECTORS, SHARED, GROWTH = 0.9, 1024, 10_000, 21.0, 0.3
 #: A vector that passes fewer filters than this lowers its own threshold by EASE until it has them; its near neighbours lie
 #: as unluckily and do the same.
 FEWEST, EASE = 8, 0.3
@@ -32,6 +37,16 @@ BLOCK = 256
 SEED = 20_240_229
 
 
+def words_of(width: int, codewords: int) -> int:
+    """Codewords of a book over `width` dimensions: few of them need few."""
+    return min(codewords, 2 * 4 ** (min(width, 12) - 1)) if width else 1
+
+
+def size_of_books(rows: int) -> int:
+    """Codewords of each half for a table of so many vectors."""
+    return max(16, ceil(CODEWORDS * sqrt(rows / VECTORS)))
+
+
 @lru_cache(8)
 def codebooks(dim: int, codewords: int) -> tuple[np.ndarray, np.ndarray]:
     """Two books of random codewords; a pair of them is a direction of length 1. Few dimensions need few codewords: one of
@@ -40,7 +55,7 @@ def codebooks(dim: int, codewords: int) -> tuple[np.ndarray, np.ndarray]:
     halves = [(dim + 1) // 2, dim // 2]
     books = []
     for width in halves:
-        book = rng.standard_normal((min(codewords, 2 * 4 ** (min(width, 12) - 1)) if width else 1, max(width, 1)))
+        book = rng.standard_normal((words_of(width, codewords), max(width, 1)))
         if width == 1:
             book[:, 0] = 1, -1
         book *= np.sqrt(width / dim) / np.linalg.norm(book, axis=1, keepdims=True)
@@ -48,12 +63,13 @@ def codebooks(dim: int, codewords: int) -> tuple[np.ndarray, np.ndarray]:
     return books[0], books[1]
 
 
-def decode(x: np.ndarray, codewords: int, deviations: float) -> tuple[np.ndarray, np.ndarray]:
+def decode(x: np.ndarray, codewords: int, product: float) -> tuple[np.ndarray, np.ndarray]:
     """(row, filter) of every filter that each row of x, of length 1, passes, by row; see FEWEST for rows that pass few."""
-    row, code = _passed(x, codewords, deviations)
+    row, code = _passed(x, codewords, product)
     few = np.flatnonzero(np.bincount(row, minlength=len(x)) < FEWEST)
-    while len(few) and (deviations := deviations - EASE) > 0:
-        more, found = _passed(x[few], codewords, deviations)
+    ease = EASE / np.sqrt(x.shape[1])
+    while len(few) and (product := product - ease) > 0:
+        more, found = _passed(x[few], codewords, product)
         kept = ~np.isin(row, few)
         row, code = np.r_[row[kept], few[more]], np.r_[code[kept], found]
         few = few[np.bincount(more, minlength=len(few)) < FEWEST]
@@ -61,19 +77,38 @@ def decode(x: np.ndarray, codewords: int, deviations: float) -> tuple[np.ndarray
     return row[order], code[order]
 
 
-def _passed(x: np.ndarray, codewords: int, deviations: float) -> tuple[np.ndarray, np.ndarray]:
+def _passed(x: np.ndarray, codewords: int, least: float) -> tuple[np.ndarray, np.ndarray]:
     first, second = codebooks(x.shape[1], codewords)
-    least = deviations / np.sqrt(x.shape[1])
     a, b = x[:, : first.shape[1]] @ first.T, x[:, first.shape[1] :] @ second.T
     row, i = np.nonzero(a >= (least - b.max(1))[:, None])
-    rows, filters = [], []
-    for k in range(0, len(row), 4096):
-        r, c = row[k : k + 4096], i[k : k + 4096]
-        hit, j = np.nonzero(b[r] >= (least - a[r, c])[:, None])
-        rows.append(r[hit])
-        filters.append(c[hit] * codewords + j)
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *rows]), np.concatenate([none, *filters])
+    order = np.argsort(-b, axis=1)
+    ranked = np.take_along_axis(b, order, 1)
+    # A row's second halves in falling order: as many pass with a first half as exceed what that one leaves open.
+    need = least - a[row, i]
+    count = np.zeros(len(row), np.int64)
+    for at in np.flatnonzero(np.bincount(row, minlength=len(x))):
+        mine = slice(*np.searchsorted(row, [at, at + 1]))
+        count[mine] = np.searchsorted(-ranked[at], -need[mine], "right")
+    whole = np.repeat(np.arange(len(row)), count)
+    nth = np.arange(len(whole)) - np.repeat(np.cumsum(count) - count, count)
+    return row[whole], i[whole] * codewords + order[row[whole], nth]
+
+
+@lru_cache(64)
+def threshold(dim: int, codewords: int, least: float) -> float:
+    """The product from which a filter is passed: such that a cap around the middle of two vectors at `least` holds SHARED filters,
+    and more of them the larger the books, since both vectors pass a filter of the cap the less often the smaller it is.
+
+    The share of directions within a product c of a fixed one is about (1 - c^2)^((dim - 1) / 2) / (c sqrt(2 pi dim)); the middle's
+    product is that of the two over sqrt((1 + least) / 2)."""
+    filters = words_of((dim + 1) // 2, codewords) * words_of(dim // 2, codewords)
+    wanted = SHARED * max(1.0, codewords / CODEWORDS) ** GROWTH
+    low, high = 1e-3, 1 - 1e-9
+    for _ in range(60):
+        c = (low + high) / 2
+        share = exp((dim - 1) / 2 * log(1 - c * c)) / (c * sqrt(2 * pi * dim))
+        low, high = (c, high) if filters * share > wanted else (low, c)
+    return low * sqrt((1 + least) / 2)
 
 
 def _matrix(lists: pa.Array, dim: int) -> np.ndarray:
@@ -83,36 +118,47 @@ def _matrix(lists: pa.Array, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _filtered(points: DataFrame, codewords: int, deviations: float) -> DataFrame:
-    """A row for every filter a point passes, with the point and all its filters."""
+def _kind(points: DataFrame) -> str:
+    return points.schema["v"].dataType.elementType.simpleString()
+
+
+def _filtered(points: DataFrame, codewords: int, products: dict[int, float], whole: bool = True) -> DataFrame:
+    """A row for every filter a point passes; `whole`: with the point and those of its filters that come before this one."""
 
     def run(batches):
         for batch in batches:
             size = np.diff(batch.column("v").offsets.to_numpy())
             for dim in np.unique(size):
                 of = np.flatnonzero(size == dim)
-                for k in range(0, len(of), 512):
-                    part = batch.take(pa.array(of[k : k + 512]))
-                    row, code = decode(_matrix(part.column("v"), int(dim)), codewords, deviations)
-                    first = np.searchsorted(row, np.arange(len(part) + 1))
-                    own = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(code.astype(np.int32)))
-                    at = pa.array(row)
-                    dims = pa.array(np.full(len(row), dim, np.int32))
-                    yield pa.RecordBatch.from_arrays([dims, pa.array(code.astype(np.int32)), part.column("node").take(at), part.column("weight").take(at), part.column("v").take(at), own.take(at)], names=["dim", "filter", "node", "weight", "v", "own"])
-
-    return points.mapInArrow(run, "dim int, filter int, node long, weight long, v array<float>, own array<int>")
-
-
-def compare(x: np.ndarray, own: list[np.ndarray], block: np.ndarray, this: int, least: float) -> np.ndarray:
-    """Pairs of rows linked whose smallest common filter is this one; across blocks if there are two."""
+                step = max(1, min(256, (1 << 19) // codewords))
+                for k in range(0, len(of), step):
+                    part = batch.take(pa.array(of[k : k + step]))
+                    row, code = decode(_matrix(part.column("v"), int(dim)), codewords, products[int(dim)])
+                    at, dims = pa.array(row), pa.array(np.full(len(row), dim, np.int32))
+                    if not whole:
+                        yield pa.RecordBatch.from_arrays([dims, pa.array(code)], names=["dim", "filter"])
+                        continue
+                    rank = np.arange(len(row)) - np.searchsorted(row, np.arange(len(part)))[row]
+                    place = np.repeat(np.arange(len(row)) - rank, rank) + np.arange(rank.sum()) - np.repeat(np.cumsum(rank) - rank, rank)
+                    ends = np.zeros(len(row) + 1, np.int32)
+                    np.cumsum(rank, out=ends[1:])
+                    before = pa.ListArray.from_arrays(pa.array(ends), pa.array(code[place]))
+                    yield pa.RecordBatch.from_arrays([dims, pa.array(code), part.column("node").take(at), part.column("weight").take(at), part.column("v").take(at), before], names=["dim", "filter", "node", "weight", "v", "own"])
+
+    schema = f"dim int, filter long, node long, weight long, v array<{_kind(points)}>, own array<long>" if whole else "dim int, filter long"
+    return points.mapInArrow(run, schema)
+
+
+def compare(x: np.ndarray, own: list[np.ndarray], block: np.ndarray, least: float) -> np.ndarray:
+    """Pairs of rows linked that have no filter in common before this one (own); across blocks if there are two."""
     close = np.triu(x @ x.T >= least, 1)
     if block.min() != block.max():
         close &= block[:, None] != block[None]
     if not close.any():
         return np.zeros((0, 2), np.int64)
     busy = np.flatnonzero(close.any(0) | close.any(1))
-    sizes = [len(own[i][own[i] < this]) for i in busy]
-    code, column = np.unique(np.concatenate([own[i][own[i] < this] for i in busy]), return_inverse=True)
+    sizes = [len(own[i]) for i in busy]
+    code, column = np.unique(np.concatenate([own[i] for i in busy]), return_inverse=True)
     shared = np.zeros((len(busy), len(busy)), np.float32)
     row = np.repeat(np.arange(len(busy)), sizes)
     for k in range(0, len(code), 8192):
@@ -129,7 +175,7 @@ def _compared(units: DataFrame, least: float) -> DataFrame:
 
     def solve(held):
         node, weight = np.array([h[1] for h in held]), np.array([h[2] for h in held])
-        pairs = compare(np.array([h[3] for h in held]), [h[4] for h in held], np.array([h[5] for h in held]), held[0][6], least)
+        pairs = compare(np.array([h[3] for h in held]), [h[4] for h in held], np.array([h[5] for h in held]), least)
         if not len(pairs):
             return []
         got = np.zeros(len(held), np.int64)
@@ -162,13 +208,13 @@ def _compared(units: DataFrame, least: float) -> DataFrame:
                 for i, v in zip(of, _matrix(batch.column("v").take(pa.array(of)), int(dim))):
                     vectors[i] = v
             at, flat = batch.column("own").offsets.to_numpy(), batch.column("own").values.to_numpy()
-            plain = [batch.column(c).to_pylist() for c in ("unit", "node", "weight", "block", "filter")]
-            for i, (unit, node, weight, block, this) in enumerate(zip(*plain)):
+            plain = [batch.column(c).to_pylist() for c in ("unit", "node", "weight", "block")]
+            for i, (unit, node, weight, block) in enumerate(zip(*plain)):
                 if held and held[0][0] != unit:
                     if len(held) > 1:
                         out += solve(held)
                     held = []
-                held.append((unit, node, weight, vectors[i], flat[at[i] : at[i + 1]].copy(), block, this))
+                held.append((unit, node, weight, vectors[i], flat[at[i] : at[i + 1]].copy(), block))
             yield _rows(out)
         yield _rows(solve(held) if len(held) > 1 else [])
 
@@ -178,26 +224,30 @@ def _compared(units: DataFrame, least: float) -> DataFrame:
     return units.mapInArrow(run, "node long, n long, other long")
 
 
-def linked(vectors: DataFrame, least: float = LEAST, codewords: int = CODEWORDS, deviations: float = DEVIATIONS) -> DataFrame:
+def linked(vectors: DataFrame, least: float = LEAST, codewords: int | None = None) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of vectors.
 
-    A point goes out once a filter it passes, with its vector and filter list; a pair counts in its smallest common
-    filter only, so nothing is counted twice and no list of pairs is built. Filters with more than BLOCK points are
-    compared as pairs of blocks, each its own unit, so a crowd of near copies spreads over all tasks and each
-    unit hands on sums and a spanning forest, not its pairs."""
-    v = F.col("embedding").cast("array<float>")
+    A point goes out once a filter it passes that another one passes too, with its vector and the filters it passes before; a pair counts
+    in its smallest common filter only, so nothing is counted twice and no list of pairs is built. Filters with more than BLOCK
+    points are compared as pairs of blocks, each its own unit, so a crowd of near copies spreads over all tasks and each
+    unit hands on sums and a spanning forest, not its pairs. codewords: by the number of rows where none is given."""
+    kind = vectors.schema["embedding"].dataType
+    kind = "double" if getattr(kind, "elementType", None) is not None and kind.elementType.simpleString() != "float" else "float"
+    v = F.col("embedding").cast(f"array<{kind}>")
     ok = v.isNotNull() & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
-    rows = vectors.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(NO_ID)).alias("vec_key"), F.when(ok, F.transform(v, lambda x: x + F.lit(0.0).cast("float"))).alias("v"))
+    rows = vectors.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(NO_ID)).alias("vec_key"), F.when(ok, F.transform(v, lambda x: x + F.lit(0.0).cast(kind))).alias("v"))
     rows = rows.withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(7), F.col("v")))
     points = rows.where("v IS NOT NULL").groupBy("h1", "h2").agg(F.min("vec_key").alias("node"), F.count("*").alias("weight"), F.max("v").alias("v"))
     points = written(points, "points")
-    passed = _filtered(points.select("node", "weight", "v"), codewords, deviations)
-    counts = _filtered_counts(points, codewords, deviations)
+    codewords = codewords or size_of_books(points.count())
+    products = {r[0]: threshold(r[0], codewords, least) for r in points.select(F.size("v")).distinct().collect()}
+    passed = _filtered(points.select("node", "weight", "v"), codewords, products)
+    counts = _filtered_counts(points, codewords, products)
     dealt = passed.join(counts, ["dim", "filter"])
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("x"), F.greatest(k, F.col("block")).alias("y")))
     units = dealt.withColumn("block", block).withColumn("xy", F.explode(others)).withColumn("unit", F.xxhash64("dim", "filter", "xy.x", "xy.y"))
-    spread = units.select("unit", "node", "weight", "v", "own", "block", "filter").repartition("unit").sortWithinPartitions("unit", "node")
+    spread = units.select("unit", "node", "weight", "v", "own", "block").repartition("unit").sortWithinPartitions("unit", "node")
     found = written(_compared(spread, least), "links")
     sums = found.groupBy("node").agg(F.sum("n").alias("n"))
     tied = components(found.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")), "a", "b")
@@ -209,7 +259,7 @@ def linked(vectors: DataFrame, least: float = LEAST, codewords: int = CODEWORDS,
     return met.select(shown(F.col("vec_key")).alias("vec_id"), F.coalesce("n", F.lit(0)).alias("n_links"), shown(own).alias("component_id"), (F.col("vec_key") == own).alias("kept"))
 
 
-def _filtered_counts(points: DataFrame, codewords: int, deviations: float) -> DataFrame:
+def _filtered_counts(points: DataFrame, codewords: int, products: dict[int, float]) -> DataFrame:
     """Blocks of each filter that more than one point passes."""
-    passed = _filtered(points.select("node", "weight", "v"), codewords, deviations).select("dim", "filter")
+    passed = _filtered(points.select("node", "weight", "v"), codewords, products, whole=False)
     return passed.groupBy("dim", "filter").agg(F.count("*").alias("n")).where("n > 1").select("dim", "filter", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("blocks"))
