@@ -118,35 +118,22 @@ def _matrix(lists: pa.Array, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _kind(points: DataFrame) -> str:
-    return points.schema["v"].dataType.elementType.simpleString()
-
-
-def _filtered(points: DataFrame, codewords: int, products: dict[int, float], whole: bool = True) -> DataFrame:
-    """A row for every filter a point passes; `whole`: with the point and those of its filters that come before this one."""
+def _filtered(points: DataFrame, codewords: int, products: dict[int, float]) -> DataFrame:
+    """A row (dim, filter, h1, node) for every filter a point passes."""
 
     def run(batches):
         for batch in batches:
             size = np.diff(batch.column("v").offsets.to_numpy())
+            step = max(1, min(256, (1 << 19) // codewords))
             for dim in np.unique(size):
                 of = np.flatnonzero(size == dim)
-                step = max(1, min(256, (1 << 19) // codewords))
                 for k in range(0, len(of), step):
                     part = batch.take(pa.array(of[k : k + step]))
                     row, code = decode(_matrix(part.column("v"), int(dim)), codewords, products[int(dim)])
-                    at, dims = pa.array(row), pa.array(np.full(len(row), dim, np.int32))
-                    if not whole:
-                        yield pa.RecordBatch.from_arrays([dims, pa.array(code)], names=["dim", "filter"])
-                        continue
-                    rank = np.arange(len(row)) - np.searchsorted(row, np.arange(len(part)))[row]
-                    place = np.repeat(np.arange(len(row)) - rank, rank) + np.arange(rank.sum()) - np.repeat(np.cumsum(rank) - rank, rank)
-                    ends = np.zeros(len(row) + 1, np.int32)
-                    np.cumsum(rank, out=ends[1:])
-                    before = pa.ListArray.from_arrays(pa.array(ends), pa.array(code[place]))
-                    yield pa.RecordBatch.from_arrays([dims, pa.array(code), part.column("node").take(at), part.column("weight").take(at), part.column("v").take(at), before], names=["dim", "filter", "node", "weight", "v", "own"])
+                    at = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), dim, np.int32)), pa.array(code), part.column("h1").take(at), part.column("node").take(at)], names=["dim", "filter", "h1", "node"])
 
-    schema = f"dim int, filter long, node long, weight long, v array<{_kind(points)}>, own array<long>" if whole else "dim int, filter long"
-    return points.mapInArrow(run, schema)
+    return points.select("h1", "node", "v").mapInArrow(run, "dim int, filter long, h1 long, node long")
 
 
 def compare(x: np.ndarray, own: list[np.ndarray], block: np.ndarray, least: float) -> np.ndarray:
@@ -227,8 +214,8 @@ def _compared(units: DataFrame, least: float) -> DataFrame:
 def linked(vectors: DataFrame, least: float = LEAST, codewords: int | None = None) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of vectors.
 
-    A point goes out once a filter it passes that another one passes too, with its vector and the filters it passes before; a pair counts
-    in its smallest common filter only, so nothing is counted twice and no list of pairs is built. Filters with more than BLOCK
+    Filters are dealt as ids first. A point then goes out once a filter that another one passes too, with its vector and the shared filters
+    it passes before that one; a pair counts in its smallest common filter only, so nothing is counted twice and no list of pairs is built. Filters with more than BLOCK
     points are compared as pairs of blocks, each its own unit, so a crowd of near copies spreads over all tasks and each
     unit hands on sums and a spanning forest, not its pairs. codewords: by the number of rows where none is given."""
     kind = vectors.schema["embedding"].dataType
@@ -241,9 +228,11 @@ def linked(vectors: DataFrame, least: float = LEAST, codewords: int | None = Non
     points = written(points, "points")
     codewords = codewords or size_of_books(points.count())
     products = {r[0]: threshold(r[0], codewords, least) for r in points.select(F.size("v")).distinct().collect()}
-    passed = _filtered(points.select("node", "weight", "v"), codewords, products)
-    counts = _filtered_counts(points, codewords, products)
-    dealt = passed.join(counts, ["dim", "filter"])
+    passed = _filtered(points, codewords, products)
+    shared = passed.groupBy("dim", "filter").agg(F.count("*").alias("n")).where("n > 1").select("dim", "filter", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    met = passed.join(shared.hint("merge"), ["dim", "filter"]).groupBy("h1", "node").agg(F.array_sort(F.collect_list(F.struct("filter", "blocks"))).alias("held"))
+    with_v = points.select("h1", "node", "weight", "v").join(met.hint("merge"), ["h1", "node"]).select("node", "weight", "v", F.size("v").alias("dim"), "held", F.posexplode("held").alias("at", "one"))
+    dealt = with_v.select("node", "weight", "v", "dim", "one.filter", "one.blocks", F.slice("held.filter", F.lit(1), F.col("at")).alias("own"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("x"), F.greatest(k, F.col("block")).alias("y")))
     units = dealt.withColumn("block", block).withColumn("xy", F.explode(others)).withColumn("unit", F.xxhash64("dim", "filter", "xy.x", "xy.y"))
@@ -257,9 +246,3 @@ def linked(vectors: DataFrame, least: float = LEAST, codewords: int | None = Non
     own = F.coalesce("component", "vec_key")
     shown = lambda c: F.when(c != NO_ID, c)
     return met.select(shown(F.col("vec_key")).alias("vec_id"), F.coalesce("n", F.lit(0)).alias("n_links"), shown(own).alias("component_id"), (F.col("vec_key") == own).alias("kept"))
-
-
-def _filtered_counts(points: DataFrame, codewords: int, products: dict[int, float]) -> DataFrame:
-    """Blocks of each filter that more than one point passes."""
-    passed = _filtered(points.select("node", "weight", "v"), codewords, products, whole=False)
-    return passed.groupBy("dim", "filter").agg(F.count("*").alias("n")).where("n > 1").select("dim", "filter", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("blocks"))
