@@ -187,8 +187,11 @@ def enough(overlap, small_a, small_b, threshold: int):
     return 100 * overlap >= threshold * (small_a + small_b - overlap)
 
 
-def traverse(x: Tree, y: Tree, threshold: int, step: int = 4096):
-    """Pairs of sets that the largest possible overlap does not rule out: both trees from the roots down, level by level."""
+def traverse(x: Tree, y: Tree, threshold: int, step_words: int = 1 << 18):
+    """Pairs of sets that the largest possible overlap does not rule out: both trees from the roots down, level by level.
+
+    Node pairs are judged in steps of about `step_words` words of bitmap."""
+    step = max(16, step_words // x.levels[0][0].shape[1])
     depth = max(len(x.levels), len(y.levels))
     level = lambda tree, k: tree.levels[min(k, len(tree.levels) - 1)]
     i = j = np.zeros(1, np.int64)
@@ -330,7 +333,8 @@ def _units(members: DataFrame, settled: DataFrame) -> DataFrame:
     slots = leaves.select(*place, "leaves").distinct()
     slotted = members.join(F.broadcast(slots) if slots.count() <= SMALL else slots, place).withColumn("slot", F.pmod(F.xxhash64("a"), F.col("leaves")).cast("int"))
     units = slotted.join(dealt, [*place, "slot"]).select("unit", F.col("a").alias("node"), F.xxhash64(*place, "slot").alias("leaf"), "shingles")
-    return units.repartition("unit").sortWithinPartitions("unit", "leaf", "node")
+    # By ranges: tasks get equal numbers of rows, to within a unit, where hashing would send some of them several units.
+    return units.repartitionByRange("unit").sortWithinPartitions("unit", "leaf", "node")
 
 
 #: Rows of a table of families that may be broadcast.
