@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from laminar.llm.common import keyed, steps, unkeyed
+from laminar.llm.common import buffers, keyed, steps, unkeyed
 
 #: Frequent pieces that are broadcast, and pieces whose counts one task hands in; both bound what reaches the driver.
 FREQUENT, PER_TASK = 65_536, 16_384
@@ -79,8 +79,8 @@ class WordEncoder(dict):
         self[piece] = ids
         return ids
 
-    def encode(self, text: str) -> bytes:
-        return b"".join([self[x] for x in pieces(text)])
+    def encode(self, text: str, plain: bool = False) -> bytes:
+        return b"".join([self[x] for x in (text.split() if plain else pieces(text))])
 
 
 class TextEncoder:
@@ -99,7 +99,7 @@ class TextEncoder:
             whole = Tokenizer.from_file(path)
             self.ids = lambda text: whole.encode(text, add_special_tokens=False).ids
 
-    def encode(self, text: str) -> bytes:
+    def encode(self, text: str, plain: bool = False) -> bytes:
         return array("I", self.ids(text)).tobytes()
 
 
@@ -117,6 +117,19 @@ _RARE_ASCII = re.compile("[\x0b\x0c\x1c-\x1f]")
 _RARE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 
 
+#: First bytes of the rarer white space in UTF-8, and of much else.
+_SUSPECT = np.zeros(256, bool)
+_SUSPECT[[0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
+def plain(texts: pa.Array) -> list[bool]:
+    """Of each text, whether no byte of it can begin rarer white space, so that str.split() finds its pieces."""
+    data, at = buffers(texts)
+    out = np.ones(len(texts), bool)
+    out[np.searchsorted(at, np.flatnonzero(_SUSPECT[data]), "right") - 1] = False
+    return out.tolist()
+
+
 def word_level(path: str) -> bool:
     """Whether pieces between blanks can be encoded one by one with this vocabulary."""
     if not path.endswith(".json"):
@@ -184,14 +197,14 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, most: int = FRE
         for whole in batches:
             for batch in steps(whole):
                 n_bytes, n_tokens = [], []
-                for text in batch.column("text").to_pylist():
+                for text, p in zip(batch.column("text").to_pylist(), plain(batch.column("text"))):
                     text = text or ""
                     n_bytes.append(len(text.encode()))
                     if table is None:
                         n_tokens.append(len(encoder.encode(text)) // 4)
                         continue
                     n = 0
-                    for piece in pieces(text):
+                    for piece in text.split() if p else pieces(text):
                         if (k := first.get(piece)) is None and (k := second.get(piece)) is None:
                             if len(second) >= KEPT:
                                 second.clear()
@@ -225,7 +238,8 @@ def write_orc(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2) -> N
         done = 0
         for whole in batches:
             for batch in steps(whole):
-                rows = [encoder.encode(text or "") + end for text in batch.column("text").to_pylist()]
+                texts = batch.column("text")
+                rows = [encoder.encode(text or "", p) + end for text, p in zip(texts.to_pylist(), plain(texts))]
                 sizes = np.array([len(x) // 4 for x in rows], np.int32)
                 at = np.zeros(len(rows) + 1, np.int32)
                 np.cumsum(sizes, out=at[1:])
@@ -238,7 +252,7 @@ def write_orc(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2) -> N
         keyed(docs, "text").repartitionByRange("doc_key").sortWithinPartitions("doc_key", "text")
         .mapInArrow(encode, "doc_key long, row long, n_tokens int, ids array<int>")
         .withColumn("part", F.spark_partition_id())
-        .write.option("compression", "zlib").option("orc.bloom.filter.columns", "doc_key").option("orc.bloom.filter.fpp", "0.01")
+        .write.option("compression", "zstd").option("orc.bloom.filter.columns", "doc_key").option("orc.bloom.filter.fpp", "0.01")
         .option("orc.row.index.stride", str(STRIDE)).option("orc.stripe.size", str(16 << 20)).orc(path)
     )
 
