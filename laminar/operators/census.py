@@ -32,7 +32,7 @@ def pairs(triangles: DataFrame, cell: float = CELL, exclude: int = G.EXCLUDE, ac
     """Triangle pairs whose boxes meet, each in the one cell that owns it, without neighbours on the same surface.
 
     Triangles are dealt by cell once: both sides of the equi-join read one exchange, and AQE splits crowded cells. The owner cell (of the
-    larger of the two low corners) makes a distinct over pairs needless. The join's condition stays small enough to be compiled.
+    larger of the two low corners) makes a distinct over pairs needless.
     across: pairs of different surfaces only, or of the same only. by: columns that must be equal, such as a diagonal."""
     own = ["surface_id", "v", "u", "t", *_CORNERS, *_BOX, "g_x", "g_y", "g_z"]
     keys = [*by, "c_x", "c_y", "c_z"]
