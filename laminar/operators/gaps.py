@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from laminar.functions import kernels
 from laminar.operators import regions
+from laminar.scratch import written
 
 #: Distance under which a cell is flagged, under which a grower would merge, share of a period to exclude,
 #: and how many exclusions away flagged partners must lie.
@@ -18,32 +19,60 @@ FLAG, GROWER, AUTO, SAFETY = 6.0, 12.0, 0.25, 2.0
 _CORNERS = [f"{c}{k}" for c in "efg" for k in "xyz"]
 
 
-def nearest_sheets(queries: DataFrame, triangles: DataFrame, reach: float, exclude: int) -> DataFrame:
+def nearest_sheets(queries: DataFrame, triangles: DataFrame, reach: float, exclude: int, first: float | None = None) -> DataFrame:
     """Of each query (qid, x, y, z, grp) the nearest two tags of triangles (tag, corners) within `reach`: w1, d1, w2, d2.
 
-    A tag counts when it is `exclude` or more away from grp. Triangles go to every cell of side `reach` their box meets,
-    queries to their own and its neighbours, so all that may count meet in an equi-join; distances are taken in single
-    precision on Arrow batches and summed to a minimum per tag map-side. Infinity and null where there is none."""
-    cells = triangles
+    A tag counts when it is `exclude` or more away from grp. Shells: the search begins within `first` (a sixteenth of the reach where
+    not given, 4 at least) and goes on in cells four times as wide for queries that have not met two tags yet, so that few rows pay for
+    a far reach; two tags found within a shell's reach are the nearest of all. Triangles go to every cell that their box meets, queries to their
+    own and its neighbours; a pair that meets in several cells is measured in the first. Distances are taken in single precision on
+    Arrow batches and summed to a minimum per tag map-side. Infinity and null where there is none within `reach`; qid is unique."""
+    kinds = dict(triangles.dtypes)["tag"]
+    corners = triangles.select("tag", *[F.col(c).cast("float").alias(c) for c in _CORNERS])
+    still = queries.select("qid", "grp", *[F.col(k).cast("float").alias(k) for k in "xyz"])
+    shell, parts = min(reach, first or max(4.0, reach / 16)), []
+    while True:
+        best = written(_tags_within(still, corners, kinds, shell, exclude), "sheets")
+        last = shell >= reach
+        settled = best if last else best.where("w2 IS NOT NULL")
+        parts.append(settled)
+        if last:
+            break
+        still = written(still.join(settled.select("qid"), "qid", "left_anti"), "sheets-open")
+        if still.isEmpty():
+            break
+        shell = min(reach, shell * 4)
+    two = parts[0]
+    for part in parts[1:]:
+        two = two.unionByName(part)
+    none = F.lit(float("inf")).cast("float")
+    return queries.select("qid").join(two, "qid", "left").select("qid", "w1", F.coalesce("d1", none).alias("d1"), "w2", F.coalesce("d2", none).alias("d2"))
+
+
+def _tags_within(queries: DataFrame, corners: DataFrame, kinds: str, reach: float, exclude: int) -> DataFrame:
+    """qid, w1, d1, w2, d2 of the queries that have a tag within `reach`."""
+    cells = corners
     for k in "xyz":
-        low, high = (f(*[f"{c}{k}" for c in "efg"]) for f in (F.least, F.greatest))
-        cells = cells.withColumn(f"c_{k}", F.explode(F.sequence(F.floor((low - reach) / reach), F.floor((high + reach) / reach))))
-    at = queries.select("qid", "grp", *[F.col(k).cast("float").alias(k) for k in "xyz"], *[F.floor(F.col(k) / reach).alias(f"c_{k}") for k in "xyz"])
-    met = at.join(cells.select("tag", *_CORNERS, "c_x", "c_y", "c_z"), ["c_x", "c_y", "c_z"]).where(F.abs(F.col("tag") - F.col("grp")) >= exclude)
+        low, high = (F.floor(f(*[f"{c}{k}" for c in "efg"]) / reach) for f in (F.least, F.greatest))
+        cells = cells.withColumn(f"g_{k}", low).withColumn(f"c_{k}", F.explode(F.sequence(low, high)))
+    at = queries
+    for k in "xyz":
+        own = F.floor(F.col(k) / reach)
+        at = at.withColumn(f"q_{k}", own - 1).withColumn(f"c_{k}", F.explode(F.sequence(own - 1, own + 1)))
+    met = at.join(cells, ["c_x", "c_y", "c_z"]).where(F.abs(F.col("tag") - F.col("grp")) >= exclude)
+    for k in "xyz":
+        met = met.where(F.col(f"c_{k}") == F.greatest(f"q_{k}", f"g_{k}"))
 
     def measure(batches):
         for batch in batches:
-            points = np.stack([batch.column(k).to_numpy() for k in "xyz"], 1).astype(np.float32)
-            shape = np.stack([batch.column(c).to_numpy() for c in _CORNERS], 1).astype(np.float32).reshape(-1, 3, 3)
+            points = np.stack([batch.column(k).to_numpy() for k in "xyz"], 1)
+            shape = np.stack([batch.column(c).to_numpy() for c in _CORNERS], 1).reshape(-1, 3, 3)
             yield pa.RecordBatch.from_arrays([batch.column("qid"), batch.column("tag"), pa.array(kernels.point_triangle(points, shape).astype(np.float32))], names=["qid", "tag", "d"])
 
-    kinds = dict(triangles.dtypes)["tag"]
     found = met.select("qid", "tag", "x", "y", "z", *_CORNERS).mapInArrow(measure, f"qid long, tag {kinds}, d float").where(F.col("d") <= reach)
     best = found.groupBy("qid", "tag").agg(F.min("d").alias("d")).withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("d", "tag"))).where("r <= 2")
     pick = lambda c, r: F.max(F.when(F.col("r") == r, F.col(c)))
-    two = best.groupBy("qid").agg(pick("tag", 1).alias("w1"), pick("d", 1).alias("d1"), pick("tag", 2).alias("w2"), pick("d", 2).alias("d2"))
-    none = F.lit(float("inf")).cast("float")
-    return queries.select("qid").join(two, "qid", "left").select("qid", "w1", F.coalesce("d1", none).alias("d1"), "w2", F.coalesce("d2", none).alias("d2"))
+    return best.groupBy("qid").agg(pick("tag", 1).alias("w1"), pick("d", 1).alias("d1"), pick("tag", 2).alias("w2"), pick("d", 2).alias("d2"))
 
 
 def exclusion(results: DataFrame, probe: int, reach: float = 4 * FLAG) -> int | None:

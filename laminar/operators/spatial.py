@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from laminar.scratch import written
+
 
 def _cells(df: DataFrame, axes: list[str], size: float, lo: str, hi: str) -> DataFrame:
     for k in axes:
@@ -55,6 +57,42 @@ def nearest_groups(queries: DataFrame, points: DataFrame, axes: list[str], reach
     return queries.select("qid").join(two, "qid", "left").select("qid", "w1", F.coalesce("d1", none).alias("d1"), "w2", F.coalesce("d2", none).alias("d2"))
 
 
+def nearest(queries: DataFrame, points: DataFrame, axes: list[str], first: float, allowed=None, by: tuple = (), keep: tuple = (), growth: float = 4.0) -> DataFrame:
+    """queries (qid, the columns `by`, axes) with the nearest point that agrees in `by` and is `allowed`: d, and its columns `keep`.
+
+    allowed: a condition on the query's columns and on p_<keep>. Of equally near points the one with the least `keep` counts; d and
+    the rest are null where no point is allowed, or where a coordinate is null. qid is unique and not null.
+    Shells: points meet queries in cells of side `first`, a ring of neighbours each, and what is found within that reach is nearest of
+    all; only queries still open go on, to cells `growth` times as wide, until none is open or the reach spans all there is."""
+    asked = queries.na.drop(subset=axes)
+    ends = [f(k).alias(f"{n}_{k}") for n, f in (("lo", F.min), ("hi", F.max)) for k in axes]
+    spans = [df.select(*[F.col(k).cast("double").alias(k) for k in axes]).agg(*ends).first() for df in (asked, points.na.drop(subset=axes))]
+    widest = 0.0
+    if all(s[0] is not None for s in spans):
+        widest = sum((max(s[f"hi_{k}"] for s in spans) - min(s[f"lo_{k}"] for s in spans)) ** 2 for k in axes) ** 0.5
+    side = points.na.drop(subset=axes).select(*by, *[F.col(k).alias(f"p_{k}") for k in dict.fromkeys([*axes, *keep])])
+    square = sum(((F.col(k) - F.col(f"p_{k}")) * (F.col(k) - F.col(f"p_{k}")) for k in axes), F.lit(0.0))
+    ring = F.explode(F.array(*[F.array(*[F.lit(o) for o in offset]) for offset in _offsets(len(axes))]))
+    parts, reach, still = [], first, asked
+    while True:
+        keys = [*by, *(f"c_{k}" for k in axes)]
+        near = still.select("*", ring.alias("o")).select("*", *[(F.floor(F.col(k) / reach) + F.col("o")[i]).alias(f"c_{k}") for i, k in enumerate(axes)]).drop("o")
+        met = near.join(side.select("*", *[F.floor(F.col(f"p_{k}") / reach).alias(f"c_{k}") for k in axes]), keys)
+        met = (met if allowed is None else met.where(allowed)).withColumn("d2", square).where(F.col("d2") <= reach * reach)
+        best = met.groupBy("qid").agg(F.min(F.struct("d2", *[F.col(f"p_{k}") for k in keep])).alias("best"))
+        parts.append(written(best, "nearest"))
+        if reach >= widest:
+            break
+        still = written(still.join(parts[-1].select("qid"), "qid", "left_anti"), "nearest-open")
+        if still.isEmpty():
+            break
+        reach *= growth
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return queries.join(found, "qid", "left").select(*queries.columns, F.sqrt("best.d2").alias("d"), *[F.col(f"best.p_{k}").alias(f"near_{k}") for k in keep])
+
+
 def _offsets(n: int) -> list[list[int]]:
     out: list[list[int]] = [[]]
     for _ in range(n):
