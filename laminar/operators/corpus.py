@@ -108,3 +108,47 @@ def missing_numbers(rows: DataFrame, by: str, number: str) -> DataFrame:
     ends = rows.where(F.col(number).isNotNull()).groupBy(by).agg(F.min(number).alias("lo"), F.max(number).alias("hi"))
     every = ends.select(by, F.explode(F.sequence("lo", "hi")).alias(number))
     return every.join(rows.select(by, number).distinct(), [by, number], "left_anti")
+
+
+def same_identity(a: DataFrame, b: DataFrame, key: str, part: str, digest: str) -> DataFrame:
+    """Of each key of either table: whether both name the same parts with the same digests; null where one side has no usable part.
+
+    A part is usable when it has a digest; parts without one count as absent. A part given twice counts once."""
+    side = lambda t, n: t.where(F.col(part).isNotNull() & F.col(digest).isNotNull()).select(key, F.col(part).cast("string").alias("_p"), F.col(digest).cast("string").alias("_d")).distinct().withColumn(n, F.lit(1))
+    met = side(a, "_a").join(side(b, "_b"), [key, "_p", "_d"], "full_outer").groupBy(key).agg(F.count("_a").alias("na"), F.count("_b").alias("nb"), F.count_if(F.col("_a").isNull() | F.col("_b").isNull()).alias("odd"))
+    keys = a.select(key).unionByName(b.select(key)).distinct()
+    return keys.join(met, key, "left").select(key, F.when((F.col("na") > 0) & (F.col("nb") > 0), F.col("odd") == 0).alias("same"))
+
+
+def published_agrees(published: DataFrame, found: DataFrame, key: str, part: str, digest: str) -> DataFrame:
+    """Of each key found: whether every digest that is published for it equals the one found; null where none is published.
+
+    A published part that was not found, or has no digest there, disagrees. found: one row for a key and part."""
+    listed = published.where(F.col(digest).isNotNull()).select(key, part, F.col(digest).alias("_published"))
+    met = listed.join(found.select(key, part, F.col(digest).alias("_found")), [key, part], "left")
+    said = met.groupBy(key).agg(F.every(F.coalesce(F.col("_published") == F.col("_found"), F.lit(False))).alias("agrees"))
+    return found.select(key).distinct().join(said, key, "left")
+
+
+def verification(records: DataFrame, by: str, checked, status, censused, clean, ok) -> DataFrame:
+    """One row over a corpus' verification records: counts of what was checked, matched, censused and clean, and states by `by` (a few).
+
+    Conditions are columns; a null one does not hold, and a censused record that is not known to be clean is not clean. Names are
+    rows of `verification_failures`, so that no list grows with the corpus."""
+    holds = lambda c: F.coalesce(c, F.lit(False))
+    counts = {
+        "n_records": F.lit(True), "n_checked": holds(checked), "n_match": holds(checked) & holds(status), "n_mismatch": holds(checked) & ~holds(status),
+        "n_censused": holds(censused), "n_clean": holds(censused) & holds(clean), "n_not_clean": holds(censused) & ~holds(clean),
+        "n_ok": holds(ok), "n_failed": ~holds(ok),
+    }
+    sums = records.agg(*[F.count_if(c).alias(n) for n, c in counts.items()])
+    states = records.groupBy(F.coalesce(F.col(by).cast("string"), F.lit("none")).alias("state")).agg(F.count("*").alias("n"))
+    listed = states.agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "state", "n"))), ",").alias("states"))
+    return sums.crossJoin(listed)
+
+
+def verification_failures(records: DataFrame, name: str, status, clean, ok) -> DataFrame:
+    """A row for each failed record, with the first problem that applies."""
+    holds = lambda c: F.coalesce(c, F.lit(False))
+    why = F.when(~holds(status), "digest differs").when(~holds(clean), "not clean").otherwise("refused")
+    return records.where(~holds(ok)).select(name, why.alias("problem"))

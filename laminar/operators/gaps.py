@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from laminar.functions import kernels
-from laminar.operators import regions
+from laminar.operators import regions, spatial
 from laminar.scratch import written
 
 #: Distance under which a cell is flagged, under which a grower would merge, share of a period to exclude,
@@ -140,3 +140,53 @@ def revolution_periods(vertices: DataFrame) -> DataFrame:
         return pd.DataFrame({"surface_id": [frame.surface_id.iloc[0]], "period": [period]})
 
     return line.groupBy("surface_id").applyInPandas(turn, "surface_id long, period double")
+
+
+def disagreement(vertices: DataFrame, edges: DataFrame, first: float, most: int = 4000, least: int = 50) -> DataFrame:
+    """Of each edge (a, b) of surfaces: how far a's points within b's box lie from b's points: n_points, median, p90, mean.
+
+    At most `most` of the points are asked, evenly spaced in grid order (n_points counts all). An edge has a row of nulls where either
+    surface, or what lies in the box, has under `least` points."""
+    points = vertices.where("valid").select("surface_id", "v", "u", *[F.col(k).cast("double").alias(k) for k in "xyz"])
+    boxes = points.groupBy("surface_id").agg(F.count("*").alias("m"), *[f(k).alias(f"{n}_{k}") for n, f in (("lo", F.min), ("hi", F.max)) for k in "xyz"])
+    met = edges.select("a", "b").distinct().join(boxes.select(F.col("surface_id").alias("b"), F.col("m").alias("mb"), *[f"{n}_{k}" for n in ("lo", "hi") for k in "xyz"]), "b")
+    met = met.join(boxes.select(F.col("surface_id").alias("a"), F.col("m").alias("ma")), "a").where((F.col("ma") >= least) & (F.col("mb") >= least))
+    inside = F.lit(True)
+    for k in "xyz":
+        inside = inside & F.col(k).between(F.col(f"lo_{k}"), F.col(f"hi_{k}"))
+    of_a = points.withColumnRenamed("surface_id", "a").join(met, "a").where(inside).select("a", "b", "v", "u", *"xyz")
+    w = Window.partitionBy("a", "b")
+    numbered = of_a.withColumn("i", F.row_number().over(w.orderBy("v", "u")) - 1).withColumn("n_points", F.count("*").over(w)).where(F.col("n_points") >= least)
+    # Of n points the places floor(j (n - 1) / (most - 1)): i is one of them when the least j that reaches i lands on it.
+    j = F.ceil(F.col("i") * (most - 1) / (F.col("n_points") - 1))
+    even = (F.col("n_points") <= most) | ((j < most) & (F.floor(j * (F.col("n_points") - 1) / (most - 1)) == F.col("i")))
+    asked = written(numbered.where(even).select(F.xxhash64("a", "b", "i").alias("qid"), "a", "b", "n_points", *"xyz"), "disagreement")
+    near = spatial.nearest(asked, points.withColumnRenamed("surface_id", "b"), list("xyz"), first, by=("b",))
+    out = near.groupBy("a", "b").agg(F.max("n_points").alias("n_points"), F.median("d").alias("median"), F.percentile("d", F.lit(0.9)).alias("p90"), F.avg("d").alias("mean"))
+    return edges.join(out, ["a", "b"], "left")
+
+
+def vertex_distance(vertices: DataFrame, exclude: int, first: float, block: int = 64, least: int = 8) -> DataFrame:
+    """surface_id, v, u and d: distance to the nearest vertex of the same surface that lies `exclude` columns or more outside the
+    query's block of `block` columns (blocks start at the surface's first column). Null where under `least` such vertices are left."""
+    points = vertices.where("valid").select("surface_id", "v", "u", *[F.col(k).cast("double").alias(k) for k in "xyz"])
+    per = points.groupBy("surface_id", "u").agg(F.count("*").alias("n"))
+    start = per.groupBy("surface_id").agg(F.min("u").alias("u0"), F.max("u").alias("u1"), F.sum("n").alias("all"))
+    blocks = start.select("surface_id", "all", F.explode(F.sequence("u0", "u1", F.lit(block))).alias("from"))
+    near = blocks.join(per, "surface_id").groupBy("surface_id", "from", "all").agg(F.sum(F.when(F.col("u").between(F.col("from") - exclude, F.col("from") + block - 1 + exclude), F.col("n")).otherwise(0)).alias("beside"))
+    open_ = near.where(F.col("all") - F.col("beside") >= least).select("surface_id", "from")
+    asked = points.join(start.select("surface_id", "u0"), "surface_id").withColumn("from", (F.col("u0") + F.floor((F.col("u") - F.col("u0")) / block) * block).cast("int"))
+    asked = asked.withColumn("qid", regions.code(F.col("surface_id"), F.col("v"), F.col("u")))
+    allowed = (F.col("p_u") < F.col("from") - exclude) | (F.col("p_u") > F.col("from") + block - 1 + exclude)
+    found = spatial.nearest(asked.join(open_, ["surface_id", "from"]).select("qid", "surface_id", "from", *"xyz"), points.drop("v"), list("xyz"), first, allowed, ("surface_id",), ("u",))
+    return asked.join(found.select("qid", "d"), "qid", "left").select("surface_id", "v", "u", "d")
+
+
+def partners(vertices: DataFrame, wanted: DataFrame, half: int = 2, first: float = 16.0) -> DataFrame:
+    """wanted (surface_id, v, u, column) with the valid cell nearest in space to cell (v, u) among columns column - half .. column + half:
+    near_v, near_u, d; the first in grid order on ties, null where no such cell, or cell (v, u) itself, is valid."""
+    points = vertices.where("valid").select("surface_id", "v", "u", *[F.col(k).cast("double").alias(k) for k in "xyz"])
+    asked = wanted.join(points, ["surface_id", "v", "u"], "left").withColumn("qid", F.xxhash64("surface_id", "v", "u", "column"))
+    once = asked.dropDuplicates(["qid"]).select("qid", "surface_id", "column", *"xyz")
+    found = spatial.nearest(once, points, list("xyz"), first, F.abs(F.col("p_u") - F.col("column")) <= half, ("surface_id",), ("v", "u"))
+    return asked.select("qid", *wanted.columns).join(found.select("qid", "near_v", "near_u", "d"), "qid", "left").drop("qid")
