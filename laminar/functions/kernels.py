@@ -107,3 +107,33 @@ def point_triangle(points: np.ndarray, triangles: np.ndarray) -> np.ndarray:
     height = ((points - a) * normal).sum(1)
     foot = height * height / np.where(size > 0, size, 1)
     return np.sqrt(np.where(inside, foot, best))
+
+
+def segment(p: np.ndarray, q: np.ndarray, eps: float = 1e-12) -> tuple[np.ndarray, np.ndarray]:
+    """Ends (n, 2, 3) of the segment in which n pairs of triangles (n, 3 corners, 3) cross, and whether there is one: the overlap
+    of the stretches that both cut from the line of their planes. None for parallel planes or a single point."""
+    n = [np.cross(t[:, 1] - t[:, 0], t[:, 2] - t[:, 0]) for t in (p, q)]
+    line = np.cross(*n)
+    size = np.linalg.norm(line, axis=1)
+    ok = size >= eps * np.maximum(np.linalg.norm(n[0], axis=1), 1) * np.maximum(np.linalg.norm(n[1], axis=1), 1)
+    line = line / np.where(size > 0, size, 1)[:, None]
+    stretch = []
+    for own, other, normal in ((p, q, n[1]), (q, p, n[0])):
+        side = np.einsum("nij,nj->ni", own - other[:, :1], normal)
+        after, beyond = np.roll(side, -1, 1), np.roll(own, -1, 1)
+        apart = side - after
+        between = own + (side / np.where(apart == 0, 1, apart))[:, :, None] * (beyond - own)
+        points = np.concatenate([own, between], 1)
+        given = np.concatenate([side == 0, side * after < 0], 1)
+        at = np.einsum("nij,nj->ni", points, line)
+        ok &= given.sum(1) >= 2
+        rows = np.arange(len(own))
+        low, high = np.where(given, at, np.inf).argmin(1), np.where(given, at, -np.inf).argmax(1)
+        stretch.append((at[rows, low], at[rows, high], points[rows, low], points[rows, high]))
+    (a0, a1, first, last), (b0, b1, _, _) = stretch
+    lo, hi = np.maximum(a0, b0), np.minimum(a1, b1)
+    span = a1 - a0
+    ok &= (hi > lo) & (span >= eps)
+    span = np.where(span > 0, span, 1)
+    ends = np.stack([first + ((t - a0) / span)[:, None] * (last - first) for t in (lo, hi)], 1)
+    return ends, ok

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from laminar.functions import geometry as G
-from laminar.operators import census, corpus, cuts, events, gaps, mesh
+from laminar.operators import census, corpus, cuts, events, gaps, mesh, spectrum
 from laminar.plans.graph_queries import _C, _STEPS, _code, _components, _hits
 from laminar.plans.mesh_queries import _D, VALID, _contacts, _quads, _sheet
 from laminar.queries import query
@@ -164,6 +164,16 @@ def product_space_events(spark, sf_dir):
     return sizes.groupBy("surface_id").agg(F.count("*").alias("n_events"), F.sum("n").alias("n_pairs"), F.max("n").alias("largest"))
 
 
+@query("segment_spectrum")
+def segment_spectrum(spark, sf_dir):
+    """Of each event of each label's sheet, how far its two sides lie apart along the surface."""
+    key = ["s1", "v1", "u1", "v2", "u2"]
+    found = _hits(spark, sf_dir).groupBy(*key).agg(F.max("penetration").alias("penetration"))
+    found = found.select(F.col("s1").alias("surface_id"), F.xxhash64(*key).alias("row"), *key[1:], "penetration")
+    out = spectrum.spectrum(_sheet(spark, sf_dir, True), written(found, "contact-rows"), _UM)
+    return out.withColumns({c: F.round(c, 6) for c in ("median_length", "separation_mm")})
+
+
 # ------------------------------------------------------------------ manifests: an order's lines are its files, parts and shipments their digests
 
 _FILES = "SELECT l_orderkey, l_linenumber, CASE WHEN l_discount < 0.08 THEN l_partkey END AS digest FROM lineitem"
