@@ -24,8 +24,8 @@ def nearest_sheets(queries: DataFrame, triangles: DataFrame, reach: float, exclu
 
     A tag counts when it is `exclude` or more away from grp. Shells: the search begins within `first` (a sixteenth of the reach where
     not given, 4 at least) and goes on in cells four times as wide for queries that have not met two tags yet, so that few rows pay for
-    a far reach; two tags found within a shell's reach are the nearest of all. Triangles go to every cell that their box meets, queries to their
-    own and its neighbours; a pair that meets in several cells is measured in the first. Distances are taken in single precision on
+    a far reach; two tags found within a shell's reach are the nearest of all. Triangles go to every cell that their box meets, queries to
+    every cell within the shell's reach; a pair that meets in several cells is measured in the first. Distances are taken in single precision on
     Arrow batches and summed to a minimum per tag map-side. Infinity and null where there is none within `reach`; qid is unique."""
     kinds = dict(triangles.dtypes)["tag"]
     corners = triangles.select("tag", *[F.col(c).cast("float").alias(c) for c in _CORNERS])
@@ -51,17 +51,20 @@ def nearest_sheets(queries: DataFrame, triangles: DataFrame, reach: float, exclu
 
 def _tags_within(queries: DataFrame, corners: DataFrame, kinds: str, reach: float, exclude: int) -> DataFrame:
     """qid, w1, d1, w2, d2 of the queries that have a tag within `reach`."""
-    cells = corners
+    # Cells wider than the reach: a query's surroundings meet few of them, and boxes out of reach are left out before Arrow.
+    size = 3.0 * reach
+    cells, at = corners, queries
     for k in "xyz":
-        low, high = (F.floor(f(*[f"{c}{k}" for c in "efg"]) / reach) for f in (F.least, F.greatest))
+        low, high = (F.floor(f(*[f"{c}{k}" for c in "efg"]) / size).cast("int") for f in (F.least, F.greatest))
         cells = cells.withColumn(f"g_{k}", low).withColumn(f"c_{k}", F.explode(F.sequence(low, high)))
-    at = queries
+        low, high = (F.floor((F.col(k) + way * reach) / size).cast("int") for way in (-1, 1))
+        at = at.withColumn(f"c_{k}", F.explode(F.sequence(low, high)))
+    keys = ["c_x", "c_y", "c_z"]
+    met = at.join(cells.select("tag", *_CORNERS, "g_x", "g_y", "g_z", *keys), keys).where(F.abs(F.col("tag") - F.col("grp")) >= exclude)
     for k in "xyz":
-        own = F.floor(F.col(k) / reach)
-        at = at.withColumn(f"q_{k}", own - 1).withColumn(f"c_{k}", F.explode(F.sequence(own - 1, own + 1)))
-    met = at.join(cells, ["c_x", "c_y", "c_z"]).where(F.abs(F.col("tag") - F.col("grp")) >= exclude)
-    for k in "xyz":
-        met = met.where(F.col(f"c_{k}") == F.greatest(f"q_{k}", f"g_{k}"))
+        low, high = (f(*[f"{c}{k}" for c in "efg"]) for f in (F.least, F.greatest))
+        met = met.where((F.col(k) >= low - reach) & (F.col(k) <= high + reach))
+        met = met.where(F.col(f"c_{k}") == F.greatest(F.floor((F.col(k) - reach) / size).cast("int"), f"g_{k}"))
 
     def measure(batches):
         for batch in batches:
