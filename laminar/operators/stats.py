@@ -39,6 +39,12 @@ def survival(rows: DataFrame, by: list[str], value: str, thresholds: list[float]
     return out.select(*by, "n", F.explode("s").alias("s")).select(*by, "n", "s.*", F.when(F.col("n") > 0, F.col("s.n_above") / F.col("n")).alias("share"))
 
 
+def rounded(value, digits: int):
+    """value to so many digits, halves away from zero, of the scaled double as SQL engines and C take it; F.round goes by the shortest
+    decimal of the unscaled one, which puts 135.015 (a hundred times that is 13501.499...) at 135.02."""
+    return F.round(value * 10.0**digits) / 10.0**digits
+
+
 def bands(rows: DataFrame, by: str, value: str, ratio: float = 1.4, gap: float = 0.05) -> DataFrame:
     """Sorted values split where the next is at least `ratio` times and `gap` more: band number, ends and size."""
     w = Window.partitionBy(by).orderBy(value)

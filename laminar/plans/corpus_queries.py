@@ -147,7 +147,7 @@ def event_survival(spark, sf_dir):
 @query("band_structure", """SELECT g, band, min(x) AS lo, max(x) AS hi, count(*) AS n_values FROM (SELECT *, sum(cut) OVER (PARTITION BY g ORDER BY x)::BIGINT AS band FROM (SELECT *, CASE WHEN x >= lag(x) OVER w * 1.4 AND x - lag(x) OVER w >= 0.05 THEN 1 ELSE 0 END AS cut
 FROM (SELECT DISTINCT p_brand AS g, round(p_retailprice * p_size / 100, 2) AS x FROM part) WINDOW w AS (PARTITION BY g ORDER BY x))) GROUP BY g, band""")
 def band_structure(spark, sf_dir):
-    rows = read(spark, sf_dir, "part").select(F.col("p_brand").alias("g"), F.round(F.col("p_retailprice") * F.col("p_size") / 100, 2).alias("x"))
+    rows = read(spark, sf_dir, "part").select(F.col("p_brand").alias("g"), stats.rounded(F.col("p_retailprice") * F.col("p_size") / 100, 2).alias("x"))
     return stats.bands(rows, "g", "x")
 
 
