@@ -145,28 +145,31 @@ def revolution_periods(vertices: DataFrame) -> DataFrame:
     return line.groupBy("surface_id").applyInPandas(turn, "surface_id long, period double")
 
 
-def disagreement(vertices: DataFrame, edges: DataFrame, first: float, most: int = 4000, least: int = 50) -> DataFrame:
+def disagreement(vertices: DataFrame, edges: DataFrame, first: float, most: int | None = None, least: int = 50) -> DataFrame:
     """Of each edge (a, b) of surfaces: how far a's points within b's box lie from b's points: n_points, median, p90, mean.
 
-    At most `most` of the points are asked, evenly spaced in grid order (n_points counts all). An edge has a row of nulls where either
-    surface, or what lies in the box, has under `least` points."""
-    points = vertices.where("valid").select("surface_id", "v", "u", *[F.col(k).cast("double").alias(k) for k in "xyz"])
+    All of these points are asked, or `most` of them where given, evenly spaced in grid order (n_points counts all); the search begins within
+    a quarter of `first`. An edge has a row of nulls where either surface, or what lies in the box, has under `least` points."""
+    points = written(vertices.where("valid").select("surface_id", "v", "u", *[F.col(k).cast("double").alias(k) for k in "xyz"]), "points")
     boxes = points.groupBy("surface_id").agg(F.count("*").alias("m"), *[f(k).alias(f"{n}_{k}") for n, f in (("lo", F.min), ("hi", F.max)) for k in "xyz"])
     met = edges.select("a", "b").distinct().join(boxes.select(F.col("surface_id").alias("b"), F.col("m").alias("mb"), *[f"{n}_{k}" for n in ("lo", "hi") for k in "xyz"]), "b")
     met = met.join(boxes.select(F.col("surface_id").alias("a"), F.col("m").alias("ma")), "a").where((F.col("ma") >= least) & (F.col("mb") >= least))
     inside = F.lit(True)
     for k in "xyz":
         inside = inside & F.col(k).between(F.col(f"lo_{k}"), F.col(f"hi_{k}"))
-    of_a = points.withColumnRenamed("surface_id", "a").join(met, "a").where(inside).select("a", "b", "v", "u", *"xyz")
-    w = Window.partitionBy("a", "b")
-    numbered = of_a.withColumn("i", F.row_number().over(w.orderBy("v", "u")) - 1).withColumn("n_points", F.count("*").over(w)).where(F.col("n_points") >= least)
-    # Of n points the places floor(j (n - 1) / (most - 1)): i is one of them when the least j that reaches i lands on it.
-    j = F.ceil(F.col("i") * (most - 1) / (F.col("n_points") - 1))
-    even = (F.col("n_points") <= most) | ((j < most) & (F.floor(j * (F.col("n_points") - 1) / (most - 1)) == F.col("i")))
-    asked = written(numbered.where(even).select(F.xxhash64("a", "b", "i").alias("qid"), "a", "b", "n_points", *"xyz"), "disagreement")
-    near = spatial.nearest(asked, points.withColumnRenamed("surface_id", "b"), list("xyz"), first, by=("b",))
-    out = near.groupBy("a", "b").agg(F.max("n_points").alias("n_points"), F.median("d").alias("median"), F.percentile("d", F.lit(0.9)).alias("p90"), F.avg("d").alias("mean"))
-    return edges.join(out, ["a", "b"], "left")
+    of_a = points.withColumnRenamed("surface_id", "a").join(met, "a").where(inside)
+    size = F.count("*")
+    if most is not None:
+        w = Window.partitionBy("a", "b")
+        of_a = of_a.withColumn("i", F.row_number().over(w.orderBy("v", "u")) - 1).withColumn("n_points", F.count("*").over(w))
+        # Of n points the places floor(j (n - 1) / (most - 1)): i is one of them when the least j that reaches i lands on it.
+        j = F.ceil(F.col("i") * (most - 1) / (F.col("n_points") - 1))
+        of_a = of_a.where((F.col("n_points") <= most) | ((j < most) & (F.floor(j * (F.col("n_points") - 1) / (most - 1)) == F.col("i"))))
+        size = F.max("n_points")
+    asked = written(of_a.select(F.xxhash64("a", "b", "v", "u").alias("qid"), "a", "b", *"xyz", *([] if most is None else ["n_points"])), "disagreement")
+    near = spatial.nearest(asked, points.withColumnRenamed("surface_id", "b").drop("v", "u"), list("xyz"), first / 4, by=("b",))
+    out = near.groupBy("a", "b").agg(size.alias("n_points"), F.median("d").alias("median"), F.percentile("d", F.lit(0.9)).alias("p90"), F.avg("d").alias("mean"))
+    return edges.join(out.where(F.col("n_points") >= least), ["a", "b"], "left")
 
 
 def vertex_distance(vertices: DataFrame, exclude: int, first: float, block: int = 64, least: int = 8) -> DataFrame:

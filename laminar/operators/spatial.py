@@ -62,8 +62,8 @@ def nearest(queries: DataFrame, points: DataFrame, axes: list[str], first: float
 
     allowed: a condition on the query's columns and on p_<keep>. Of equally near points the one with the least `keep` counts; d and
     the rest are null where no point is allowed, or where a coordinate is null. qid is unique and not null.
-    Shells: points meet queries in cells of side `first`, a ring of neighbours each, and what is found within that reach is nearest of
-    all; only queries still open go on, to cells `growth` times as wide, until none is open or the reach spans all there is."""
+    Shells: points lie in one cell each, three times `first` wide, which queries within that reach of it meet; what is found within the reach
+    is nearest of all. Only queries still open go on, to a reach `growth` times as far, until none is open or it spans all there is."""
     asked = queries.na.drop(subset=axes)
     ends = [f(k).alias(f"{n}_{k}") for n, f in (("lo", F.min), ("hi", F.max)) for k in axes]
     spans = [df.select(*[F.col(k).cast("double").alias(k) for k in axes]).agg(*ends).first() for df in (asked, points.na.drop(subset=axes))]
@@ -72,12 +72,14 @@ def nearest(queries: DataFrame, points: DataFrame, axes: list[str], first: float
         widest = sum((max(s[f"hi_{k}"] for s in spans) - min(s[f"lo_{k}"] for s in spans)) ** 2 for k in axes) ** 0.5
     side = points.na.drop(subset=axes).select(*by, *[F.col(k).alias(f"p_{k}") for k in dict.fromkeys([*axes, *keep])])
     square = sum(((F.col(k) - F.col(f"p_{k}")) * (F.col(k) - F.col(f"p_{k}")) for k in axes), F.lit(0.0))
-    ring = F.explode(F.array(*[F.array(*[F.lit(o) for o in offset]) for offset in _offsets(len(axes))]))
     parts, reach, still = [], first, asked
     while True:
-        keys = [*by, *(f"c_{k}" for k in axes)]
-        near = still.select("*", ring.alias("o")).select("*", *[(F.floor(F.col(k) / reach) + F.col("o")[i]).alias(f"c_{k}") for i, k in enumerate(axes)]).drop("o")
-        met = near.join(side.select("*", *[F.floor(F.col(f"p_{k}") / reach).alias(f"c_{k}") for k in axes]), keys)
+        keys, near, cells = [*by, *(f"c_{k}" for k in axes)], still, side
+        for k in axes:
+            low, high = (F.floor((F.col(k) + way * reach) / (3.0 * reach)) for way in (-1, 1))
+            near = near.withColumn(f"c_{k}", F.explode(F.sequence(low, high)))
+            cells = cells.withColumn(f"c_{k}", F.floor(F.col(f"p_{k}") / (3.0 * reach)))
+        met = near.join(cells, keys)
         met = (met if allowed is None else met.where(allowed)).withColumn("d2", square).where(F.col("d2") <= reach * reach)
         best = met.groupBy("qid").agg(F.min(F.struct("d2", *[F.col(f"p_{k}") for k in keep])).alias("best"))
         parts.append(written(best, "nearest"))
