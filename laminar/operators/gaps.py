@@ -161,7 +161,7 @@ def disagreement(vertices: DataFrame, edges: DataFrame, first: float, most: int
     size = F.count("*")
     if most is not None:
         w = Window.partitionBy("a", "b")
-        of_a = of_a.withColumn("i", F.row_number().over(w.orderBy("v", "u")) - 1).withColumn("n_points", F.count("*").over(w))
+        of_a = of_a.withColumn("i", F.row_number().over(w.orderBy("v", "u")).cast("long") - 1).withColumn("n_points", F.count("*").over(w))
         # Of n points the places floor(j (n - 1) / (most - 1)): i is one of them when the least j that reaches i lands on it.
         j = F.ceil(F.col("i") * (most - 1) / (F.col("n_points") - 1))
         of_a = of_a.where((F.col("n_points") <= most) | ((j < most) & (F.floor(j * (F.col("n_points") - 1) / (most - 1)) == F.col("i"))))
