@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -60,35 +62,89 @@ class Cover:
         return np.bincount(self.by, self.area[self.quad] * ~gone[self.quad], len(self.names))
 
     def greedy(self) -> np.ndarray:
-        """The vertex that covers most open sets for the area it newly takes, until none is open; the least vertex on a tie."""
-        open_, gone = np.ones(self.n, bool), np.zeros(len(self.area), bool)
-        chosen = []
-        while open_.any():
-            gain = np.bincount(self.vertex, open_[self.set], len(self.names))
-            price = self.price(gone)
-            worth = np.divide(gain, price, out=np.where(gain > 0, np.inf, 0.0), where=price > 0)
-            best = int(worth.argmax())
-            if not gain[best]:
-                break
+        """The vertex that covers most open sets for the area it newly takes, until none is open; the least vertex on a tie.
+
+        A heap holds each vertex at its present worth; a choice renews only vertices that share a set or a quad with it."""
+        sets_of, of_set, quads_of, of_quad = self._lists()
+        area, open_, gone = self.area.tolist(), [True] * self.n, [False] * len(self.area)
+        gain = [len(x) for x in sets_of]
+
+        def worth(i):
+            price = 0.0
+            for q in quads_of[i]:
+                price += 0.0 if gone[q] else area[q]
+            return gain[i] / price if price > 0 else (np.inf if gain[i] else 0.0)
+
+        now = [worth(i) for i in range(len(self.names))]
+        heap = [(-w, i) for i, w in enumerate(now)]
+        heapq.heapify(heap)
+        chosen, left = [], sum(1 for x in of_set if x)
+        while left and heap:
+            w, best = heapq.heappop(heap)
+            if -w != now[best] or not gain[best]:
+                continue
             chosen.append(best)
-            open_[self.set[self.vertex == best]] = False
-            gone[self.quad[self.by == best]] = True
+            renew = set()
+            for c in sets_of[best]:
+                if open_[c]:
+                    open_[c], left = False, left - 1
+                    for i in of_set[c]:
+                        gain[i] -= 1
+                        renew.add(i)
+            for q in quads_of[best]:
+                if not gone[q]:
+                    gone[q] = True
+                    renew.update(of_quad[q])
+            for i in renew:
+                now[i] = worth(i)
+                if gain[i]:
+                    heapq.heappush(heap, (-now[i], i))
         return np.array(chosen, np.int64)
 
+    def _lists(self):
+        """Sets of each vertex, vertices of each set, quads of each vertex, vertices of each quad."""
+        out = []
+        for key, value, n in ((self.vertex, self.set, len(self.names)), (self.set, self.vertex, self.n), (self.by, self.quad, len(self.names)), (self.quad, self.by, len(self.area))):
+            order = np.argsort(key, kind="stable")
+            ends = np.searchsorted(key[order], np.arange(n + 1)).tolist()
+            flat = value[order].tolist()
+            out.append([flat[i:j] for i, j in zip(ends[:-1], ends[1:])])
+        return out
+
     def needed(self, chosen: np.ndarray) -> np.ndarray:
         """chosen without what is redundant: of the vertices whose sets all have another one, the one that gives back most area
         goes, the least vertex on a tie, until each is the only one of some set."""
-        kept = np.zeros(len(self.names), bool)
-        kept[chosen] = True
-        while True:
-            times = np.bincount(self.set, kept[self.vertex], self.n)
-            lone = np.bincount(self.vertex, (times[self.set] < 2), len(self.names)) > 0
-            free = kept & ~lone
-            if not free.any():
-                return np.flatnonzero(kept)
-            users = np.bincount(self.quad, kept[self.by], len(self.area))
-            back = np.bincount(self.by, self.area[self.quad] * (users[self.quad] == 1), len(self.names))
-            kept[np.where(free, back, -1.0).argmax()] = False
+        sets_of, of_set, quads_of, of_quad = self._lists()
+        area, kept = self.area.tolist(), [False] * len(self.names)
+        for i in chosen.tolist():
+            kept[i] = True
+        times = [sum(kept[i] for i in x) for x in of_set]
+        users = [sum(kept[i] for i in x) for x in of_quad]
+
+        def back(i):
+            total = 0.0
+            for q in quads_of[i]:
+                total += area[q] if users[q] == 1 else 0.0
+            return total
+
+        now = {i: back(i) for i in chosen.tolist()}
+        heap = [(-w, i) for i, w in now.items()]
+        heapq.heapify(heap)
+        while heap:
+            w, i = heapq.heappop(heap)
+            if not kept[i] or -w != now[i] or any(times[c] < 2 for c in sets_of[i]):
+                continue  # a vertex once alone in a set stays so: none is ever added
+            kept[i] = False
+            for c in sets_of[i]:
+                times[c] -= 1
+            for q in quads_of[i]:
+                users[q] -= 1
+                if users[q] == 1:
+                    for k in of_quad[q]:
+                        if kept[k]:
+                            now[k] = back(k)
+                            heapq.heappush(heap, (-now[k], k))
+        return np.flatnonzero(kept)
 
 
 def greedy(cover: list[np.ndarray], incident: dict[int, list[tuple[int, float]]]) -> list[int]:
