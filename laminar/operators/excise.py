@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,37 +25,60 @@ def constraints(contacts: DataFrame) -> DataFrame:
 def reduced(found: DataFrame) -> DataFrame:
     """Distinct coverages with their number, without those that hold another one whole.
 
-    Containment is an equi-join on vertices: of two sets that share as many vertices as the smaller has, the larger goes."""
+    Containment is an equi-join on vertices: of two sets that share as many vertices as the smaller has, the larger goes. Only sets below
+    the largest size can lie within another, and only those above the least can hold one: sets of one size, the usual case, meet none."""
     sets = written(found.groupBy("coverage").agg(F.count("*").alias("n"), F.min("cid").alias("cid")), "coverages")
+    span = sets.agg(F.min(F.size("coverage")).alias("least"), F.max(F.size("coverage")).alias("most")).first()
+    if span.least == span.most:
+        return sets
     flat = sets.select("cid", F.size("coverage").alias("size"), F.explode("coverage").alias("x"))
-    a, b = (flat.select(F.col("cid").alias(f"cid_{t}"), F.col("size").alias(f"size_{t}"), "x") for t in "ab")
+    a, b = (flat.where(fits).select(F.col("cid").alias(f"cid_{t}"), F.col("size").alias(f"size_{t}"), "x") for t, fits in (("a", F.col("size") < span.most), ("b", F.col("size") > span.least)))
     shared = a.join(b, "x").where("size_a < size_b").groupBy("cid_a", "size_a", "cid_b").agg(F.count("*").alias("m"))
     return sets.join(shared.where("m = size_a").select(F.col("cid_b").alias("cid")).distinct(), "cid", "left_anti")
 
 
 def independent(sets: DataFrame) -> DataFrame:
-    """component of each set: sets tied by a shared vertex, or by vertices that are corners of one quad."""
-    flat = sets.select("cid", F.explode("coverage").alias("x"))
+    """component of each set, named by its least cid: sets tied by a shared vertex, or by vertices that are corners of one quad.
+
+    What is tied are cells of 2 x 2 vertices, all corners of one quad: ties between cells are far fewer than ties between sets."""
+    whole = lambda x: x.bitwiseAND(F.lit(~(1 << 20 | 1)).cast("long"))
+    within = sets.select(F.array_distinct(F.transform("coverage", whole)).alias("cells"))
+    corners = sets.select(F.explode("coverage").alias("x")).distinct()
     near = F.array(*[F.col("x") - dv * (1 << 20) - du for dv in (0, 1) for du in (0, 1)])
-    quads = flat.select("cid", F.explode(near).alias("quad")).distinct()
-    first = quads.groupBy("quad").agg(F.min("cid").alias("a"))
-    tied = components(quads.join(first, "quad").select("a", F.col("cid").alias("b")), "a", "b")
-    return sets.join(tied.select(F.col("node").alias("cid"), "component"), "cid")
+    around = corners.select(whole(F.col("x")).alias("cell"), F.explode(near).alias("quad")).groupBy("quad").agg(F.collect_set("cell").alias("cells"))  # four at most
+    ties = [t.where(F.size("cells") > 1).select(F.array_min("cells").alias("a"), F.explode("cells").alias("b")).where("a <> b") for t in (within, around)]
+    tied = components(ties[0].unionByName(ties[1]), "a", "b")
+    at = sets.withColumn("cell", whole(F.col("coverage")[0]))
+    cells = at.groupBy("cell").agg(F.min("cid").alias("cid")).join(tied, F.col("cell") == F.col("node"), "left").select("cell", "cid", F.coalesce("component", "cell").alias("part"))
+    cells = written(cells, "cover-cells")
+    named = cells.select("cell", "part").join(cells.groupBy("part").agg(F.min("cid").alias("component")), "part").select("cell", "component")
+    return at.join(named, "cell").drop("cell")
 
 
 class Cover:
-    """A covering problem as arrays: which sets each vertex covers, and which quads, with their areas, it takes away."""
-
-    def __init__(self, cover: list[np.ndarray], incident: dict[int, list[tuple[int, float]]]):
-        self.n = len(cover)
-        sizes = [len(c) for c in cover]
-        self.names, self.vertex = np.unique(np.concatenate([*cover, np.zeros(0, np.int64)]).astype(np.int64), return_inverse=True)
-        self.set = np.repeat(np.arange(self.n), sizes)
-        taken = [(i, q, a) for i, x in enumerate(self.names.tolist()) for q, a in incident.get(x, ())]
-        self.by = np.array([t[0] for t in taken], np.int64)
-        quads, self.quad = np.unique(np.array([t[1] for t in taken], np.int64), return_inverse=True)
+    """A covering problem as arrays: which sets each vertex covers, and which quads, with their areas, it takes away.
+
+    Numbers stay in arrays, of four bytes where they can: a component may hold most sets of a large surface."""
+
+    def __init__(self, ends: np.ndarray, vertex: np.ndarray, by: np.ndarray, quad: np.ndarray, area: np.ndarray):
+        """vertex: those of one set after the other, of which set k has [ends[k], ends[k + 1]); by, quad, area: what each vertex takes."""
+        self.n = len(ends) - 1
+        self.names = np.unique(vertex).astype(np.int64)
+        self.vertex = np.searchsorted(self.names, vertex).astype(np.int32)
+        self.set = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(ends))
+        ours = np.flatnonzero(np.isin(by, self.names))
+        ours = ours[np.lexsort([quad[ours], by[ours]])]
+        self.by = np.searchsorted(self.names, by[ours]).astype(np.int32)
+        quads = np.unique(quad[ours])
+        self.quad = np.searchsorted(quads, quad[ours]).astype(np.int32)
         self.area = np.zeros(len(quads))
-        self.area[self.quad] = [t[2] for t in taken]
+        self.area[self.quad] = area[ours]
+
+    @classmethod
+    def of(cls, cover: list[np.ndarray], incident: dict[int, list[tuple[int, float]]]) -> Cover:
+        taken = [(x, q, a) for x, near in incident.items() for q, a in near]
+        columns = [np.array([t[k] for t in taken], kind) for k, kind in enumerate((np.int64, np.int64, float))]
+        return cls(np.cumsum([0, *map(len, cover)]), np.concatenate([*cover, np.zeros(0, np.int64)]).astype(np.int64), *columns)
 
     def price(self, gone: np.ndarray) -> np.ndarray:
         """Of each vertex, the area it takes that is not gone yet."""
@@ -66,64 +89,75 @@ class Cover:
 
         A heap holds each vertex at its present worth; a choice renews only vertices that share a set or a quad with it."""
         sets_of, of_set, quads_of, of_quad = self._lists()
-        area, open_, gone = self.area.tolist(), [True] * self.n, [False] * len(self.area)
-        gain = [len(x) for x in sets_of]
+        area, open_, gone = memoryview(self.area), bytearray(b"\1" * self.n), bytearray(len(self.area))
+        gain = np.bincount(self.vertex, minlength=len(self.names)).tolist()
 
-        def worth(i):
+        def cost(i):
+            """A vertex's worth below zero: heaps give the least first."""
             price = 0.0
-            for q in quads_of[i]:
+            for q in quads_of(i):
                 price += 0.0 if gone[q] else area[q]
-            return gain[i] / price if price > 0 else (np.inf if gain[i] else 0.0)
+            return -(gain[i] / price) if price > 0 else (-np.inf if gain[i] else 0.0)
 
-        now = [worth(i) for i in range(len(self.names))]
-        heap = [(-w, i) for i, w in enumerate(now)]
+        ids = list(range(len(self.names)))  # one object each, that heap entries share
+        now = [cost(i) for i in ids]
+        heap = list(zip(now, ids))
         heapq.heapify(heap)
-        chosen, left = [], sum(1 for x in of_set if x)
+        chosen, left, full = [], len(np.unique(self.set)), 2 * len(heap) + 1000
         while left and heap:
             w, best = heapq.heappop(heap)
-            if -w != now[best] or not gain[best]:
+            if w != now[best] or not gain[best]:
                 continue
             chosen.append(best)
             renew = set()
-            for c in sets_of[best]:
+            for c in sets_of(best):
                 if open_[c]:
-                    open_[c], left = False, left - 1
-                    for i in of_set[c]:
+                    open_[c], left = 0, left - 1
+                    for i in of_set(c):
                         gain[i] -= 1
                         renew.add(i)
-            for q in quads_of[best]:
+            for q in quads_of(best):
                 if not gone[q]:
-                    gone[q] = True
-                    renew.update(of_quad[q])
+                    gone[q] = 1
+                    renew.update(of_quad(q))
             for i in renew:
-                now[i] = worth(i)
-                if gain[i]:
-                    heapq.heappush(heap, (-now[i], i))
+                if (w := cost(i)) != now[i]:
+                    now[i] = w
+                    if gain[i]:
+                        heapq.heappush(heap, (w, ids[i]))
+            if len(heap) > full:  # outdated entries go, so that the heap stays in proportion to the vertices
+                heap = [(now[i], i) for i in ids if gain[i]]
+                heapq.heapify(heap)
         return np.array(chosen, np.int64)
 
+    def chosen(self) -> np.ndarray:
+        return self.names[self.needed(self.greedy())]
+
     def _lists(self):
-        """Sets of each vertex, vertices of each set, quads of each vertex, vertices of each quad."""
-        out = []
-        for key, value, n in ((self.vertex, self.set, len(self.names)), (self.set, self.vertex, self.n), (self.by, self.quad, len(self.names)), (self.quad, self.by, len(self.area))):
-            order = np.argsort(key, kind="stable")
-            ends = np.searchsorted(key[order], np.arange(n + 1)).tolist()
-            flat = value[order].tolist()
-            out.append([flat[i:j] for i, j in zip(ends[:-1], ends[1:])])
-        return out
+        """Functions that give the sets of a vertex, the vertices of a set, the quads of a vertex and the vertices of a quad, as lists."""
+
+        def lists(key, value, n):
+            if (key[1:] < key[:-1]).any():
+                order = np.argsort(key, kind="stable")
+                key, value = key[order], value[order]
+            flat, ends = memoryview(np.ascontiguousarray(value)), memoryview(np.searchsorted(key, np.arange(n + 1)))
+            return lambda i: flat[ends[i] : ends[i + 1]].tolist()
+
+        pairs = ((self.vertex, self.set, len(self.names)), (self.set, self.vertex, self.n), (self.by, self.quad, len(self.names)), (self.quad, self.by, len(self.area)))
+        return [lists(*x) for x in pairs]
 
     def needed(self, chosen: np.ndarray) -> np.ndarray:
         """chosen without what is redundant: of the vertices whose sets all have another one, the one that gives back most area
         goes, the least vertex on a tie, until each is the only one of some set."""
-        sets_of, of_set, quads_of, of_quad = self._lists()
-        area, kept = self.area.tolist(), [False] * len(self.names)
-        for i in chosen.tolist():
-            kept[i] = True
-        times = [sum(kept[i] for i in x) for x in of_set]
-        users = [sum(kept[i] for i in x) for x in of_quad]
+        sets_of, _, quads_of, of_quad = self._lists()
+        kept = np.zeros(len(self.names), bool)
+        kept[chosen] = True
+        times, users = (np.bincount(k[kept[i]], minlength=n).tolist() for k, i, n in ((self.set, self.vertex, self.n), (self.quad, self.by, len(self.area))))
+        area, kept = memoryview(self.area), bytearray(kept)
 
         def back(i):
             total = 0.0
-            for q in quads_of[i]:
+            for q in quads_of(i):
                 total += area[q] if users[q] == 1 else 0.0
             return total
 
@@ -132,25 +166,24 @@ class Cover:
         heapq.heapify(heap)
         while heap:
             w, i = heapq.heappop(heap)
-            if not kept[i] or -w != now[i] or any(times[c] < 2 for c in sets_of[i]):
+            if not kept[i] or -w != now[i] or any(times[c] < 2 for c in sets_of(i)):
                 continue  # a vertex once alone in a set stays so: none is ever added
-            kept[i] = False
-            for c in sets_of[i]:
+            kept[i] = 0
+            for c in sets_of(i):
                 times[c] -= 1
-            for q in quads_of[i]:
+            for q in quads_of(i):
                 users[q] -= 1
                 if users[q] == 1:
-                    for k in of_quad[q]:
+                    for k in of_quad(q):
                         if kept[k]:
                             now[k] = back(k)
                             heapq.heappush(heap, (-now[k], k))
-        return np.flatnonzero(kept)
+        return np.flatnonzero(np.frombuffer(kept, np.uint8))
 
 
 def greedy(cover: list[np.ndarray], incident: dict[int, list[tuple[int, float]]]) -> list[int]:
     """Vertices that cover every set at a low area, none of them redundant."""
-    whole = Cover(cover, incident)
-    return whole.names[whole.needed(whole.greedy())].tolist()
+    return Cover.of(cover, incident).chosen().tolist()
 
 
 def exact(cover: list[np.ndarray], incident: dict, bound: float, most: int = 20_000) -> tuple[list[int] | None, bool]:
@@ -175,25 +208,30 @@ def exact(cover: list[np.ndarray], incident: dict, bound: float, most: int = 20_
 def solve(sets: DataFrame, quad_areas: DataFrame, small: int = 12) -> DataFrame:
     """Vertices to remove (component, vertex) and how each component was solved: proven optimal where it is small.
 
-    A component is the unit of the choice, one group; components spread over tasks."""
+    A component is the unit of the choice, one group, held as Arrow tables and plain arrays; components spread over tasks."""
+    sets = written(sets.select("component", "cid", "coverage"), "cover-sets")
     flat = sets.select("component", F.explode("coverage").alias("vertex")).distinct()
     corner = F.explode(F.array(*[F.lit(dv * (1 << 20) + du) for dv in (0, 1) for du in (0, 1)]))
     at = quad_areas.select(code(F.col("surface_id"), F.col("v"), F.col("u")).alias("quad"), "area").select("quad", "area", corner.alias("o")).select("quad", "area", (F.col("quad") + F.col("o")).alias("vertex"))
     incident = flat.join(at, "vertex").select(F.col("component").alias("part"), "vertex", "quad", "area")
 
-    def run(key, c: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, list[tuple[int, float]]] = {}
-        for row in i.itertuples():
-            near.setdefault(int(row.vertex), []).append((int(row.quad), float(row.area)))
-        cover = [np.asarray(x) for x in c.sort_values("cid").coverage]
-        chosen, how = greedy(cover, near), "greedy"
-        if len(cover) <= small:
+    def run(key, c: pa.Table, i: pa.Table) -> pa.Table:
+        sets = c.column("coverage").combine_chunks().take(pa.array(np.argsort(c.column("cid").to_numpy(), kind="stable")))
+        whole = Cover(sets.offsets.to_numpy(), sets.flatten().to_numpy(), *[i.column(k).to_numpy() for k in ("vertex", "quad", "area")])
+        if len(sets) > small:
+            c = i = sets = None
+            chosen, how = whole.chosen(), "greedy"
+        else:
+            near: dict[int, list[tuple[int, float]]] = {}
+            for x, q, a in zip(*[i.column(k).to_pylist() for k in ("vertex", "quad", "area")]):
+                near.setdefault(x, []).append((q, a))
+            chosen = whole.chosen().tolist()
             cost = sum({q: a for x in chosen for q, a in near.get(x, ())}.values())
-            better, proven = exact(cover, near, cost)
+            better, proven = exact([np.asarray(x) for x in sets.to_pylist()], near, cost)
             chosen, how = (better or chosen), "optimal" if proven else "greedy"
-        return pd.DataFrame({"component": key[0], "vertex": chosen, "method": how})
+        return pa.table({"component": pa.array([key[0].as_py()] * len(chosen), pa.int64()), "vertex": pa.array(chosen, pa.int64()), "method": pa.array([how] * len(chosen), pa.string())})
 
-    return sets.select("component", "cid", "coverage").groupBy("component").cogroup(incident.groupBy("part")).applyInPandas(run, "component long, vertex long, method string")
+    return sets.groupBy("component").cogroup(incident.groupBy("part")).applyInArrow(run, "component long, vertex long, method string")
 
 
 def without(vertices: DataFrame, removed: DataFrame) -> DataFrame:
