@@ -187,7 +187,7 @@ _BOX = "p_partkey AS k, (p_partkey * 37 % 1000)::DOUBLE AS lo_x, (p_partkey * 37
 @query("box_overlap_join", f"WITH b AS (SELECT {_BOX} FROM part) SELECT a.k AS a_k, b.k AS b_k, round((least(a.hi_x, b.hi_x) - greatest(a.lo_x, b.lo_x)) * (least(a.hi_y, b.hi_y) - greatest(a.lo_y, b.lo_y)), 4) AS overlap FROM b a JOIN b ON a.k < b.k AND a.hi_x >= b.lo_x AND b.hi_x >= a.lo_x AND a.hi_y >= b.lo_y AND b.hi_y >= a.lo_y WHERE (least(a.hi_x, b.hi_x) - greatest(a.lo_x, b.lo_x)) * (least(a.hi_y, b.hi_y) - greatest(a.lo_y, b.lo_y)) > 1")
 def box_overlap_join(spark, sf_dir):
     boxes = read(spark, sf_dir, "part").selectExpr(*[c.strip() for c in _BOX.replace("(p_partkey * 37 % 1000)::DOUBLE", "CAST(p_partkey * 37 % 1000 AS DOUBLE)").replace("(p_partkey * 37 % 1000 + p_size)::DOUBLE", "CAST(p_partkey * 37 % 1000 + p_size AS DOUBLE)").replace("/ 2.0", "/ 2.0D").split(", ")])
-    return spatial.box_overlaps(boxes, "k", ["x", "y"], 50.0, 1.0).withColumn("overlap", F.round("overlap", 4))
+    return spatial.box_overlaps(boxes, "k", ["x", "y"], 50.0, 1.0, 4)
 
 
 _P3 = "vec_id, label, embedding[1]::DOUBLE * 100 AS x, embedding[2]::DOUBLE * 100 AS y, embedding[3]::DOUBLE * 100 AS z"
